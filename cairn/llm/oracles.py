@@ -27,7 +27,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 g AS (SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 1)) AS i FROM d WHERE len(w) >= 3)),
 dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM g) WHERE c > 1),
 rep AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest(range(i, i + 3)) AS p FROM dup) GROUP BY doc_id),
-l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
+l AS (SELECT doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM d),
 f AS (SELECT d.doc_id, t, w, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
              (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
              (len(l.l) - len(list_distinct(l.l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words
@@ -38,6 +38,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 100 * n_dup_lines > 50 * len(string_split(t, chr(10)))
             OR word_chars < 2.0 * n_words OR word_chars > 14.0 * n_words
             OR 100 * length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) > 60 * length(regexp_replace(t, '[^\p{L}]', '', 'g'))
-            OR 100 * len(list_filter(w, x -> regexp_matches(x, '\p{L}'))) < 60 * n_words) AS kept
+            OR 100 * len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) < 60 * n_words) AS kept
 FROM b""",
 }
