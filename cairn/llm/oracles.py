@@ -40,4 +40,13 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
             OR 100 * length(regexp_replace(t, '[^\p{Lu}]', '', 'g')) > 60 * length(regexp_replace(t, '[^\p{L}]', '', 'g'))
             OR 100 * len(list_filter(w, lambda x: regexp_matches(x, '\p{L}'))) < 60 * n_words) AS kept
 FROM b""",
+    "op6_substring_dedup": r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+f AS (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY g) AS first FROM g),
+gone AS (SELECT DISTINCT doc_id, p FROM (SELECT doc_id, unnest(range(i, i + 13)) AS p FROM f WHERE first < doc_id)),
+x AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT x.doc_id, string_agg(x.w[x.p], ' ' ORDER BY x.p) AS t, count(*) AS n FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.p = gone.p GROUP BY x.doc_id)
+SELECT d.doc_id, len(d.w)::BIGINT AS n_words, (len(d.w) - coalesce(kept.n, 0))::BIGINT AS n_removed, sha256(coalesce(kept.t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)""",
 }
