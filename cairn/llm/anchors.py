@@ -78,13 +78,13 @@ def _occurrences(kind: Kind):
 def candidates(docs: DataFrame, kind: Kind, *, repeated: Column, only: DataFrame | None = None) -> DataFrame:
     """prepared() rows that can hold repeated windows, with their repeated anchors.
 
-    repeated: condition over lo and hi (least and greatest id that has the anchor) and many (some
-    text has it twice).  only: ids to look at.
+    repeated: condition over lo and hi (least and greatest id that has the anchor), rows (texts that
+    have it) and many (one has it twice).  only: ids to look at.
     """
     found = docs.select("_k", "text").mapInArrow(_occurrences(kind), "anchor long, _k long, many boolean")
     if only is not None:
         found = found.join(only, "_k", "left_semi")
-    shared = found.groupBy("anchor").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.max("many").alias("many"))
+    shared = found.groupBy("anchor").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.max("many").alias("many"), F.count("*").alias("rows"))
     shared = cut(shared.where(repeated).select("anchor"))
     hits = found.select("anchor", "_k").join(shared, "anchor", "left_semi").groupBy("_k").agg(F.collect_list("anchor").alias("anchors"))
     return docs.join(hits, "_k")
