@@ -7,9 +7,10 @@ one segmentation per seed, on any machine, and other seeds give others; rate 0 g
 own segmentation.  Characters that the model lacks become its byte pieces, and so does a U+2581 of
 the text itself, so that decoding always gives the text back.
 
-No piece has U+2581 after another character, so runs of it with the word that follows are
-segmented on their own, and one result serves all equal words of a batch with the same stream.
-A text's stream is the keyed hash of its id, modulo `streams`.
+No piece has U+2581 after another character or a line end beside one, so texts are cut there into
+words; the distinct words of a slice are segmented once, those of equal length together, one
+agenda step of all of them at a time.  A text's stream of dropout is the keyed hash of its id,
+modulo `streams`.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; repeated rows get equal
 ids; a null doc_id is a stream of its own; columns beyond those named are not read.  The model is
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import hashlib
 import heapq
-import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -29,96 +29,80 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import flat, mix, slices, span_hashes
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20_240_229
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
 #: Segmentations that a word may have over the corpus, by document.
 STREAMS = 4
-#: Words of a stream whose segmentation a worker remembers.
-CACHE = 1 << 17
-#: Longer words use a heap for their agenda.
-SHORT = 24
+SLICE = 3 << 20
+#: Longer words, in characters, have an agenda of their own.
+SHORT = 28
 
 _MASK = (1 << 64) - 1
+_A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 _SPACE = "▁"
-#: Stands for a U+2581 of the text while spaces are written so; a private-use character of the text is kept apart.
-_OWN = "▁"
+_NONE = np.int32(1 << 30)
+
+
+def _mix(h: int) -> int:
+    """mix() of one number."""
+    h ^= h >> 32
+    h = h * 0x9E3779B97F4A7C15 & _MASK
+    h ^= h >> 29
+    h = h * 0xBF58476D1CE4E5B9 & _MASK
+    return h ^ (h >> 32)
 
 
 class Pieces:
-    """A SentencePiece BPE model's table of pieces."""
+    """A SentencePiece BPE model's pieces and the pairs that merge."""
 
     def __init__(self, path: str = MODEL):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
-        n = model.get_piece_size()
-        self.size = n
+        n = self.size = model.get_piece_size()
         self.bytes = [0] * 256
-        self.text: list[str | int | None] = [None] * n  # a string, or the value of a byte piece
+        self.raw: list[bytes] = [b""] * n  # what a piece stands for
         self.ids: dict[str, int] = {}
-        self.rank: dict[str, int] = {}
-        names = []
+        scores = {}
         for i in range(n):
             piece = model.id_to_piece(i)
             if model.is_byte(i):
                 self.bytes[int(piece[3:-1], 16)] = i
-                self.text[i] = int(piece[3:-1], 16)
+                self.raw[i] = bytes([int(piece[3:-1], 16)])
             elif not (model.is_control(i) or model.is_unknown(i) or model.is_unused(i)):
                 self.ids[piece] = i
-                self.text[i] = piece
-                names.append((-model.get_score(i), i, piece))
-        names.sort()
-        before, place = None, -1
-        for score, _, piece in names:  # equal scores have equal ranks
-            if score != before:
-                before, place = score, place + 1
-            self.rank[piece] = place
-
-    def segment(self, word: str, threshold: int = 0, key: bytes = b"") -> list[int]:
-        """Ids of a word under dropout threshold / 2**64."""
-        rank = self.rank
-        start = list(range(len(word) + 1))  # symbol k is word[start[k]:start[k + 1]]
-        h = int.from_bytes(hashlib.blake2b(word.encode(), digest_size=8, key=key).digest(), "little") if threshold else 0
-
-        def skipped(a: int, b: int, c: int) -> bool:
-            x = (h ^ (a * 0x9E3779B97F4A7C15 + b * 0xC2B2AE3D27D4EB4F + c * 0x165667B19E3779F9)) & _MASK
-            x = ((x ^ (x >> 31)) * 0xBF58476D1CE4E5B9) & _MASK
-            return (x ^ (x >> 29)) * 0x94D049BB133111EB & _MASK < threshold
-
-        if len(word) <= SHORT:
-            get = rank.get
-            n = len(word)
-            none = 1 << 30
-            # ranks[k]: of the pair of symbols k and k + 1
-            ranks = [get(word[k : k + 2], none) for k in range(n - 1)]
-            while ranks:
-                best = min(ranks)
-                if best == none:
-                    break
-                k = ranks.index(best)
-                if threshold and skipped(start[k], start[k + 1], start[k + 2]):
-                    ranks[k] = none
-                    continue
-                del start[k + 1]
-                del ranks[k]
-                if k:
-                    ranks[k - 1] = get(word[start[k - 1] : start[k + 1]], none)
-                if k < len(ranks):
-                    ranks[k] = get(word[start[k] : start[k + 2]], none)
-        else:
-            start = self._long(word, threshold, skipped)
-        out = []
-        for a, b in zip(start, start[1:]):
-            i = self.ids.get(word[a:b])
-            if i is None:
-                out += [self.bytes[x] for x in word[a:b].encode()]
-            else:
-                out.append(i)
-        return out
-
-    def _long(self, word: str, threshold: int, skipped) -> list[int]:
+                self.raw[i] = piece.replace(_SPACE, " ").encode()
+                scores[piece] = -model.get_score(i)
+        places = {s: k for k, s in enumerate(sorted(set(scores.values())))}
+        self.rank = {p: places[s] for p, s in scores.items()}
+
+        self.raw_bytes = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_at = np.concatenate([[0], np.cumsum([len(x) for x in self.raw])])
+        # symbols of single characters: pieces, byte pieces of ASCII without one, -1 for the rest
+        self.single = np.full(1 << 16, -1, np.int32)
+        self.single[:128] = self.bytes[:128]
+        for p, i in self.ids.items():
+            if len(p) == 1 and ord(p) < 1 << 16:
+                self.single[ord(p)] = i
+        pairs = {}
+        for p, i in self.ids.items():
+            for k in range(1, len(p)):
+                a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
+                if a is not None and b is not None:
+                    pairs[a << 20 | b] = (i, self.rank[p])
+        keys = np.array(sorted(pairs), np.int64)
+        self.pair_keys = np.concatenate([keys, [np.int64(1) << 62]])
+        self.pair_ids = np.array([pairs[int(k)][0] for k in keys] + [0], np.int32)
+        self.pair_ranks = np.array([pairs[int(k)][1] for k in keys] + [int(_NONE)], np.int32)
+
+    # --- one word ---------------------------------------------------------------------------
+
+    def segment(self, word: str, threshold: int = 0, h: int = 0) -> list[int]:
+        """Ids of a word (spaces as U+2581) under dropout threshold / 2**64 and the word's keyed hash h."""
         n = len(word)
         get = self.rank.get
         end = list(range(1, n + 1))  # of the symbol that starts here; 0 if none does
@@ -127,56 +111,180 @@ class Pieces:
         heapq.heapify(agenda)
         while agenda:
             _, a, b, c = heapq.heappop(agenda)
-            if end[a] != b or b >= n or end[b] != c or (threshold and skipped(a, b, c)):
+            if end[a] != b or b >= n or end[b] != c:
+                continue
+            if threshold and _mix(h ^ (a * _A + b * _B + c * _C & _MASK)) < threshold:
                 continue
             end[a], end[b] = c, 0
             if c < n:
                 left[c] = a
-                d = end[c]
-                if (r := get(word[a:d])) is not None:
-                    heapq.heappush(agenda, (r, a, c, d))
+                if (r := get(word[a : end[c]])) is not None:
+                    heapq.heappush(agenda, (r, a, c, end[c]))
             if a:
                 p = left[a]
                 if (r := get(word[p:c])) is not None:
                     heapq.heappush(agenda, (r, p, a, c))
-        return [a for a in range(n) if end[a]] + [n]
-
-    def encode(self, text: str, threshold: int = 0, key: bytes = b"", cache: dict | None = None) -> list[int]:
-        if not text:
-            return []
-        cache = {} if cache is None else cache
-        out: list[int] = []
-        parts = text.split(_SPACE)
-        for i, part in enumerate(parts):
-            if i:
-                out += [self.bytes[x] for x in _SPACE.encode()]
-            for word in _words((" " if not i else "") + part):
-                ids = cache.get(word)
-                if ids is None:
-                    if len(cache) >= CACHE:
-                        cache.clear()
-                    ids = cache[word] = self.segment(word.replace(" ", _SPACE), threshold, key)
-                out += ids
+        out = []
+        for a in range(n):
+            if end[a]:
+                i = self.ids.get(word[a : end[a]])
+                out += [i] if i is not None else [self.bytes[x] for x in word[a : end[a]].encode()]
         return out
 
-    def decode(self, ids: list[int] | np.ndarray) -> str:
-        """The text; ids that stand for no text (control pieces) are skipped."""
-        out = bytearray()
-        for i in ids:
-            piece = self.text[i]
-            if isinstance(piece, int):
-                out.append(piece)
-            elif piece is not None:
-                out += piece.replace(_SPACE, " ").encode()
-        return out[1:].decode("utf-8", "replace") if out[:1] == b" " else out.decode("utf-8", "replace")
-
-
-_WORD = re.compile(r" *[^ ]+| +")
-
-
-def _words(text: str) -> list[str]:
-    """Runs of spaces with the word that follows."""
-    return _WORD.findall(text)
+    # --- many words -------------------------------------------------------------------------
+
+    def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(piece, rank) of each pair of symbols; rank _NONE if it doesn't merge."""
+        key = (a.astype(np.int64) << 20) | b
+        at = np.searchsorted(self.pair_keys, key)
+        found = self.pair_keys[at] == key
+        return self.pair_ids[at], np.where(found, self.pair_ranks[at], _NONE)
+
+    def _equal_length(self, symbols: np.ndarray, h: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols (words, n) of words of n characters.  (symbols, number of them) after all merges."""
+        words, n = symbols.shape
+        out, sizes = symbols.copy(), np.full(words, n)
+        who = np.arange(words)
+        start = np.broadcast_to(np.arange(n + 1), (words, n + 1)).copy()
+        piece, rank = (x.reshape(words, n - 1) for x in self._pairs(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()))
+        piece, rank, symbols = piece.copy(), rank.copy(), symbols.copy()
+        while len(who):
+            k = rank.argmin(axis=1)
+            row = np.arange(len(who))
+            best = rank[row, k]
+            over = best == _NONE
+            if over.any():
+                done = who[over]
+                width = symbols.shape[1]
+                out[done, :width] = symbols[over]
+                sizes[done] = (start[over, 1:] > start[over, :-1]).sum(axis=1)
+                on = ~over
+                who, symbols, start, piece, rank, k = who[on], symbols[on], start[on], piece[on], rank[on], k[on]
+                row = np.arange(len(who))
+                if not len(who):
+                    break
+            if threshold:
+                u = [start[row, k + d].astype(np.uint64) for d in (0, 1, 2)]
+                skip = mix(h[who] ^ (u[0] * np.uint64(_A) + u[1] * np.uint64(_B) + u[2] * np.uint64(_C))) < np.uint64(threshold)
+                rank[row[skip], k[skip]] = _NONE
+                row, k = row[~skip], k[~skip]
+            if not len(row):
+                continue
+            width = symbols.shape[1]
+            symbols[row, k] = piece[row, k]
+            # drop symbol k + 1 and pair k: what lies right of them moves left; the last place is empty
+            to = np.arange(width)[None, :]
+            take = np.minimum(to + (to > k[:, None]), width - 1)
+            symbols[row] = np.take_along_axis(symbols[row], take, 1)
+            to = np.arange(width + 1)[None, :]
+            start[row] = np.take_along_axis(start[row], np.minimum(to + (to > k[:, None]), width), 1)
+            if width > 2:
+                to = np.arange(width - 1)[None, :]
+                move = np.minimum(to + (to >= k[:, None]), width - 2)
+                p, r = np.take_along_axis(piece[row], move, 1), np.take_along_axis(rank[row], move, 1)
+                r[:, -1] = _NONE
+                piece[row], rank[row] = p, r
+            else:
+                rank[row, 0] = _NONE
+            for beside in (k - 1, k):
+                ok = (beside >= 0) & (beside < width - 1)
+                rr, kk = row[ok], beside[ok]
+                real = start[rr, np.minimum(kk + 2, width)] > start[rr, kk + 1]
+                rr, kk = rr[real], kk[real]
+                piece[rr, kk], rank[rr, kk] = self._pairs(symbols[rr, kk], symbols[rr, kk + 1])
+        return out, sizes
+
+    def segment_all(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of the words b[start:end], which are UTF-8."""
+        size = ends - starts
+        at = np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
+        own = b[at]
+        code = np.frombuffer(own.tobytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        first = np.concatenate([[0], np.cumsum((own & 0xC0) != 0x80)])  # characters before each byte
+        edges = first[np.concatenate([[0], np.cumsum(size)])]
+        # a U+2581 of the text has no symbol of its own; then spaces become U+2581
+        symbol = np.where(code == 0x2581, np.int32(-1), self.single[np.where(code < 1 << 16, code, 0xFFFF)])
+        symbol[code == 32] = self.ids[_SPACE]
+        length = np.diff(edges)
+        unknown = np.concatenate([[0], np.cumsum(symbol < 0)])
+        slow = (length > SHORT) | (unknown[edges[1:]] > unknown[edges[:-1]])
+        values: list[np.ndarray] = []
+        counts = np.zeros(len(starts), np.int64)
+        owner: list[np.ndarray] = []
+        for n in np.unique(length[~slow]):
+            which = np.flatnonzero(~slow & (length == n))
+            got = symbol[edges[which][:, None] + np.arange(n)]
+            sizes = np.ones(len(which), np.int64)
+            if n > 1:
+                got, sizes = self._equal_length(got, h[which], threshold)
+            values.append(got[np.arange(n)[None, :] < sizes[:, None]])
+            owner.append(which)
+            counts[which] = sizes
+        for w in np.flatnonzero(slow):
+            text = own_text(code[edges[w] : edges[w + 1]])
+            ids: list[int] = []
+            for k, part in enumerate(text.split(_SPACE)):
+                if k:
+                    ids += [self.bytes[x] for x in _SPACE.encode()]
+                ids += self.segment(part.replace(" ", _SPACE), threshold, int(h[w]))
+            values.append(np.array(ids, np.int32))
+            owner.append(np.array([w]))
+            counts[w] = len(ids)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        out = np.zeros(bounds[-1], np.int32)
+        if owner:
+            order = np.concatenate(owner)
+            c = counts[order]
+            out[np.repeat(bounds[order] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())] = np.concatenate(values)
+        return out, bounds
+
+    def encode_all(self, b: np.ndarray, o: np.ndarray, keys: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of texts; keys: of each text's stream."""
+        full = np.diff(o) > 0
+        shift = np.concatenate([[0], np.cumsum(full)])
+        texts = np.full(len(b) + shift[-1], 32, np.uint8)  # a space before each text
+        texts[np.arange(len(b)) + np.repeat(shift[1:], np.diff(o))] = b
+        bounds = o + shift
+        line, space = texts == 10, texts == 32
+        cut = line.copy()
+        cut[1:] |= line[:-1] | (space[1:] & ~space[:-1])
+        cut[bounds[:-1][full]] = True
+        starts = np.flatnonzero(cut)
+        ends = np.append(starts[1:], len(texts)) if len(starts) else starts
+        first = np.searchsorted(starts, bounds)
+        h = span_hashes(texts, starts, ends)
+        h = mix(h ^ np.repeat(keys, np.diff(first)))
+        distinct, at, place = np.unique(h, return_index=True, return_inverse=True)
+        ids, edges = self.segment_all(texts, starts[at], ends[at], distinct, threshold)
+        count = np.diff(edges)[place]
+        total = np.concatenate([[0], np.cumsum(count)])
+        out = ids[np.repeat(edges[:-1][place] - total[:-1], count) + np.arange(total[-1])]
+        return out, total[first]
+
+    def encode(self, text: str, threshold: int = 0, key: int = 0) -> list[int]:
+        b, o = flat(pa.array([text], pa.string()))
+        return self.encode_all(b, o, np.array([key], np.uint64), threshold)[0].tolist()
+
+    def decode_all(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(bytes, offsets) of the texts of ids[bounds[i]:bounds[i + 1]]; control pieces stand for nothing."""
+        size = (self.raw_at[1:] - self.raw_at[:-1])[ids]
+        total = np.concatenate([[0], np.cumsum(size)])
+        out = self.raw_bytes[np.repeat(self.raw_at[ids] - total[:-1], size) + np.arange(total[-1])]
+        o = total[bounds]
+        led = np.zeros(len(o) - 1, bool)
+        some = np.flatnonzero(np.diff(o) > 0)
+        led[some] = out[o[some]] == 32
+        keep = np.ones(len(out), bool)
+        keep[o[:-1][led]] = False  # the leading space
+        return out[keep], o - np.concatenate([[0], np.cumsum(led)])
+
+    def decode(self, ids: list[int]) -> str:
+        out, _ = self.decode_all(np.array(ids, np.int64), np.array([0, len(ids)]))
+        return out.tobytes().decode("utf-8", "replace")
+
+
+def own_text(code: np.ndarray) -> str:
+    return code.tobytes().decode("utf-32-le", "surrogatepass")
 
 
 @lru_cache(maxsize=2)
@@ -184,39 +292,31 @@ def _pieces(path: str) -> Pieces:
     return Pieces(path)
 
 
-@lru_cache(maxsize=16)
-def _cache(model: str, seed: int, threshold: int, stream: int) -> dict:
-    """A worker's memory of segmentations, kept from task to task."""
-    return {}
-
-
-def _threshold(dropout: float) -> int:
+def threshold_of(dropout: float) -> int:
     return min(int(dropout * 2.0**64), _MASK)
 
 
-def _key(seed: int, stream: int) -> bytes:
-    return hashlib.blake2b(f"{seed}/{stream}".encode(), digest_size=16).digest()
+def stream_keys(seed: int, streams: int) -> np.ndarray:
+    """A key for each stream, and one for texts without an id."""
+    return np.array([int.from_bytes(hashlib.blake2b(f"{seed}/{s}".encode(), digest_size=8).digest(), "little") for s in range(streams + 1)], np.uint64)
 
 
 def _encode(model: str, seed: int, dropout: float, streams: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, threshold = _pieces(model), _threshold(dropout)
-        caches = [_cache(model, seed, threshold, s) for s in range(streams + 1)]
-        keys = [_key(seed, s) for s in range(streams + 1)]
-        for batch in batches:
-            names = batch.schema.names
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids, whole = [], []
-                for stream, text in zip(part.column("_stream").to_pylist(), part.column("text").to_pylist(), strict=True):
-                    got = pieces.encode(text or "", threshold, keys[stream], caches[stream])
-                    ids.append(np.array(got, np.int32))
-                    whole.append(pieces.decode(got) == (text or ""))
-                values = np.concatenate(ids) if ids else np.zeros(0, np.int32)
-                bounds = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(n) for n in names), pa.ListArray.from_arrays(pa.array(bounds), pa.array(values)), pa.array(whole)], [*names, "ids", "lossless"]
-                )
+        pieces, threshold, keys = _pieces(model), threshold_of(dropout), stream_keys(seed, streams)
+        for part in slices(batches, limit=SLICE):
+            b, o = flat(part.column("text"))
+            ids, bounds = pieces.encode_all(b, o, keys[part.column("_stream").to_numpy()], threshold)
+            back, at = pieces.decode_all(ids, bounds)
+            whole = np.diff(at) == np.diff(o)
+            if len(back) == len(b):
+                wrong = np.concatenate([[0], np.cumsum(back != b)])
+                whole &= wrong[o[1:]] == wrong[o[:-1]]
+            else:
+                whole &= np.array([np.array_equal(back[at[i] : at[i + 1]], b[o[i] : o[i + 1]]) for i in range(part.num_rows)])
+            names = part.schema.names
+            lists = pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(ids))
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), lists, pa.array(whole)], [*names, "ids", "lossless"])
 
     return run
 
@@ -230,13 +330,18 @@ def encode(docs: DataFrame, *keep: str, model: str = MODEL, seed: int = SEED, dr
 
 
 def decode(rows: DataFrame, *keep: str, model: str = MODEL) -> DataFrame:
-    """keep columns and the text of ids."""
+    """keep columns and the text of ids; null ids give an empty text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _pieces(model)
         for batch in batches:
-            texts = [pieces.decode(x or []) for x in batch.column("ids").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in keep), pa.array(texts, pa.string())], [*keep, "text"])
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                lists = part.column("ids").fill_null([]) if part.column("ids").null_count else part.column("ids")
+                values, bounds = lists.flatten().to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())])
+                out, o = pieces.decode_all(values, bounds)
+                texts = [out[o[i] : o[i + 1]].tobytes().decode("utf-8", "replace") for i in range(part.num_rows)]
+                yield pa.RecordBatch.from_arrays([*(part.column(k) for k in keep), pa.array(texts, pa.string())], [*keep, "text"])
 
     df = rows.select(*keep, "ids")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name in keep), "text string"])
