@@ -158,7 +158,10 @@ def digest(docs: DataFrame) -> DataFrame:
 
 
 def apply_rules(docs: DataFrame, *, rules: Sequence[Rule] | None = None, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """docs without the rejected rows, all columns as they were."""
-    names = docs.columns
-    packed = docs.select(F.struct(*names).alias("_row"), "text")
-    return judge(packed, "_row", rules=rules, sample_rows=sample_rows).where("kept").select("_row.*")
+    """docs without the rejected rows, all columns as they were.
+
+    A filter on kept would be pushed down with all features inlined, and their arrays made again
+    for every word; unnesting one row or none stays above them.
+    """
+    packed = docs.select(F.struct(*docs.columns).alias("_row"), "text")
+    return judge(packed, "_row", rules=rules, sample_rows=sample_rows).select(F.inline(F.when(F.col("kept"), F.array("_row"))))
