@@ -55,6 +55,18 @@ def prepared(docs: DataFrame) -> DataFrame:
     return docs.select(key_of().alias("_k"), F.xxhash64("text").alias("_h"), "text")
 
 
+def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(_k, _h, size of rows whose whole text a row with a smaller id has, ids of all others).
+
+    Copies lose everything that can be repeated, so the search is over the others alone; texts are
+    compared by two 64-bit hashes, which are all that is shuffled.
+    """
+    rows = docs.where("text is not null").select("_k", "_h", F.xxhash64(F.lit(7), "text").alias("_g"), F.octet_length("text").cast("long").alias("size"))
+    first = rows.groupBy("_h", "_g").agg(F.min("_k").alias("lead"))
+    found = rows.join(first, ["_h", "_g"]).where("_k <> lead").select("_k", "_h", "size")
+    return found, first.select(F.col("lead").alias("_k")).distinct()
+
+
 def _occurrences(kind: Kind):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):

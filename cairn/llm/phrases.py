@@ -26,13 +26,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Kind, candidates, live_windows, merge_runs, prepared, with_spans
+from .anchors import Kind, candidates, copies, live_windows, merge_runs, prepared, with_spans
 from .common import PLAIN_WORD, cut, flat, gram_hashes, null_key, slices, span_hashes, word_spans
 
 WINDOW, GRAM = 13, 5
 #: Text bytes of the documents of one shard, and phrases in one automaton.
 SHARD_BYTES = 12 << 20
 AUTOMATON = 40_000
+#: End of the span of a copy: all of a text that has a window.
+WHOLE = 1 << 40
 
 
 def _stretches(kind: Kind):
@@ -177,12 +179,17 @@ def _locate(n: int):
 
 
 def spans(docs: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """prepared() rows to _k, _h, lo, hi: words to remove, as intervals that may overlap."""
+    """prepared() rows to _k, _h, lo, hi: words to remove, as intervals that may overlap.
+
+    A span to WHOLE means nothing in a text of fewer words than a window.
+    """
     kind = Kind(window, min(GRAM, window), True)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = int(size // shard_bytes) + 1
     shard = F.pmod(F.xxhash64("_k"), F.lit(n_shards)).cast("int").alias("shard")
-    live = candidates(docs, kind, repeated=F.col("lo") < F.col("hi"))
+    whole, only = copies(docs)
+    whole = whole.select("_k", "_h", F.lit(0).cast("long").alias("lo"), F.lit(WHOLE).alias("hi"))
+    live = candidates(docs, kind, repeated=F.col("lo") < F.col("hi"), only=only)
     live = cut(live.mapInArrow(_stretches(kind), "_k long, _h long, at long, words binary"))
     hashed = live.select("_k", "words").mapInArrow(_hashed(window), "w long, _k long")
     # a hot window adds up before it is sent: least and greatest id, and the bounded set of shards
@@ -191,19 +198,20 @@ def spans(docs: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYT
     stretches = live.select(shard, "_k", "_h", "at", "words")
     phrases = stretches.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_phrases(window), "shard int, first long, phrase binary")
     phrases = cut(phrases)
-    return stretches.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_locate(window), "_k long, _h long, lo long, hi long")
+    found = stretches.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_locate(window), "_k long, _h long, lo long, hi long")
+    return found.union(whole)
 
 
-def _finish(texts: bool):
+def _finish(window: int, texts: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             rows = []
             for text, cuts in zip(batch.column("text").to_pylist(), batch.column("spans").to_pylist(), strict=True):
                 words = (text or "").encode().split()
                 keep = np.ones(len(words), bool)
-                for x in cuts or []:
+                for x in (cuts or []) if len(words) >= window else []:
                     keep[x["lo"] : x["hi"]] = False
-                kept = b" ".join(words if not cuts else [words[i] for i in np.flatnonzero(keep)])
+                kept = b" ".join(words if keep.all() else [words[i] for i in np.flatnonzero(keep)])
                 rows.append((len(words), int((~keep).sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if texts else None))
             n, removed, sha, kept = zip(*rows, strict=True)
             columns = [batch.column("_k"), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(sha)]
@@ -218,5 +226,5 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, texts: bool = False) -> Data
     docs = prepared(docs)
     removed = cut(spans(docs, window=window))
     schema = "_k long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
-    out = with_spans(docs, removed, _finish(texts), schema)
+    out = with_spans(docs, removed, _finish(window, texts), schema)
     return out.select(null_key("_k").alias("doc_id"), *out.columns[1:])
