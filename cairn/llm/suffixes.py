@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Kind, candidates, live_windows, merge_runs, prepared, with_spans
+from .anchors import Kind, candidates, copies, live_windows, merge_runs, prepared, with_spans
 from .common import byte_gram_hashes, cut, flat, null_key, slices, span_hashes
 
 LENGTH, GRAM = 100, 16
 #: Text bytes for one shard of suffixes.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 3 << 20
 HOT = 4096
 
 
@@ -259,11 +259,8 @@ def spans(docs: DataFrame, *, length: int = LENGTH, shard_bytes: int = SHARD_BYT
     kind = Kind(length, GRAM, False)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_shards = int(size // shard_bytes) + 1
-    # copies of a whole text lose everything at once; only their first stays in the search
-    rows = docs.where(F.octet_length("text") >= length).select("_k", "_h", F.xxhash64(F.lit(7), "text").alias("_g"), F.octet_length("text").alias("size"))
-    first = rows.groupBy("_h", "_g").agg(F.min("_k").alias("_k"))
-    copies = rows.join(first.withColumnRenamed("_k", "lead"), ["_h", "_g"]).where("_k <> lead").select("_k", "_h", F.lit(0).cast("long").alias("lo"), F.col("size").cast("long").alias("hi"))
-    only = first.select("_k").distinct()
+    whole, only = copies(docs)
+    whole = whole.where(F.col("size") >= length).select("_k", "_h", F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"))
     live = candidates(docs, kind, repeated=(F.col("rows") > 1) | F.col("many"), only=only)
     stretches = cut(live.mapInArrow(_stretches(kind), _STRETCH))
     firsts, lost = _collapse(stretches, length)
@@ -273,7 +270,7 @@ def spans(docs: DataFrame, *, length: int = LENGTH, shard_bytes: int = SHARD_BYT
     shard = F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("int").alias("shard")
     dealt = firsts.join(crowds, "anchor", "left_anti").select(shard, "_k", "_h", "at", "n", "bytes")
     sorted_ = dealt.groupBy("shard").applyInArrow(_shard(length), _SPANS)
-    return copies.union(lost).union(lost_singles).union(sorted_)
+    return whole.union(lost).union(lost_singles).union(sorted_)
 
 
 def _finish(texts: bool):
