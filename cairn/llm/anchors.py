@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, _BYTE_CODE, cut, flat, gram_hashes, key_of, slices, sliding_min, span_hashes, starts_inside, word_spans
+from .common import PLAIN_WORD, _BYTE_CODE, cut, flat, gram_hashes, key_of, release, slices, sliding_min, span_hashes, starts_inside, word_spans
 
 #: Places in a slice are held in so many low bits beside the order of hashes.
 _PLACE = 28
@@ -98,6 +98,7 @@ def candidates(docs: DataFrame, kind: Kind, *, repeated: Column, only: DataFrame
         found = found.join(only, "_k", "left_semi")
     shared = found.groupBy("anchor").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.max("many").alias("many"), F.count("*").alias("rows"))
     shared = cut(shared.where(repeated).select("anchor"))
+    release(docs.sparkSession)
     hits = found.select("anchor", "_k").join(shared, "anchor", "left_semi").groupBy("_k").agg(F.collect_list("anchor").alias("anchors"))
     return docs.join(hits, "_k")
 

@@ -3,7 +3,7 @@
 Recurring passages are confirmed by counting: windows of `window` words whose anchor recurs are
 hashed, and a window is confirmed if two ids have it.  Its phrase is then taken from the first
 document that has it, sent to the shards whose documents have it too, and compiled into
-Aho-Corasick automata there, over an alphabet in which each word is one character.  All candidate
+Aho-Corasick automata there, over an alphabet in which each word is three characters.  All candidate
 stretches of a shard's documents are streamed through its automata, which finds every occurrence
 by the words themselves; what an earlier document has is removed.
 
@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Kind, candidates, copies, live_windows, merge_runs, prepared, with_spans
-from .common import PLAIN_WORD, cut, flat, gram_hashes, null_key, slices, span_hashes, word_spans
+from .common import PLAIN_WORD, cut, flat, gram_hashes, mix, null_key, release, slices, span_hashes, starts_inside, word_spans
 
 WINDOW, GRAM = 13, 5
 #: Text bytes of the documents of one shard, and phrases in one automaton.
 SHARD_BYTES = 12 << 20
-AUTOMATON = 40_000
+AUTOMATON = 20_000
 #: End of the span of a copy: all of a text that has a window.
 WHOLE = 1 << 40
 
@@ -81,9 +81,10 @@ def _hashed(n: int):
 
 
 def _phrases(n: int):
-    """Cogroup of a shard's stretches and the confirmed windows first found in it: phrases for other shards.
+    """Cogroup of a shard's stretches and the confirmed windows first found in it, a row for each shard
+    they are needed in: phrases for these shards.
 
-    A phrase is a run of confirmed windows with the same shards to go to.
+    A phrase is a run of confirmed windows that go to the same shards.
     """
 
     def run(stretches: pa.Table, confirmed: pa.Table) -> pa.Table:
@@ -92,59 +93,63 @@ def _phrases(n: int):
             stretches = stretches.combine_chunks()
             h, run_, (b, starts, ends, _, _, at) = _windows(stretches["words"], n)
             own = stretches["_k"].to_numpy()[run_]
-            w, first = confirmed["w"].to_numpy().view(np.uint64), confirmed["lo"].to_numpy()
-            order = np.argsort(w)
-            w, first = w[order], first[order]
+            w, to = confirmed["w"].to_numpy().view(np.uint64), confirmed["to"].to_numpy().astype(np.int64)
+            order = np.lexsort((to, w))
+            w, to, first = w[order], to[order], confirmed["lo"].to_numpy()[order]
+            head = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
+            tail = np.append(head[1:], len(w))
+            same = np.add.reduceat(mix(to.astype(np.uint64) + np.uint64(1)), head)  # equal for equal sets of shards
+            w, first = w[head], first[head]
             place = np.minimum(np.searchsorted(w, h), len(w) - 1)
             ok = np.flatnonzero((w[place] == h) & (first[place] == own))
-            place = order[place[ok]]
+            place = place[ok]
             _, once = np.unique(place, return_index=True)  # a window that the document has twice is sent once
             once.sort()
             ok, place = ok[once], place[once]
-            shards = confirmed["shards"].to_pylist()
-            to = [tuple(sorted(shards[p])) for p in place]
-            i = 0
-            while i < len(ok):
-                j = i + 1
-                while j < len(ok) and ok[j] == ok[j - 1] + 1 and run_[ok[j]] == run_[ok[i]] and to[j] == to[i]:
-                    j += 1
-                text = b[starts[at[ok[i]]] : ends[at[ok[j - 1]] + n - 1]].tobytes()
-                out += [(s, int(own[ok[i]]), text) for s in to[i]]
-                i = j
+            cut_ = np.flatnonzero((np.diff(ok) != 1) | (np.diff(run_[ok]) != 0) | (same[place][1:] != same[place][:-1])) + 1
+            for i, j in zip(np.concatenate([[0], cut_]).tolist(), [*cut_.tolist(), len(ok)], strict=True):
+                if i < j:
+                    text = b[starts[at[ok[i]]] : ends[at[ok[j - 1]] + n - 1]].tobytes()
+                    k, p = int(own[ok[i]]), place[i]
+                    out += [(s, k, text) for s in to[head[p] : tail[p]].tolist()]
         return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["shard", "first", "phrase"])
 
     return run
 
 
-def _characters(vocabulary: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Each word of the vocabulary as a code point from 2; 1 for any other word."""
+def _numbers(vocabulary: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """Each word's number in the vocabulary from 1; 0 for any other word."""
     at = np.minimum(np.searchsorted(vocabulary, codes), len(vocabulary) - 1)
-    c = np.where(vocabulary[at] == codes, at + 2, 1).astype(np.uint32)
-    return np.where(c >= 0xD800, c + 0x800, c).astype(np.uint32)  # not in the surrogates
+    return np.where(vocabulary[at] == codes, at + 1, 0)
 
 
-def _text_of(points: np.ndarray) -> str:
-    return points.astype("<u4").tobytes().decode("utf-32-le")
+def _text_of(numbers: np.ndarray) -> str:
+    """Three characters for a word, each from an alphabet of its own, so that matches begin and end with words.
+
+    An automaton looks for a child among its siblings one by one; 64 of them are few.
+    """
+    letters = np.stack([0x100 + (numbers >> 12), 0x200 + ((numbers >> 6) & 63), 0x300 + (numbers & 63)], axis=1)
+    return letters.astype("<u4").tobytes().decode("utf-32-le")
 
 
 def automata(phrases: pa.Array, firsts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, object]]:
     """(vocabulary, automaton) over the windows of the phrases, AUTOMATON windows each; a window's value is its first document."""
     import ahocorasick
 
-    sizes = np.maximum(np.array([p.count(b" ") for p in phrases.to_pylist()], np.int64) - n + 2, 1)
-    group = np.cumsum(sizes) // AUTOMATON
+    b, o = flat(phrases)
+    starts, ends, bounds = word_spans(b, o, PLAIN_WORD)
+    codes = span_hashes(b, starts, ends)
+    group = np.cumsum(np.diff(bounds) - n + 1) // AUTOMATON
     for g in np.unique(group):
-        which = np.flatnonzero(group == g)
-        b, o = flat(phrases.take(pa.array(which)))
-        starts, ends, bounds = word_spans(b, o, PLAIN_WORD)
-        codes = span_hashes(b, starts, ends)
-        vocabulary = np.unique(codes)
-        points = _characters(vocabulary, codes)
+        which = np.flatnonzero(group == g)  # one after another
+        lo, hi = bounds[which[0]], bounds[which[-1] + 1]
+        vocabulary = np.unique(codes[lo:hi])
+        text = _text_of(_numbers(vocabulary, codes[lo:hi]))
         machine = ahocorasick.Automaton()
-        for i, phrase in enumerate(which):
-            text = _text_of(points[bounds[i] : bounds[i + 1]])
-            for k in range(len(text) - n + 1):
-                machine.add_word(text[k : k + n], int(firsts[phrase]))
+        for p in which.tolist():
+            value = int(firsts[p])
+            for k in range(3 * int(bounds[p] - lo), 3 * int(bounds[p + 1] - lo - n) + 1, 3):
+                machine.add_word(text[k : k + 3 * n], value)
         machine.make_automaton()
         yield vocabulary, machine
 
@@ -160,16 +165,20 @@ def _locate(n: int):
             starts, ends, bounds = word_spans(b, o, PLAIN_WORD)
             codes = span_hashes(b, starts, ends)
             key, own, at = (stretches[c].to_numpy() for c in ("_k", "_h", "at"))
-            for vocabulary, machine in automata(phrases["phrase"].combine_chunks(), phrases["first"].to_numpy(), n):
-                points = _characters(vocabulary, codes)
-                for i in range(len(key)):
-                    part = points[bounds[i] : bounds[i + 1]]
-                    if (part != 1).sum() < n:
-                        continue
-                    found = np.array([e for e, first in machine.iter(_text_of(part)) if first < key[i]], np.int64)
-                    if len(found):
-                        a, z = merge_runs(found - n + 1, found + 1)
-                        k += [key[i]] * len(a)
+            inside = starts_inside(bounds, n)
+            order = np.argsort(phrases["first"].to_numpy(), kind="stable")  # phrases of a document share words
+            ordered = phrases.take(pa.array(order)).combine_chunks()
+            for vocabulary, machine in automata(ordered["phrase"], ordered["first"].to_numpy(), n):
+                numbers = _numbers(vocabulary, codes)
+                unknown = np.concatenate([[0], np.cumsum(numbers == 0)])
+                live = inside[unknown[inside + n] == unknown[inside]]  # n words in a row that the automaton knows
+                for i in np.unique(np.searchsorted(bounds, live, "right") - 1).tolist():
+                    mine = int(key[i])
+                    found = [e for e, first in machine.iter(_text_of(numbers[bounds[i] : bounds[i + 1]])) if first < mine]
+                    if found:
+                        last = np.array(found) // 3
+                        a, z = merge_runs(last - n + 1, last + 1)
+                        k += [mine] * len(a)
                         h += [own[i]] * len(a)
                         lo += (a + at[i]).tolist()
                         hi += (z + at[i]).tolist()
@@ -191,13 +200,18 @@ def spans(docs: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYT
     whole = whole.select("_k", "_h", F.lit(0).cast("long").alias("lo"), F.lit(WHOLE).alias("hi"))
     live = candidates(docs, kind, repeated=F.col("lo") < F.col("hi"), only=only)
     live = cut(live.mapInArrow(_stretches(kind), "_k long, _h long, at long, words binary"))
+    release(docs.sparkSession)
     hashed = live.select("_k", "words").mapInArrow(_hashed(window), "w long, _k long")
-    # a hot window adds up before it is sent: least and greatest id, and the bounded set of shards
-    counted = hashed.select("w", "_k", shard).groupBy("w").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.collect_set("shard").alias("shards"))
-    confirmed = counted.where("lo < hi").select(F.pmod(F.xxhash64("lo"), F.lit(n_shards)).cast("int").alias("shard"), "w", "lo", "shards")
+    confirmed = hashed.groupBy("w").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).where("lo < hi").select("w", "lo")
+    confirmed = cut(confirmed)
+    release(docs.sparkSession)
+    # (window, first document, shard that has it): a hot window is one row in each shard, made one where it is joined
+    routes = hashed.select("w", shard).join(confirmed, "w").select("w", "lo", F.col("shard").alias("to")).distinct()
+    routes = routes.select(F.pmod(F.xxhash64("lo"), F.lit(n_shards)).cast("int").alias("shard"), "w", "lo", "to")
     stretches = live.select(shard, "_k", "_h", "at", "words")
-    phrases = stretches.groupBy("shard").cogroup(confirmed.groupBy("shard")).applyInArrow(_phrases(window), "shard int, first long, phrase binary")
+    phrases = stretches.groupBy("shard").cogroup(routes.groupBy("shard")).applyInArrow(_phrases(window), "shard int, first long, phrase binary")
     phrases = cut(phrases)
+    release(docs.sparkSession)
     found = stretches.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_locate(window), "_k long, _h long, lo long, hi long")
     return found.union(whole)
 
@@ -225,6 +239,7 @@ def dedup(docs: DataFrame, *, window: int = WINDOW, texts: bool = False) -> Data
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept: the words left, by one space."""
     docs = prepared(docs)
     removed = cut(spans(docs, window=window))
+    release(docs.sparkSession)
     schema = "_k long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
     out = with_spans(docs, removed, _finish(window, texts), schema)
     return out.select(null_key("_k").alias("doc_id"), *out.columns[1:])
