@@ -28,9 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Kind, candidates, copies, live_windows, merge_runs, prepared, with_spans
-from .common import byte_gram_hashes, cut, flat, null_key, slices, span_hashes
+from .common import byte_gram_hashes, cut, flat, null_key, release, slices, span_hashes
 
-LENGTH, GRAM = 100, 16
+LENGTH, GRAM = 100, 32
 #: Text bytes for one shard of suffixes.
 SHARD_BYTES = 3 << 20
 HOT = 4096
@@ -263,7 +263,10 @@ def spans(docs: DataFrame, *, length: int = LENGTH, shard_bytes: int = SHARD_BYT
     whole = whole.where(F.col("size") >= length).select("_k", "_h", F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"))
     live = candidates(docs, kind, repeated=(F.col("rows") > 1) | F.col("many"), only=only)
     stretches = cut(live.mapInArrow(_stretches(kind), _STRETCH))
+    del live
+    release(docs.sparkSession)
     firsts, lost = _collapse(stretches, length)
+    release(docs.sparkSession)
     crowds = firsts.groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
     singles = cut(firsts.join(crowds, "anchor", "left_semi").select(*_STRETCH_NAMES).mapInArrow(_single(length), _STRETCH))
     _, lost_singles = _collapse(singles, length)
@@ -301,6 +304,7 @@ def dedup(docs: DataFrame, *, length: int = LENGTH, texts: bool = False) -> Data
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the bytes left."""
     docs = prepared(docs)
     removed = cut(spans(docs, length=length))
+    release(docs.sparkSession)
     schema = "_k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
     out = with_spans(docs, removed, _finish(texts), schema)
     return out.select(null_key("_k").alias("doc_id"), *out.columns[1:])
