@@ -1,0 +1 @@
+"""Readers: archives of many formats, catalogs, folders; each gives catalog rows."""
