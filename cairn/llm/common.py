@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 #: Words are maximal runs of bytes other than space and \t \n \v \f \r.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Bytes of text that one vectorised step handles; a longer text is a slice of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: The id that stands for a null doc_id inside the operators: it comes before all others.
 NULL_ID = -(1 << 63)
 

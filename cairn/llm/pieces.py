@@ -37,7 +37,7 @@ SEED = 20_240_229
 DROPOUT = 0.1
 #: Segmentations that a word may have over the corpus, by document.
 STREAMS = 4
-SLICE = 3 << 20
+SLICE = 2 << 20
 #: Longer words, in characters, have an agenda of their own.
 SHORT = 28
 
