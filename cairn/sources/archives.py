@@ -109,10 +109,9 @@ def recursive(archives: DataFrame, *, max_depth: int = 8, strip: bool = False, c
     top = members_of(archives, content=True, **options)
 
     def expand(found: DataFrame) -> DataFrame:
-        keyed = found.select(F.to_json(F.struct("archive", "mount")).alias("archive"), F.col("content").alias("data"))
+        keyed = found.select(F.concat("archive", F.lit("\0"), "mount").alias("archive"), F.col("content").alias("data"))
         inner = members_of(keyed, content=True, **options).where("error is null")
-        where = F.from_json("archive", "archive string, mount string")
-        return inner.withColumn("_w", where).withColumn("archive", F.col("_w.archive")).withColumn("mount", F.col("_w.mount")).drop("_w")
+        return inner.withColumn("mount", F.substring_index("archive", "\0", -1)).withColumn("archive", F.substring_index("archive", "\0", 1))
 
     def mount(full: Column) -> Column:
         return formats.strip_suffix(full, rules) if strip else full

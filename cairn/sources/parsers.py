@@ -357,7 +357,7 @@ def recognise(data: bytes, name: str = "") -> list[str]:
     if re.match(rb"(?is)\s*<(!doctype html|html)", data[:1024]):
         out.append("html")
     if not out and any(data.startswith(m) for m, _ in _DECODERS):
-        if re.search(r"(?i)\.(tar\.[a-z0-9]+|t(gz|bz2?|xz|zst|b2|z2))$", name):
+        if re.search(r"(?i)\.(tar\.[a-z0-9]+|t(gz|bz2?|xz|zst|b2|z2))$", name) or is_tar(decompress(data) or b""):
             out.append("tar")
         out.append("compressed")
     return out
