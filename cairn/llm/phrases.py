@@ -205,8 +205,8 @@ def spans(docs: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYT
     confirmed = hashed.groupBy("w").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi")).where("lo < hi").select("w", "lo")
     confirmed = cut(confirmed)
     release(docs.sparkSession)
-    # (window, first document, shard that has it): a hot window is one row in each shard, made one where it is joined
-    routes = hashed.select("w", shard).join(confirmed, "w").select("w", "lo", F.col("shard").alias("to")).distinct()
+    # (window, first document, shard of a later one that has it): a hot window is one row in each shard, made one where it is joined
+    routes = hashed.select("w", "_k", shard).join(confirmed, "w").where("_k <> lo").select("w", "lo", F.col("shard").alias("to")).distinct()
     routes = routes.select(F.pmod(F.xxhash64("lo"), F.lit(n_shards)).cast("int").alias("shard"), "w", "lo", "to")
     stretches = live.select(shard, "_k", "_h", "at", "words")
     phrases = stretches.groupBy("shard").cogroup(routes.groupBy("shard")).applyInArrow(_phrases(window), "shard int, first long, phrase binary")
