@@ -202,6 +202,9 @@ def _shard(length: int):
 
     def run(table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
+        # the only stretch of its anchor has no equal string: copies of it are gone already
+        _, place, count = np.unique(table["anchor"].to_numpy(), return_inverse=True, return_counts=True)
+        table = table.take(pa.array(np.flatnonzero(count[place] > 1))).combine_chunks()
         k, h, at, n = (table[c].to_numpy().astype(np.int64) for c in ("_k", "_h", "at", "n"))
         b, o = flat(table["bytes"])
         size = np.diff(o)
@@ -271,7 +274,7 @@ def spans(docs: DataFrame, *, length: int = LENGTH, shard_bytes: int = SHARD_BYT
     singles = cut(firsts.join(crowds, "anchor", "left_semi").select(*_STRETCH_NAMES).mapInArrow(_single(length), _STRETCH))
     _, lost_singles = _collapse(singles, length)
     shard = F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("int").alias("shard")
-    dealt = firsts.join(crowds, "anchor", "left_anti").select(shard, "_k", "_h", "at", "n", "bytes")
+    dealt = firsts.join(crowds, "anchor", "left_anti").select(shard, "anchor", "_k", "_h", "at", "n", "bytes")
     sorted_ = dealt.groupBy("shard").applyInArrow(_shard(length), _SPANS)
     return whole.union(lost).union(lost_singles).union(sorted_)
 
