@@ -50,7 +50,7 @@ class TestBlock:
     suffixes: dict[int, tuple[np.ndarray, np.ndarray]]  # window length -> starts in words, item of each
 
 
-def test_block(ids: list, texts: list, window: int) -> TestBlock:
+def block_of(ids: list, texts: list, window: int) -> TestBlock:
     b, o = flat(pa.array(texts, pa.string()))
     b = _LOWER[b]
     starts, ends, first = word_spans(b, o, _IS_WORD)
@@ -133,38 +133,44 @@ def search(words: np.ndarray, bounds: np.ndarray, block: TestBlock) -> Iterator[
 _OUT = "doc_id long, n_words long, hits array<int>, items array<string>, longest long, longest_item string, longest_at long"
 
 
+def _found(texts: pa.Array, blocks: list[TestBlock]) -> tuple[np.ndarray, list, list, list]:
+    """Per document of one shard: (bounds of its words, word places inside windows, item ids, longest match)."""
+    b, o = flat(texts)
+    b = _LOWER[b]
+    starts, ends, bounds = word_spans(b, o, _IS_WORD)
+    hashes = span_hashes(b, starts, ends)
+    n = len(o) - 1
+    hits: list = [[] for _ in range(n)]
+    items: list = [[] for _ in range(n)]
+    best: list = [(0, None, None)] * n
+    for block in blocks:
+        if not len(block.vocabulary):
+            continue
+        at = np.minimum(np.searchsorted(block.vocabulary, hashes), len(block.vocabulary) - 1)
+        words = np.where(block.vocabulary[at] == hashes, at + 1, 0)
+        for m, place, item, length in search(words, bounds, block):
+            doc = np.searchsorted(bounds, place, "right") - 1
+            order = np.argsort(doc, kind="stable")
+            doc, place, item, length = doc[order], place[order], item[order], length[order]
+            cuts = np.flatnonzero(np.diff(doc)) + 1
+            for p, i, s, d in zip(np.split(place, cuts), np.split(item, cuts), np.split(length, cuts), doc[np.concatenate([[0], cuts])]):
+                hits[d].append(np.unique((p[:, None] + np.arange(m)).ravel()) - bounds[d])
+                items[d] += [block.items[x] for x in np.unique(i)]
+                top = int(np.lexsort((p, -s))[0])
+                best[d] = max(best[d], (int(s[top]), block.items[int(i[top])], int(p[top] - bounds[d])), key=lambda x: x[0])
+    return bounds, hits, [sorted(set(x)) for x in items], best
+
+
 def _scan(blocks: list[TestBlock]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            b, o = flat(batch.column("text"))
-            b = _LOWER[b]
-            starts, ends, bounds = word_spans(b, o, _IS_WORD)
-            hashes = span_hashes(b, starts, ends)
-            n = batch.num_rows
-            hits: list = [[] for _ in range(n)]
-            items: list = [[] for _ in range(n)]
-            best: list = [(0, None, None)] * n
-            for block in blocks:
-                if not len(block.vocabulary):
-                    continue
-                at = np.minimum(np.searchsorted(block.vocabulary, hashes), len(block.vocabulary) - 1)
-                words = np.where(block.vocabulary[at] == hashes, at + 1, 0)
-                for m, place, item, length in search(words, bounds, block):
-                    doc = np.searchsorted(bounds, place, "right") - 1
-                    order = np.argsort(doc, kind="stable")
-                    doc, place, item, length = doc[order], place[order], item[order], length[order]
-                    cuts = np.flatnonzero(np.diff(doc)) + 1
-                    for p, i, s, d in zip(np.split(place, cuts), np.split(item, cuts), np.split(length, cuts), doc[np.concatenate([[0], cuts])]):
-                        hits[d].append(np.unique((p[:, None] + np.arange(m)).ravel()) - bounds[d])
-                        items[d] += [block.items[x] for x in np.unique(i)]
-                        top = int(np.lexsort((p, -s))[0])
-                        best[d] = max(best[d], (int(s[top]), block.items[int(i[top])], int(p[top] - bounds[d])), key=lambda x: x[0])
+            bounds, hits, items, best = _found(batch.column("text"), blocks)
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(np.diff(bounds)),
                     pa.array([np.unique(np.concatenate(h)).astype(np.int32) if h else [] for h in hits], pa.list_(pa.int32())),
-                    pa.array([sorted(set(x)) for x in items], pa.list_(pa.string())),
+                    pa.array(items, pa.list_(pa.string())),
                     pa.array([x[0] for x in best], pa.int64()),
                     pa.array([x[1] for x in best], pa.string()),
                     pa.array([x[2] for x in best], pa.int64()),
@@ -175,22 +181,28 @@ def _scan(blocks: list[TestBlock]):
     return run
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """One row per document: n_words, hits (numbers of the words inside a window), items (ids, sorted),
-    and the longest verbatim match with its item and place.
-
-    The benchmark's size is read first.  Its blocks are held by each task one after another; each
-    is bounded by block_bytes (one item may be longer).
-    """
+def blocks_of(benchmark: DataFrame, window: int, block_bytes: int) -> list[TestBlock]:
+    """The benchmark in blocks; its size is read first, and each collect is bounded by a block's."""
     tests = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = int(total // block_bytes) + 1
     numbered = tests.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)))
     blocks = []
-    for k in range(n_blocks):  # each collect is bounded by the size of a block
+    for k in range(n_blocks):
         rows = numbered.where(F.col("block") == k).select("item_id", "text").toArrow()
         if rows.num_rows:
-            blocks.append(test_block(rows["item_id"].to_pylist(), rows["text"].to_pylist(), window))
+            blocks.append(block_of(rows["item_id"].to_pylist(), rows["text"].to_pylist(), window))
+    return blocks
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """One row per document: n_words, hits (numbers of the words inside a window), items (ids, sorted),
+    and the longest verbatim match with its item and place.
+
+    Each task goes through the benchmark's blocks one after another; a block is bounded by
+    block_bytes (one item may be longer).
+    """
+    blocks = blocks_of(benchmark, window, block_bytes)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_scan(blocks), _OUT)
 
 
@@ -210,19 +222,13 @@ def sha_of(items: list[str]) -> str:
     return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
-    """docs without the affected documents, all columns kept.
-
-    Rows are matched by (doc_id, text), so rows that share an id are judged each on its own text.
-    """
-    return _keep(docs, matches_with_key(docs, benchmark, window, min_items))
-
-
-def matches_with_key(docs: DataFrame, benchmark: DataFrame, window: int, min_items: int) -> DataFrame:
-    keyed = docs.select(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.col("doc_id").isNull()).alias("doc_id"), "text")
-    return matches(keyed, benchmark, window=window).where(F.size("items") >= min_items).select(F.col("doc_id").alias("_row")).distinct()
+def clean(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, min_items: int = MIN_ITEMS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without the affected rows, all columns as they were; one pass, no shuffle."""
+    blocks = blocks_of(benchmark, window, block_bytes)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches):
+            _, _, items, _ = _found(batch.column(batch.schema.get_field_index("text")), blocks)
+            yield batch.filter(pa.array([len(x) < min_items for x in items], pa.bool_()))
 
-def _keep(docs: DataFrame, bad: DataFrame) -> DataFrame:
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit("")), F.col("doc_id").isNull())
-    return docs.withColumn("_row", key).join(bad, "_row", "left_anti").select(*docs.columns)
+    return docs.mapInArrow(run, docs.schema)
