@@ -6,6 +6,7 @@ slice is handled as one flat byte array with numpy, so that no code runs per cha
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -21,6 +22,12 @@ SLICE_BYTES = 1 << 20
 #: The id that stands for a null doc_id inside the operators: it comes before all others.
 NULL_ID = -(1 << 63)
 
+try:
+    # the C library gives blocks of 4 MB and more back as soon as they are freed, also after many were
+    ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)
+except (OSError, AttributeError):  # another C library
+    pass
+
 _U = np.uint64
 _MULT = _U(0x9E3779B97F4A7C15)
 _BYTE_BASE = _U(0xD6E8FEB86659FD93)
@@ -56,6 +63,18 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Rows of an Arrow batch: texts are long, and JVM and Python hold a batch of each task.
+BATCH_ROWS = 1024
+
+
+def small_batches(spark: SparkSession) -> SparkSession:
+    """Lower the session's Arrow batches to BATCH_ROWS where they are larger."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) > BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+    return spark
+
+
 def key_of(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.col(doc_id).cast("long"), F.lit(NULL_ID))
 

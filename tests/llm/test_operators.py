@@ -189,7 +189,7 @@ def test_near_duplicates(spark, monkeypatch, rows, small):
     rng = random.Random(9)
     base = prose(rng, 200).split()
     data = [(100 + i, " ".join(base[: 195 - i] + [f"e{i}"] + base[196 - i :])) for i in range(30)] + [(i, t) for i, t in rows if (i, t) not in ((None, rows[9][1]),)]
-    df = spark.createDataFrame([(i, t, "c", "d", "e") for i, t in data], "doc_id long, text string, node string, bucket string, root string")
+    df = spark.createDataFrame([(i, t, "c", "d", "e", "k") for i, t in data], "doc_id long, text string, node string, bucket string, root string, _k string")
     groups, linked, root = brute_links(data)
     want = Counter()
     for w, ids in groups.items():
@@ -199,6 +199,7 @@ def test_near_duplicates(spark, monkeypatch, rows, small):
     assert got == want
     kept = near_dup.keep_one(df)
     assert sorted({key(r.doc_id) for r in kept.collect()}) == sorted(set(root.values())) and kept.columns == df.columns
+    assert {r["_k"] for r in kept.collect()} == {"k"}
 
 
 def test_near_duplicates_empty(nothing):
