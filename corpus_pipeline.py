@@ -11,33 +11,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import decontaminate, near_dup, pieces, quality, secrets
-from cairn.llm.common import cut
+from cairn.llm.common import cut, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that no rule rejects."""
+    small_batches(spark)
     return quality.apply_rules(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that links of Jaccard 0.8 or more on five-word shingles connect: the one with the least id."""
+    small_batches(spark)
     return near_dup.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that don't hold windows of two or more benchmark items."""
+    small_batches(spark)
     return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced by a mark and n_chars counted anew."""
+    small_batches(spark)
     return secrets.redact(docs, length="n_chars")
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_ids and whether the ids decode to the text."""
+    small_batches(spark)
     out = pieces.encode(docs, "doc_id", "lang", "source")
     return out.selectExpr("doc_id", "lang", "source", "ids", "cast(size(ids) AS bigint) AS n_ids", "lossless")
 
