@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import PLAIN_WORD, cut, flat, mix, release, shared_dir, slices, span_hashes, word_spans
 from .files import mapped, write_bytes
 
-ORDER = 2
+ORDER = 3
 #: Text bytes for one bucket of counts.
 BUCKET_BYTES = 24 << 20
 HOT_SHARE = 2000
