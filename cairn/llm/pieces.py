@@ -2,24 +2,23 @@
 
 A text gets a leading space, spaces become U+2581, and the pieces of a BPE model are merged by
 agenda: the best-scoring adjacent pair first, the leftmost of equals.  With dropout each candidate
-taken from the agenda is skipped if a hash keyed by the seed falls under the rate, so a text has
-one segmentation per seed, on any machine, and other seeds give others; rate 0 gives the model's
-own segmentation.  Characters that the model lacks become its byte pieces, and so does a U+2581 of
+taken from the agenda is skipped if a hash keyed by seed, doc_id and the word's number in its text
+falls under the rate, so equal words are cut each on its own, a text has one segmentation per seed
+and id, on any machine, and other seeds give others; rate 0 gives the model's own segmentation.  Characters that the model lacks become its byte pieces, and so does a U+2581 of
 the text itself, so that decoding always gives the text back.
 
 No piece has U+2581 after another character or a line end beside one, so texts are cut there into
-words; the distinct words of a slice are segmented once, those of equal length together, one
-agenda step of all of them at a time.  A text's stream of dropout is the keyed hash of its id,
-modulo `streams`.
+words; words of equal length are segmented together, one agenda step of all of them at a time.
+The distinct words of a slice go through it once without dropout.  An occurrence none of whose
+merges on that way is skipped has the same ids; the others go through the agenda on their own.
 
 Defined results: a null or empty text has no ids and decodes to an empty text; repeated rows get equal
-ids; a null doc_id is a stream of its own; columns beyond those named are not read.  The model is
+ids; without a doc_id the text stands for it; columns beyond those named are not read.  The model is
 read from a path; it is never trained or copied.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 from collections.abc import Iterator
 from functools import lru_cache
@@ -35,8 +34,6 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEED = 20_240_229
 #: Share of candidate merges that are skipped.
 DROPOUT = 0.1
-#: Segmentations that a word may have over the corpus, by document.
-STREAMS = 4
 SLICE = 2 << 20
 #: Longer words, in characters, have an agenda of their own.
 SHORT = 28
@@ -101,8 +98,8 @@ class Pieces:
 
     # --- one word ---------------------------------------------------------------------------
 
-    def segment(self, word: str, threshold: int = 0, h: int = 0) -> list[int]:
-        """Ids of a word (spaces as U+2581) under dropout threshold / 2**64 and the word's keyed hash h."""
+    def segment(self, word: str, threshold: int = 0, h: int = 0, trace: list[int] | None = None) -> list[int]:
+        """Ids of a word (spaces as U+2581) under dropout threshold / 2**64 and the word's keyed hash h; trace gets its merges."""
         n = len(word)
         get = self.rank.get
         end = list(range(1, n + 1))  # of the symbol that starts here; 0 if none does
@@ -113,8 +110,11 @@ class Pieces:
             _, a, b, c = heapq.heappop(agenda)
             if end[a] != b or b >= n or end[b] != c:
                 continue
-            if threshold and _mix(h ^ (a * _A + b * _B + c * _C & _MASK)) < threshold:
+            merge = a * _A + b * _B + c * _C & _MASK
+            if threshold and _mix(h ^ merge) < threshold:
                 continue
+            if trace is not None:
+                trace.append(merge)
             end[a], end[b] = c, 0
             if c < n:
                 left[c] = a
@@ -140,8 +140,8 @@ class Pieces:
         found = self.pair_keys[at] == key
         return self.pair_ids[at], np.where(found, self.pair_ranks[at], _NONE)
 
-    def _equal_length(self, symbols: np.ndarray, h: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols (words, n) of words of n characters.  (symbols, number of them) after all merges."""
+    def _equal_length(self, symbols: np.ndarray, h: np.ndarray, threshold: int, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols (words, n) of words of n characters.  (symbols, number of them) after all merges; trace gets (words, merges)."""
         words, n = symbols.shape
         out, sizes = symbols.copy(), np.full(words, n)
         who = np.arange(words)
@@ -163,9 +163,13 @@ class Pieces:
                 row = np.arange(len(who))
                 if not len(who):
                     break
-            if threshold:
+            if threshold or trace is not None:
                 u = [start[row, k + d].astype(np.uint64) for d in (0, 1, 2)]
-                skip = mix(h[who] ^ (u[0] * np.uint64(_A) + u[1] * np.uint64(_B) + u[2] * np.uint64(_C))) < np.uint64(threshold)
+                merge = u[0] * np.uint64(_A) + u[1] * np.uint64(_B) + u[2] * np.uint64(_C)
+            if trace is not None:
+                trace.append((who, merge))
+            if threshold:
+                skip = mix(h[who] ^ merge) < np.uint64(threshold)
                 rank[row[skip], k[skip]] = _NONE
                 row, k = row[~skip], k[~skip]
             if not len(row):
@@ -194,8 +198,8 @@ class Pieces:
                 piece[rr, kk], rank[rr, kk] = self._pairs(symbols[rr, kk], symbols[rr, kk + 1])
         return out, sizes
 
-    def segment_all(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds) of the words b[start:end], which are UTF-8."""
+    def segment_all(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, threshold: int, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of the words b[start:end], which are UTF-8; trace (without dropout only) gets (words, merges)."""
         size = ends - starts
         at = np.repeat(starts - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
         own = b[at]
@@ -216,17 +220,23 @@ class Pieces:
             got = symbol[edges[which][:, None] + np.arange(n)]
             sizes = np.ones(len(which), np.int64)
             if n > 1:
-                got, sizes = self._equal_length(got, h[which], threshold)
+                own_trace = None if trace is None else []
+                got, sizes = self._equal_length(got, h[which], threshold, own_trace)
+                if trace is not None:
+                    trace += [(which[w], merge) for w, merge in own_trace]
             values.append(got[np.arange(n)[None, :] < sizes[:, None]])
             owner.append(which)
             counts[which] = sizes
         for w in np.flatnonzero(slow):
             text = own_text(code[edges[w] : edges[w + 1]])
             ids: list[int] = []
+            merges: list[int] | None = None if trace is None else []
             for k, part in enumerate(text.split(_SPACE)):
                 if k:
                     ids += [self.bytes[x] for x in _SPACE.encode()]
-                ids += self.segment(part.replace(" ", _SPACE), threshold, int(h[w]))
+                ids += self.segment(part.replace(" ", _SPACE), threshold, int(h[w]), merges)
+            if merges:
+                trace.append((np.full(len(merges), w), np.array(merges, np.uint64)))
             values.append(np.array(ids, np.int32))
             owner.append(np.array([w]))
             counts[w] = len(ids)
@@ -239,7 +249,7 @@ class Pieces:
         return out, bounds
 
     def encode_all(self, b: np.ndarray, o: np.ndarray, keys: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, bounds) of texts; keys: of each text's stream."""
+        """(ids, bounds) of texts; keys: of seed and id of each text."""
         full = np.diff(o) > 0
         shift = np.concatenate([[0], np.cumsum(full)])
         texts = np.full(len(b) + shift[-1], 32, np.uint8)  # a space before each text
@@ -252,13 +262,19 @@ class Pieces:
         starts = np.flatnonzero(cut)
         ends = np.append(starts[1:], len(texts)) if len(starts) else starts
         first = np.searchsorted(starts, bounds)
-        h = span_hashes(texts, starts, ends)
-        h = mix(h ^ np.repeat(keys, np.diff(first)))
-        distinct, at, place = np.unique(h, return_index=True, return_inverse=True)
-        ids, edges = self.segment_all(texts, starts[at], ends[at], distinct, threshold)
-        count = np.diff(edges)[place]
+        _, at, place = np.unique(span_hashes(texts, starts, ends), return_index=True, return_inverse=True)
+        trace: list | None = [] if threshold else None
+        ids, edges = self.segment_all(texts, starts[at], ends[at], np.zeros(len(at), np.uint64), 0, trace)
+        from_, count = edges[:-1][place], np.diff(edges)[place]
+        if trace:
+            number = (np.arange(len(starts)) - np.repeat(first[:-1], np.diff(first))).astype(np.uint64)
+            h = mix(mix(np.repeat(keys, np.diff(first))) + number * np.uint64(_A))
+            again = np.flatnonzero(_any_skipped(trace, len(at), place, h, threshold))
+            more, bounds = self.segment_all(texts, starts[again], ends[again], h[again], threshold)
+            from_[again], count[again] = len(ids) + bounds[:-1], np.diff(bounds)
+            ids = np.concatenate([ids, more])
         total = np.concatenate([[0], np.cumsum(count)])
-        out = ids[np.repeat(edges[:-1][place] - total[:-1], count) + np.arange(total[-1])]
+        out = ids[np.repeat(from_ - total[:-1], count) + np.arange(total[-1])]
         return out, total[first]
 
     def encode(self, text: str, threshold: int = 0, key: int = 0) -> list[int]:
@@ -283,6 +299,19 @@ class Pieces:
         return out.tobytes().decode("utf-8", "replace")
 
 
+def _any_skipped(trace: list[tuple[np.ndarray, np.ndarray]], n: int, place: np.ndarray, h: np.ndarray, threshold: int) -> np.ndarray:
+    """Whether dropout skips one of the merges of each occurrence; trace: (words, merges) of n distinct words, place: an occurrence's word."""
+    word, merge = (np.concatenate(x) for x in zip(*trace, strict=True))
+    merge = merge[np.argsort(word, kind="stable")]
+    size = np.bincount(word, minlength=n)
+    at = np.concatenate([[0], np.cumsum(size)])[:-1]
+    count = size[place]
+    total = np.concatenate([[0], np.cumsum(count)])
+    skip = mix(np.repeat(h, count) ^ merge[np.repeat(at[place] - total[:-1], count) + np.arange(total[-1])]) < np.uint64(threshold)
+    skips = np.concatenate([[0], np.cumsum(skip)])
+    return skips[total[1:]] > skips[total[:-1]]
+
+
 def own_text(code: np.ndarray) -> str:
     return code.tobytes().decode("utf-32-le", "surrogatepass")
 
@@ -296,17 +325,12 @@ def threshold_of(dropout: float) -> int:
     return min(int(dropout * 2.0**64), _MASK)
 
 
-def stream_keys(seed: int, streams: int) -> np.ndarray:
-    """A key for each stream, and one for texts without an id."""
-    return np.array([int.from_bytes(hashlib.blake2b(f"{seed}/{s}".encode(), digest_size=8).digest(), "little") for s in range(streams + 1)], np.uint64)
-
-
-def _encode(model: str, seed: int, dropout: float, streams: int):
+def _encode(model: str, dropout: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, threshold, keys = _pieces(model), threshold_of(dropout), stream_keys(seed, streams)
+        pieces, threshold = _pieces(model), threshold_of(dropout)
         for part in slices(batches, limit=SLICE):
             b, o = flat(part.column("text"))
-            ids, bounds = pieces.encode_all(b, o, keys[part.column("_stream").to_numpy()], threshold)
+            ids, bounds = pieces.encode_all(b, o, part.column("_key").to_numpy().view(np.uint64), threshold)
             back, at = pieces.decode_all(ids, bounds)
             whole = np.diff(at) == np.diff(o)
             if len(back) == len(b):
@@ -321,12 +345,13 @@ def _encode(model: str, seed: int, dropout: float, streams: int):
     return run
 
 
-def encode(docs: DataFrame, *keep: str, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT, streams: int = STREAMS) -> DataFrame:
-    """keep columns, text, ids and lossless (whether the ids decode to the text) of every row; doc_id gives the stream."""
-    keyed = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id").cast("long")), F.lit(streams)).cast("int")
-    df = docs.select(*keep, "text", F.when(F.col("doc_id").isNull(), F.lit(streams)).otherwise(keyed).alias("_stream"))
+def encode(docs: DataFrame, *keep: str, model: str = MODEL, seed: int = SEED, dropout: float = DROPOUT) -> DataFrame:
+    """keep columns, text, ids and lossless (whether the ids decode to the text) of every row; doc_id keys the dropout."""
+    doc_id = F.col("doc_id").cast("long")
+    key = F.when(doc_id.isNull(), F.xxhash64(F.lit(seed), F.coalesce(F.col("text"), F.lit("")))).otherwise(F.xxhash64(F.lit(seed), doc_id))
+    df = docs.select(*keep, "text", key.alias("_key"))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema), "ids array<int>", "lossless boolean"])
-    return df.mapInArrow(_encode(model, seed, dropout, streams), schema).drop("_stream")
+    return df.mapInArrow(_encode(model, dropout), schema).drop("_key")
 
 
 def decode(rows: DataFrame, *keep: str, model: str = MODEL) -> DataFrame:

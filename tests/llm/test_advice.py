@@ -2,7 +2,11 @@
 
 import zlib
 
-from cairn.llm import kneser_ney
+import numpy as np
+import pyarrow as pa
+
+from cairn.llm import kneser_ney, pieces
+from cairn.llm.common import flat, mix
 
 
 def test_language_model_sees_two_words_back(spark):
@@ -13,3 +17,36 @@ def test_language_model_sees_two_words_back(spark):
     got = {r.doc_id: r for r in kneser_ney.perplexity(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got[likely].held_out and got[unlikely].held_out
     assert got[likely].score > got[unlikely].score + 0.5
+
+
+def test_dropout_varies_by_occurrence_and_document(spark):
+    word = " internationalization"
+    docs = spark.createDataFrame([(i, word * 50) for i in range(40)] + [(3, word * 50), (None, word), (None, word + word)], "doc_id long, text string")
+    rows = pieces.encode(docs, "doc_id").collect()
+    assert all(r.lossless for r in rows)
+    assert len({tuple(r.ids) for r in rows if r.doc_id is not None}) == 40
+    assert len({tuple(r.ids) for r in rows if r.doc_id == 3}) == 1
+    table = pieces.Pieces()
+    plain = table.encode(word[1:])
+    cuts, now = set(), []
+    for i in rows[0].ids:
+        if table.raw[i].startswith(b" ") and now:
+            cuts.add(tuple(now))
+            now = []
+        now.append(i)
+    assert len(cuts) > 5 and tuple(plain) in cuts
+
+
+def test_dropout_equals_the_agenda_of_each_occurrence():
+    table, threshold = pieces.Pieces(), pieces.threshold_of(0.1)
+    texts = ["the rain in Spain  falls\nmainly é on the 😀 plain", "", "a" * 60 + " the the the rain"]
+    keys = np.array([5, 6, 7], np.uint64)
+    b, o = flat(pa.array(texts))
+    ids, bounds = table.encode_all(b, o, keys, threshold)
+    for k, words in enumerate((["▁the", "▁rain", "▁in", "▁Spain", "▁▁falls", "\n", "mainly", "▁é", "▁on", "▁the", "▁😀", "▁plain"], [], ["▁" + "a" * 60, "▁the", "▁the", "▁the", "▁rain"])):
+        want = []
+        # a line end is a word, and so is what follows it
+        for n, w in enumerate(words):
+            h = mix(mix(keys[k : k + 1]) + np.array([n], np.uint64) * np.uint64(pieces._A))
+            want += table.segment(w, threshold, int(h[0]))
+        assert ids[bounds[k] : bounds[k + 1]].tolist() == want
