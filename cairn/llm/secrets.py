@@ -28,11 +28,12 @@ THRESHOLD = 0.5
 #: Characters of text on each side in which neighbouring words are looked for.
 NEIGHBOURS = 40
 
-_NAMES = r"(?:password|passwd|pwd|secret|token|api_?key|auth)"
-#: A run of key characters with a digit, or a value that is set to such a name.
+_NAMES = r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)"
+#: A run of key characters with a digit, or a value that is set to such a name: the name may go on,
+#: and quotes and blanks may stand round the sign.  The short look back comes first as it is cheap.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,64}[0-9])[A-Za-z0-9_+/-]{16,}+"
-    r"|(?<=(?i:password|passwd|pwd|secret|token|api_key|apikey)[=:]{1}[ ]{0,2}[\"']{0,1})[^\s\"',;]{8,}+"
+    r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]*+[0-9])[A-Za-z0-9_+/-]{16,}+"
+    r"|(?<=[=:>\s\"'])(?<=[=:>]\s{0,8}[\"']?)(?<=" + _NAMES + r"[A-Za-z0-9_-]{0,16}[\"']?\s{0,8}(?:[=:]{1,2}|=>)\s{0,8}[\"']?)(?![=:>])[^\s\"',;]{8,}+"
 )
 # Words that make a string readable rather than random.
 _DICTIONARY = """access account admin api auth backup branch build cache change client cloud commit config content copy credential data database date

@@ -1,11 +1,12 @@
 """Whole jobs: what a review of the operators found cut short."""
 
+import hashlib
 import zlib
 
 import numpy as np
 import pyarrow as pa
 
-from cairn.llm import kneser_ney, pieces
+from cairn.llm import kneser_ney, pieces, secrets
 from cairn.llm.common import flat, mix
 
 
@@ -50,3 +51,34 @@ def test_dropout_equals_the_agenda_of_each_occurrence():
             h = mix(mix(keys[k : k + 1]) + np.array([n], np.uint64) * np.uint64(pieces._A))
             want += table.segment(w, threshold, int(h[0]))
         assert ids[bounds[k] : bounds[k + 1]].tolist() == want
+
+
+SET = {
+    'password = "%s"': "Summer2024xy",
+    '{"password": "%s"}': "Summer2024xy",
+    "db_password = %s": "hunter2Hunter",
+    "secret_key=%s": "abcDEF123456",
+    'auth_token = "%s"': "correcthorsebatterystaple",
+    'AWS_SECRET = "%s"': "QwErTyUiOpAsDfGhJkLzXcVbNmQwErTyUiOpAsDf",
+    "'api-key' => '%s'": "k8Jq2LmPz9Xv",
+    "password := `%s`": "k8Jq2LmPz9Xv"[:8],
+    "token=%s": "abcDEF123456",
+    "x %s": "a" * 80 + "1" + "b" * 9,
+}
+
+
+def test_secrets_set_to_names_are_candidates(spark):
+    forest = secrets.default_forest(spark)
+    docs = spark.createDataFrame([(i, "see " + k % v + " end") for i, (k, v) in enumerate(SET.items())], "doc_id long, text string")
+    found = {}
+    for r in secrets.scan(docs, forest).collect():
+        found.setdefault(r.doc_id, set()).add((r.sha256, r.is_secret))
+    for i, (k, v) in enumerate(SET.items()):
+        value = f"`{v}`" if "`" in k else v
+        assert hashlib.sha256(value.encode()).hexdigest() in {x for x, _ in found.get(i, ())}, k
+    clean = {r.doc_id: r.text for r in secrets.redact(docs, forest).collect()}
+    for i, v in enumerate(SET.values()):
+        assert (v in clean[i]) != any(s for _, s in found[i])
+    assert sum("[SECRET]" in t for t in clean.values()) >= 6, clean
+    plain = spark.createDataFrame([(1, "the token was lost; a password is asked for, see the author: Somebody Else. if token == null")], "doc_id long, text string")
+    assert secrets.scan(plain, forest).where("is_secret").count() == 0
