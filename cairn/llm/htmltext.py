@@ -5,8 +5,9 @@ lies in links; a node's density sum is the sum of its children's densities.  The
 the largest sum is the main one, and an article or main element round it is taken whole.  The
 smallest density on the path from body to it is the threshold: without such an element, siblings
 along the path count as main text too if their density reaches the threshold.  Menus, page
-headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are cut
-off before.
+headers, footers, forms, scripts and styles are cut off before; so is what a class, id or role
+names as a sidebar, notice, advert, reader comments and the like, unless it is or holds the main
+text (`resolve`).
 
 Defined results: a null, empty or tag-only page gives an empty text; broken markup (open tags,
 stray end tags, a cut-off page) is read as browsers do in the common cases; repeated rows give
@@ -58,11 +59,13 @@ _HINTS = frozenset(
     promotion related recommended replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe
     toolbar widget widgets alert dialog""".split()
 )
-_HEADER_HINTS = frozenset("header masthead banner".split())
+# Of these, words that also begin names of an article's own parts; there the share of links decides.
+_LOOSE = frozenset("alert dialog notice notices promoted recommended related respond search share sharing social".split())
+WHOLE, MIXED, LOOSE = 1, 2, 3
 
 
 class Node:
-    __slots__ = ("tag", "parent", "kids", "cut", "chars", "links", "tags", "link_tags", "density", "sum", "heads")
+    __slots__ = ("tag", "parent", "kids", "cut", "chars", "links", "tags", "link_tags", "density", "sum", "heads", "hint")
 
     def __init__(self, tag: str, parent: Node | None, cut: bool):
         self.tag, self.parent, self.cut = tag, parent, cut
@@ -70,22 +73,32 @@ class Node:
         self.chars = self.links = self.tags = self.link_tags = 0
         self.density = self.sum = 0.0
         self.heads = False
+        self.hint = 0
 
 
-def _unwanted(tag: str, attrs: str) -> bool:
+def _unwanted(tag: str, attrs: str) -> tuple[bool, int]:
+    """(cut off for certain, what class, id and role hint at: WHOLE, MIXED, LOOSE or 0)."""
     if tag in _CUT:
-        return True
+        return True, 0
     if not attrs or tag in ("html", "body", "main"):
-        return False
+        return False, 0
+    firm = loose = other = False
     for name, a, b, c, bare in _ATTR.findall(attrs):
         name, value = (name or bare).lower(), (a or b or c).lower()
         if name in ("class", "id", "role"):
-            said = _WORDS.findall(value)
-            if not _HINTS.isdisjoint(said) or (said in (["header"], ["masthead"], ["page", "header"], ["site", "header"])):
-                return True
+            if _WORDS.findall(value) in (["header"], ["masthead"], ["page", "header"], ["site", "header"]):
+                firm = True
+                continue
+            for token in value.split():
+                said = _WORDS.findall(token)
+                if said and said[0] in _HINTS and (len(said) == 1 or said[0] not in _LOOSE):
+                    firm = True
+                else:
+                    loose |= not _HINTS.isdisjoint(said)
+                    other |= bool(said) and name == "class"
         elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True
-    return False
+            return True, 0
+    return False, (MIXED if other else WHOLE) if firm else LOOSE if loose else 0
 
 
 def parse(page: str) -> Node:
@@ -147,7 +160,9 @@ def parse(page: str) -> Node:
                 node = node.parent
             if node.tag in kinds:
                 top = node.parent
-        node = Node(tag, top, top.cut or _unwanted(tag, attrs))
+        sure, hint = _unwanted(tag, attrs)
+        node = Node(tag, top, top.cut or sure)
+        node.hint = hint
         top.kids.append(node)
         if tag not in _VOID and not attrs.endswith("/"):
             top = node
@@ -177,6 +192,8 @@ def measure(root: Node) -> None:
         order.append(n)
         todo += [k for k in n.kids if isinstance(k, Node) and not k.cut]
     for n in reversed(order):
+        n.chars = n.links = n.tags = n.link_tags = 0
+        n.density, n.heads = 0.0, False
         for k in n.kids:
             if isinstance(k, str):
                 n.chars += len(_SPACE.sub(" ", k).strip())
@@ -199,16 +216,62 @@ def measure(root: Node) -> None:
         n.sum = sum(k.density for k in n.kids if isinstance(k, Node) and not k.cut)
 
 
-def select(root: Node) -> list[Node]:
-    """The nodes that hold the main text, in page order."""
-    _prune_headers(root)
-    measure(root)
-    best, todo = root, [root]
+def _nodes(root: Node) -> Iterator[Node]:
+    todo = [root]
     while todo:
         n = todo.pop()
+        yield n
+        todo += [k for k in n.kids if isinstance(k, Node) and not k.cut]
+
+
+def _densest(root: Node) -> Node:
+    best = root
+    for n in _nodes(root):
         if n.tag in _CONTAINER and (n.sum, n.chars) > (best.sum, best.chars):
             best = n
-        todo += [k for k in n.kids if isinstance(k, Node) and not k.cut]
+    return best
+
+
+def resolve(root: Node) -> None:
+    """Cut off what hints name, but never main or the page's article, nor what holds them.
+
+    A node whose class has other words too stays if it is or holds the densest part of the page,
+    and so does any node if nothing else has text.  A word within a compound name is no more than
+    a hint at a list of links: half of the text has to be linked.
+    """
+    nodes = list(_nodes(root))
+    hinted = [n for n in nodes if n.hint]
+    if not hinted:
+        return
+    measure(root)
+
+    def add_path(to: set[int], n: Node | None) -> set[int]:
+        while n is not None and id(n) not in to:
+            to.add(id(n))
+            n = n.parent
+        return to
+
+    dense, held = add_path(set(), _densest(root)), set()
+    for n in nodes:
+        if n.tag == "main" or (n.tag == "article" and n.hint != WHOLE and (id(n) in dense or 2 * n.chars >= root.chars)):
+            add_path(held, n)
+    gone = []
+    for n in hinted:
+        if id(n) in held or (n.hint != WHOLE and id(n) in dense) or (n.hint == LOOSE and 2 * n.links < n.chars):
+            continue
+        n.cut = True
+        gone.append(n)
+    if gone and not any(isinstance(k, str) and k.strip() for n in _nodes(root) for k in n.kids):
+        for n in gone:
+            n.cut = id(n) not in dense
+
+
+def select(root: Node) -> list[Node]:
+    """The nodes that hold the main text, in page order."""
+    _prune_headers(root)
+    resolve(root)
+    measure(root)
+    best = _densest(root)
     path = []
     n = best
     while n is not None:

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 
-from cairn.llm import kneser_ney, pieces, secrets
+from cairn.llm import htmltext, kneser_ney, pieces, secrets
 from cairn.llm.common import flat, mix
 
 
@@ -82,3 +82,32 @@ def test_secrets_set_to_names_are_candidates(spark):
     assert sum("[SECRET]" in t for t in clean.values()) >= 6, clean
     plain = spark.createDataFrame([(1, "the token was lost; a password is asked for, see the author: Somebody Else. if token == null")], "doc_id long, text string")
     assert secrets.scan(plain, forest).where("is_secret").count() == 0
+
+
+STORY = "<h1>A title</h1>" + "".join(f"<p>Paragraph {i} of the story says a good deal about its matter, and then some more.</p>" for i in range(6))
+
+
+def test_html_keeps_the_article_in_hinted_wrappers():
+    side = '<div class="sidebar"><ul><li><a href="/a">One link</a></li><li><a href="/b">Other link</a></li></ul></div>'
+    want = htmltext.main_text(f"<body><article>{STORY}</article>{side}</body>")
+    assert want.count("Paragraph") == 6 and "link" not in want
+    for page in (
+        f'<div class="layout has-sidebar"><article>{STORY}</article>{side}</div>',
+        f'<article class="post has-comments">{STORY}</article>{side}',
+        f'<div id="content-no-sidebar">{STORY}</div>{side}',
+        f'<section class="related-work">{STORY}</section>{side}',
+        f'<div class="sidebar layout"><main>{STORY}</main></div>',
+        f'<div class="widget"><article>{STORY}</article></div>{side}',
+        f'<div class="comment">{STORY}</div>',
+    ):
+        assert htmltext.main_text(f"<body>{page}</body>") == want, page
+    part = f'<article>{STORY}<section class="related-work"><p>Others wrote of it before, at some length.</p></section></article>'
+    assert htmltext.main_text(part).endswith("Others wrote of it before, at some length.")
+
+
+def test_html_still_cuts_what_is_not_the_article():
+    talk = "".join(f"<p>Reader {i} says a few words here, on and on.</p>" for i in range(4))
+    links = "".join(f'<li><a href="/{i}">Some other story {i}</a></li>' for i in range(5))
+    for beside in (f'<div class="comments">{talk}</div>', f'<div id="comment-list">{talk}</div>', f'<div class="related-posts"><ul>{links}</ul></div>', f'<div class="page-sidebar"><ul>{links}</ul></div>', '<div class="ad">Buy now</div>'):
+        got = htmltext.main_text(f"<body><article>{STORY}{beside}</article></body>")
+        assert got.count("Paragraph") == 6 and not any(x in got for x in ("Reader", "other story", "Buy")), beside
