@@ -35,9 +35,11 @@ _WORD_BASE = _U(0xA0761D6478BD642F)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or our own if unset (tests)."""
+    """A new folder that driver and executors share, under spark.checkpoint.dir; our own where it is unset and one machine runs all (tests)."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = "file:///tmp/checkpoints/cairn"
     return f"{at.rstrip('/')}/cairn-{uuid.uuid4().hex}"
 

@@ -43,7 +43,7 @@ def write_bytes(uri: str, *parts: bytes | memoryview | np.ndarray) -> None:
 
 @lru_cache(maxsize=4096)
 def mapped(uri: str, dtype: str) -> np.ndarray:
-    """A read-only memory map; a remote file is fetched once for each worker."""
+    """A read-only memory map; a remote file is fetched once for each worker.  A file that isn't there is an error."""
     at = _local(uri)
     if not at:
         from pyarrow import fs
@@ -53,6 +53,7 @@ def mapped(uri: str, dtype: str) -> np.ndarray:
         with system.open_input_stream(path) as src, os.fdopen(fd, "wb") as out:
             while block := src.read(8 << 20):
                 out.write(block)
-    if not os.path.exists(at) or not os.path.getsize(at):
-        return np.zeros(0, dtype)
-    return np.memmap(at, dtype, "r")
+        array = np.memmap(at, dtype, "r") if os.path.getsize(at) else np.zeros(0, dtype)
+        os.unlink(at)  # the map keeps it until the worker ends
+        return array
+    return np.memmap(at, dtype, "r") if os.path.getsize(at) else np.zeros(0, dtype)

@@ -46,7 +46,7 @@ def test_stages(spark, duck):
     one = spark.createDataFrame(one.collect(), docs.schema)
     leaks = duck.sql(llm.oracle_sql()["op10_benchmark_decontamination"]).df()
     clean = stages["benchmark_decontamination"](spark, one, SF)
-    assert clean.columns == columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in one.collect()} - set(leaks[leaks.contaminated].doc_id)
+    assert clean.columns == columns and {r.doc_id for r in clean.collect()} == {r.doc_id for r in one.collect()} - set(leaks[leaks.n_items > 0].doc_id)
     safe = stages["secret_scans"](spark, clean, SF)
     assert safe.columns == columns and safe.count() == clean.count() and safe.where("text rlike 'AKIA[A-Z0-9]{16}'").count() == 0
     last = stages["sentencepiece"](spark, safe, SF)
@@ -56,6 +56,16 @@ def test_stages(spark, duck):
     docs.unpersist()
 
 
+def test_one_verbatim_window_is_enough(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").orderBy("doc_id").limit(20).collect()
+    items = [r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").where("text is not null").orderBy("item_id").limit(5).collect()]
+    rows = [{**r.asDict(), "text": f"{r.text} {' '.join(items[k].split()[:12])} and on" if k < 5 else r.text} for k, r in enumerate(docs)]
+    table = spark.createDataFrame(rows, spark.read.parquet(f"{SF}/documents.parquet").schema)
+    left = {r.doc_id for r in dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, table, SF).collect()}
+    plain = {r.doc_id for r in dict(corpus_pipeline.STAGES)["benchmark_decontamination"](spark, spark.createDataFrame(docs), SF).collect()}
+    assert left == plain - {r.doc_id for r in docs[:5]} and len(plain) > 15
+
+
 def test_stages_on_nothing(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
