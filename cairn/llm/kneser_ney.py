@@ -7,7 +7,8 @@ a worker's memory.
 
 A bucket is chosen by the hash of the context; the n-grams of hot contexts (a word that is at
 least 1/HOT_SHARE of all tokens; there are at most HOT_SHARE of them) are spread over all buckets and
-their statistics merged.  Nothing is pruned or capped.
+their statistics merged.  Nothing is pruned or capped: counts are held in 64 bits where 32 don't do.
+A missing file of the model is an error, never a count of 0.
 
 Tokens: A-Z is lower-cased, words are `[^\\x20\\x09-\\x0D]+`, and one end token follows each text.  Unknown words
 share one place of the uniform distribution under the unigrams, 1 / (V + 1).  Defined results: a
@@ -22,7 +23,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 from .common import PLAIN_WORD, cut, flat, mix, release, shared_dir, slices, span_hashes, word_spans
@@ -96,9 +97,11 @@ _PACK = "bucket int, n long, data binary"
 
 
 def _packed(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     columns, counts, bucket = [c[order] for c in columns], counts[order], bucket[order]
-    at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1]) if len(bucket) else np.zeros(0, np.int64)
+    at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
     for lo, hi in zip(at, [*at[1:], len(bucket)], strict=True):
         yield int(bucket[lo]), int(hi - lo), b"".join([*(c[lo:hi].tobytes() for c in columns), counts[lo:hi].astype(np.uint64).astype("<u8" if counts[lo:hi].max() >> 32 else "<u4").tobytes()])
 
@@ -189,6 +192,11 @@ def _group_stats(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return context[at], stats
 
 
+def narrow(values: np.ndarray) -> np.ndarray:
+    """Values as 32-bit numbers, or as 64-bit ones if one of them needs it; a file's size tells which."""
+    return values.astype("<u8" if len(values) and int(values.max()) >> 32 else "<u4")
+
+
 _REDUCED = "kind string, bucket int, n long, data binary, s1 long, s2 long, s3 long, s4 long"
 _NAMES = ["kind", "bucket", "n", "data", "s1", "s2", "s3", "s4"]
 
@@ -204,14 +212,14 @@ def _reduce(width: int, path: str, hot: np.ndarray, next_hot: np.ndarray, n_buck
         key = gram_key(columns[0], columns[-1])
         order = np.argsort(key)
         write_bytes(f"{path}/grams-{width}-{bucket}.key", key[order])
-        write_bytes(f"{path}/grams-{width}-{bucket}.count", np.minimum(counts[order], (1 << 32) - 1).astype(np.uint32))
+        write_bytes(f"{path}/grams-{width}-{bucket}.count", narrow(counts[order]))
         context, stats = _group_stats(columns[0], counts)
         if len(hot):
             is_hot = hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context
             rows += [("hot", bucket, int(c.view(np.int64)), None, *map(int, s)) for c, s in zip(context[is_hot], stats[is_hot], strict=True)]
             context, stats = context[~is_hot], stats[~is_hot]
         write_bytes(f"{path}/contexts-{width}-{bucket}.key", context)
-        write_bytes(f"{path}/contexts-{width}-{bucket}.stats", stats.astype(np.uint32))
+        write_bytes(f"{path}/contexts-{width}-{bucket}.stats", narrow(stats.ravel()))
         rest, left = _runs(columns[1:], np.ones(len(counts), np.int64))
         where = _bucket(rest[0], rest[-1], next_hot, n_buckets) if width > 2 else (mix(rest[0]) % np.uint64(n_buckets)).astype(np.int64)
         rows += [("next", b, n, d, 0, 0, 0, 0) for b, n, d in _packed(rest, left, where)]
@@ -228,7 +236,7 @@ def _reduce_words(path: str):
         (words,), counts = _unpacked(table["n"].to_pylist(), table["data"].to_pylist(), 1)
         (words,), counts = _runs([words], counts)
         write_bytes(f"{path}/words-{bucket}.key", words)
-        write_bytes(f"{path}/words-{bucket}.count", counts.astype(np.uint64))
+        write_bytes(f"{path}/words-{bucket}.count", narrow(counts))
         total = int(counts.sum())
         top = counts * HOT_SHARE >= total
         keys = np.concatenate([np.zeros(1, np.int64), words[top].view(np.int64)])
@@ -245,7 +253,7 @@ def _reduce_last(path: str):
         (words,), counts = _unpacked(table["n"].to_pylist(), table["data"].to_pylist(), 1)
         (words,), counts = _runs([words], counts)
         write_bytes(f"{path}/left-{bucket}.key", words)
-        write_bytes(f"{path}/left-{bucket}.count", counts.astype(np.uint64))
+        write_bytes(f"{path}/left-{bucket}.count", narrow(counts))
         s = _stats_of(counts)
         return pa.table([pa.array([x], pa.int64()) for x in (*s, int((counts >= 3).sum()), int(counts.sum()))], names=["s1", "s2", "s3", "s4", "s3p", "total"])
 
@@ -260,8 +268,13 @@ def fit(docs: DataFrame, *, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, int(-(-size // bucket_bytes)))
     none = np.zeros(0, np.uint64)
+    # a row without n-grams for each bucket, so that each has its files
+    every = spark.range(n_buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("data"))
+
+    def dealt(packed: DataFrame) -> GroupedData:
+        return packed.union(every).repartition(n_buckets, "bucket").groupBy("bucket")
 
-    words = docs.mapInArrow(_count(1, none, n_buckets), _PACK).groupBy("bucket").applyInArrow(_reduce_words(path), "kind string, word long, count long, types long")
+    words = dealt(docs.mapInArrow(_count(1, none, n_buckets), _PACK)).applyInArrow(_reduce_words(path), "kind string, word long, count long, types long")
     words = cut(words)
     n_tokens, n_types = words.where("kind = 'stat'").agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
     # at most HOT_SHARE words can each be 1/HOT_SHARE of all tokens; START opens every text
@@ -272,7 +285,7 @@ def fit(docs: DataFrame, *, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES
     packed = docs.mapInArrow(_count(order, hot if order == 2 else none, n_buckets), _PACK)
     for width in range(order, 1, -1):
         use = hot if width == 2 else none
-        reduced = cut(packed.groupBy("bucket").applyInArrow(_reduce(width, path, use, hot if width == 3 else none, n_buckets), _REDUCED))
+        reduced = cut(dealt(packed).applyInArrow(_reduce(width, path, use, hot if width == 3 else none, n_buckets), _REDUCED))
         n = reduced.where("kind = 'stat'").agg(*(F.coalesce(F.sum(f"s{k}"), F.lit(0)) for k in (1, 2, 3, 4))).first()
         level = Level(discounts(list(n)))
         merged = reduced.where("kind = 'hot'").groupBy("n").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in (1, 2, 3, 4))).collect()
@@ -282,7 +295,7 @@ def fit(docs: DataFrame, *, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES
             level.hot, level.hot_stats = keys[at], np.array([list(r)[1:] for r in merged], np.float64)[at]
         levels[width] = level
         packed = reduced.where("kind = 'next'").select("bucket", "n", "data")
-    s = packed.groupBy("bucket").applyInArrow(_reduce_last(path), "s1 long, s2 long, s3 long, s4 long, s3p long, total long")
+    s = dealt(packed).applyInArrow(_reduce_last(path), "s1 long, s2 long, s3 long, s4 long, s3p long, total long")
     s = s.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("s1", "s2", "s3", "s4", "s3p", "total"))).first()
     levels[1] = Level(discounts(list(s)[:4]))
     release(spark)
@@ -292,8 +305,8 @@ def fit(docs: DataFrame, *, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES
 # --- scoring --------------------------------------------------------------------------------
 
 
-def _look_up(path: str, name: str, value: str, dtype: str, wanted: np.ndarray, bucket: np.ndarray, n_buckets: int, width: int = 1) -> np.ndarray:
-    """Values of sorted wanted keys (order: bucket, key); 0 where there is none."""
+def _look_up(path: str, name: str, value: str, wanted: np.ndarray, bucket: np.ndarray, n_buckets: int, width: int = 1) -> np.ndarray:
+    """Values of sorted wanted keys (order: bucket, key); 0 where there is none.  A bucket without a file is an error."""
     out = np.zeros((len(wanted), width) if width > 1 else len(wanted), np.float64)
     edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
     for b in range(n_buckets):
@@ -303,7 +316,8 @@ def _look_up(path: str, name: str, value: str, dtype: str, wanted: np.ndarray, b
         keys = mapped(f"{path}/{name}-{b}.key", "<u8")
         if not len(keys):
             continue
-        values = mapped(f"{path}/{name}-{b}.{value}", dtype)
+        values = mapped(f"{path}/{name}-{b}.{value}", "u1")
+        values = values.view("<u4" if len(values) == 4 * width * len(keys) else "<u8")
         values = values.reshape(-1, width) if width > 1 else values
         at = np.minimum(np.searchsorted(keys, wanted[lo:hi]), len(keys) - 1)
         found = keys[at] == wanted[lo:hi]
@@ -330,8 +344,8 @@ def log_probabilities(model: Model, codes: np.ndarray, bounds: np.ndarray) -> tu
     first, place, _ = _distinct(codes, (mix(codes) % np.uint64(model.n_buckets)).astype(np.int64))
     words = codes[first]
     bucket = (mix(words) % np.uint64(model.n_buckets)).astype(np.int64)
-    count = _look_up(model.path, "words", "count", "<u8", words, bucket, model.n_buckets)
-    left = _look_up(model.path, "left", "count", "<u8", words, bucket, model.n_buckets)
+    count = _look_up(model.path, "words", "count", words, bucket, model.n_buckets)
+    left = _look_up(model.path, "left", "count", words, bucket, model.n_buckets)
     total, n1, n2, n3 = model.unigram
     d = model.levels[1].discounts
     if total:
@@ -344,11 +358,11 @@ def log_probabilities(model: Model, codes: np.ndarray, bounds: np.ndarray) -> tu
         level = model.levels[width]
         key, where = gram_key(context, codes), _bucket(context, codes, level.hot if width == 2 else np.zeros(0, np.uint64), model.n_buckets)
         first, place, _ = _distinct(key, where)
-        c = _look_up(model.path, f"grams-{width}", "count", "<u4", key[first], where[first], model.n_buckets)[place]
+        c = _look_up(model.path, f"grams-{width}", "count", key[first], where[first], model.n_buckets)[place]
         own = _bucket(context, context, np.zeros(0, np.uint64), model.n_buckets)
         first, place, _ = _distinct(context, own)
         ctx = context[first]
-        stats = _look_up(model.path, f"contexts-{width}", "stats", "<u4", ctx, own[first], model.n_buckets, 4)
+        stats = _look_up(model.path, f"contexts-{width}", "stats", ctx, own[first], model.n_buckets, 4)
         if len(level.hot):
             at = np.minimum(np.searchsorted(level.hot, ctx), len(level.hot) - 1)
             is_hot = level.hot[at] == ctx

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,6 +74,23 @@ def test_language_model(messy, nothing, rows, spark):
     assert r["score"] <= 0
 
 
+def test_language_model_counts_beyond_32_bits(tmp_path):
+    big = 5_000_000_000
+    context, word = (np.array(x, np.uint64) for x in ([7, 7, 9], [1, 2, 1]))
+    rows = list(kneser_ney._packed([context, word], np.array([big, 1, 2]), np.zeros(3, np.int64)))
+    table = pa.table({"bucket": [0, 0], "n": [rows[0][1], 0], "data": [rows[0][2], b""]})
+    none = np.zeros(0, np.uint64)
+    kneser_ney._reduce(2, str(tmp_path), none, none, 1)(table)
+    zero = np.zeros(3, np.int64)
+    order = np.argsort(kneser_ney.gram_key(context, word))
+    got = kneser_ney._look_up(str(tmp_path), "grams-2", "count", kneser_ney.gram_key(context, word)[order], zero, 1)
+    assert got.tolist() == np.array([big, 1, 2])[order].tolist()
+    stats = kneser_ney._look_up(str(tmp_path), "contexts-2", "stats", np.array([7, 9], np.uint64), zero[:2], 1, 4)
+    assert stats.tolist() == [[big + 1, 1, 0, 1], [2, 0, 1, 0]]
+    with pytest.raises(FileNotFoundError):
+        kneser_ney._look_up(str(tmp_path), "grams-3", "count", np.array([7], np.uint64), zero[:1], 1)
+
+
 def test_toxicity(spark, messy, nothing):
     rng = random.Random(1)
     data = []
