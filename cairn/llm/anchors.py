@@ -1,7 +1,8 @@
 """Anchors: which stretches of which documents can hold a repeated window, found without shipping text.
 
 A window of `window` items has among its grams of `gram` items one with the least hash, its
-anchor; equal windows have equal anchors.  Only anchors are counted over the corpus.  A window can
+anchor; equal windows have equal anchors.  Only anchors are counted over the corpus, and where their
+windows lie goes with them, so that texts are read once for anchors and once for what is repeated.  A window can
 be repeated only if its anchor is, so all else is skipped, and nothing is lost.
 """
 
@@ -12,10 +13,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, _BYTE_CODE, cut, flat, gram_hashes, key_of, release, slices, sliding_min, span_hashes, starts_inside, word_spans
+from .common import PLAIN_WORD, _BYTE_CODE, cut, discard, flat, gram_hashes, key_of, slices, sliding_min, span_hashes, starts_inside, word_spans
 
 #: Places in a slice are held in so many low bits beside the order of hashes.
 _PLACE = 28
@@ -51,12 +52,12 @@ class Kind:
 
 
 def prepared(docs: DataFrame) -> DataFrame:
-    """_k (id), _h (hash of the text: tells rows apart that share an id), text."""
-    return docs.select(key_of().alias("_k"), F.xxhash64("text").alias("_h"), "text")
+    """_k (id), _h (hash of the text: tells rows apart that share an id), ref (both in one), text."""
+    return docs.select(key_of().alias("_k"), F.xxhash64("text").alias("_h"), "text").select("_k", "_h", F.xxhash64("_k", "_h").alias("ref"), "text")
 
 
 def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(_k, _h, size of rows whose whole text a row with a smaller id has, ids of all others).
+    """(_k, _h, size of rows whose whole text a row with a smaller id has, ref of all others).
 
     Copies lose everything that can be repeated, so the search is over the others alone; texts are
     compared by two 64-bit hashes, which are all that is shuffled.
@@ -64,78 +65,64 @@ def copies(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = docs.where("text is not null").select("_k", "_h", F.xxhash64(F.lit(7), "text").alias("_g"), F.octet_length("text").cast("long").alias("size"))
     first = rows.groupBy("_h", "_g").agg(F.min("_k").alias("lead"))
     found = rows.join(first, ["_h", "_g"]).where("_k <> lead").select("_k", "_h", "size")
-    return found, first.select(F.col("lead").alias("_k")).distinct()
+    return found, first.select(F.xxhash64("lead", "_h").alias("ref")).distinct()
+
+
+#: Bits of a run's number of windows.
+_N_BITS = 16
 
 
 def _occurrences(kind: Kind):
+    """A row for each run of windows that share an anchor: where the run starts in its text, and how many windows it has."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             codes, bounds, _ = kind.items(*flat(batch.column("text")))
-            _, place, h = kind.anchors(codes, bounds)
+            starts, place, h = kind.anchors(codes, bounds)
             if not len(place):
                 continue
-            place = place[np.concatenate([[True], place[1:] != place[:-1]])]
-            place = np.unique(place)
-            doc, anchor = np.searchsorted(bounds, place, "right") - 1, h[place]
+            new = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
+            n = np.diff(np.append(new, len(starts)))
+            anchor, first = h[place[new]], starts[new]
+            doc = np.searchsorted(bounds, first, "right") - 1
             order = np.lexsort((anchor, doc))
-            doc, anchor = doc[order], anchor[order]
-            new = np.flatnonzero(np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]))
-            many = np.diff(np.append(new, len(doc))) > 1
-            k = batch.column("_k").to_numpy()[doc[new]]
-            yield pa.RecordBatch.from_arrays([pa.array(anchor[new].view(np.int64)), pa.array(k), pa.array(many)], ["anchor", "_k", "many"])
+            again = (anchor[order][1:] == anchor[order][:-1]) & (doc[order][1:] == doc[order][:-1])
+            many = np.zeros(len(doc), bool)
+            many[order[1:][again]] = True
+            take = pa.array(doc)
+            where = ((first - bounds[doc]) << _N_BITS) | n
+            yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), batch.column("ref").take(take), batch.column("_h").take(take), pa.array(where), pa.array(many)], ["anchor", "ref", "_h", "run", "many"])
 
     return run
 
 
-def candidates(docs: DataFrame, kind: Kind, *, repeated: Column, only: DataFrame | None = None) -> DataFrame:
-    """prepared() rows that can hold repeated windows, with their repeated anchors.
-
-    repeated: condition over lo and hi (least and greatest id that has the anchor), rows (texts that
-    have it) and many (one has it twice).  only: ids to look at.
-    """
-    found = docs.select("_k", "text").mapInArrow(_occurrences(kind), "anchor long, _k long, many boolean")
-    if only is not None:
-        found = found.join(only, "_k", "left_semi")
-    shared = found.groupBy("anchor").agg(F.min("_k").alias("lo"), F.max("_k").alias("hi"), F.max("many").alias("many"), F.count("*").alias("rows"))
-    shared = cut(shared.where(repeated).select("anchor"))
-    release(docs.sparkSession)
-    hits = found.select("anchor", "_k").join(shared, "anchor", "left_semi").groupBy("_k").agg(F.collect_list("anchor").alias("anchors"))
-    return docs.join(hits, "_k")
-
-
-def live_windows(kind: Kind, batch: pa.RecordBatch):
-    """Per text of a candidates() batch: which windows have a repeated anchor.
+def candidates(docs: DataFrame, kind: Kind, *, within: bool, only: DataFrame) -> DataFrame:
+    """prepared() rows that can hold repeated windows, with runs: where their repeated anchors have windows.
 
-    Returns (flat bytes, offsets, word spans, item codes, bounds, window starts, anchor places, anchor hashes), windows cut down to the live ones.
+    An anchor is repeated if two different texts have it, or, with `within`, if one has it twice.
+    only: ref of the rows to look at; what they leave out are copies of them.  Anchors are computed
+    once and written; copies have the same text, so they make no anchor repeated.
     """
-    b, o = flat(batch.column("text"))
-    codes, bounds, spans = kind.items(b, o)
-    starts, place, h = kind.anchors(codes, bounds)
-    if len(starts):
-        lists = batch.column("anchors")
-        wanted = lists.flatten().to_numpy().view(np.uint64)
-        owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
-        new = np.concatenate([[True], place[1:] != place[:-1]])
-        run = np.cumsum(new) - 1
-        first = place[new]
-        doc = np.searchsorted(bounds, first, "right") - 1
-        live = in_pairs(doc, h[first], owner, wanted)[run]
-        starts, place = starts[live], place[live]
-    return b, o, spans, codes, bounds, starts, place, h
-
-
-def in_pairs(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Whether each (a, x) is among the (b, y)."""
-    if not len(y):
-        return np.zeros(len(x), bool)
-    order = np.lexsort((y, b))
-    b, y = b[order], y[order]
-    distinct = np.unique(y)
-    at = np.minimum(np.searchsorted(distinct, x), len(distinct) - 1)
-    key = b.astype(np.int64) * len(distinct) + np.searchsorted(distinct, y)
-    mine = a.astype(np.int64) * len(distinct) + at
-    place = np.minimum(np.searchsorted(key, mine), len(key) - 1)
-    return (distinct[at] == x) & (key[place] == mine)
+    found = cut(docs.select("ref", "_h", "text").mapInArrow(_occurrences(kind), "anchor long, ref long, _h long, run long, many boolean"))
+    texts = found.groupBy("anchor").agg(F.min("_h").alias("lo"), F.max("_h").alias("hi"), *([F.max("many").alias("many")] if within else []))
+    shared = cut(texts.where(((F.col("lo") < F.col("hi")) | F.col("many")) if within else F.col("lo") < F.col("hi")).select("anchor"))
+    hits = found.select("anchor", "ref", "run").join(shared, "anchor", "left_semi").groupBy("ref").agg(F.collect_set(F.struct("anchor", "run")).alias("runs"))
+    hits = cut(hits.join(only, "ref", "left_semi"))
+    discard(found), discard(shared)
+    return docs.join(hits, "ref")
+
+
+def live_runs(kind: Kind, batch: pa.RecordBatch, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, first window, number of windows, anchor) of the runs of a candidates() batch, in page order; bounds: index of each text's first item."""
+    lists = batch.column("runs")
+    values = lists.flatten()
+    owner = np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy())
+    run = values.field("run").to_numpy()
+    at, n = bounds[owner] + (run >> _N_BITS), run & ((1 << _N_BITS) - 1)
+    inside = at + n - 1 + kind.window <= bounds[owner + 1]  # not so only if two rows share a ref
+    order = np.lexsort((at, owner))
+    order = order[inside[order]]
+    return owner[order], at[order], n[order], values.field("anchor").to_numpy().view(np.uint64)[order]
 
 
 def merge_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,5 +137,5 @@ def merge_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nda
 
 def with_spans(docs: DataFrame, removed: DataFrame, finish: Callable, schema: str) -> DataFrame:
     """docs beside their removed spans: removed has _k, _h, lo, hi; finish is a mapInArrow function."""
-    spans = removed.groupBy("_k", "_h").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = removed.groupBy("_k", "_h").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))  # rows that are equal have equal spans
     return docs.join(spans, ["_k", "_h"], "left").select("_k", "text", "spans").mapInArrow(finish, schema)

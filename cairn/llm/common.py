@@ -54,7 +54,16 @@ def cut(df: DataFrame, *, parts: int | None = None) -> DataFrame:
     path = shared_dir(spark)
     (df.coalesce(parts) if parts else df).write.option("compression", "zstd").parquet(path)
     release(spark)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a cut() table that nothing to come reads."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_at)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -157,6 +166,8 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 _BYTE_CODE = mix(np.arange(1, 257, dtype=np.uint64))
 _powers: dict[int, np.ndarray] = {}
+#: So many powers of a base are kept; those for a longer text are made for it alone.
+_KEPT = SLICE_BYTES + 4096
 
 
 def _power(base: np.uint64, n: int) -> np.ndarray:
@@ -165,7 +176,8 @@ def _power(base: np.uint64, n: int) -> np.ndarray:
         have = np.full(max(n, 1 << 16), base, np.uint64)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[int(base)] = have
+        if n <= _KEPT:
+            _powers[int(base)] = have
     return have[:n]
 
 

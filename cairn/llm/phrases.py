@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Kind, candidates, copies, live_windows, merge_runs, prepared, with_spans
+from .anchors import Kind, candidates, copies, live_runs, merge_runs, prepared, with_spans
 from .common import PLAIN_WORD, cut, flat, gram_hashes, mix, null_key, release, slices, span_hashes, starts_inside, word_spans
 
 WINDOW, GRAM = 13, 5
@@ -42,14 +42,12 @@ def _stretches(kind: Kind):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            b, _, (ws, we), _, bounds, starts, _, _ = live_windows(kind, batch)
-            lo, hi = merge_runs(starts, starts + kind.window)
-            doc = np.searchsorted(bounds, lo, "right") - 1
-            edge = bounds[doc + 1]
-            if len(lo) and (hi > edge).any():  # two texts' runs that touch were made one: take them apart
-                runs = [merge_runs(starts[s], starts[s] + kind.window) for s in np.split(np.arange(len(starts)), np.searchsorted(starts, bounds[1:-1]))]
-                lo, hi = (np.concatenate(x) for x in zip(*runs, strict=True))
-                doc = np.searchsorted(bounds, lo, "right") - 1
+            b, o = flat(batch.column("text"))
+            ws, we, bounds = word_spans(b, o, PLAIN_WORD)
+            doc, lo, n, _ = live_runs(kind, batch, bounds)
+            lo, hi = merge_runs(lo + doc, lo + doc + n - 1 + kind.window)  # a place of its own after each text, so that runs of two never touch
+            doc = np.searchsorted(bounds + np.arange(len(bounds)), lo, "right") - 1
+            lo, hi = lo - doc, hi - doc
             texts = [b[ws[i] : we[j - 1]].tobytes() for i, j in zip(lo, hi, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("_k").take(pa.array(doc)), batch.column("_h").take(pa.array(doc)), pa.array(lo - bounds[doc]), pa.array(texts, pa.binary())], ["_k", "_h", "at", "words"])
 
@@ -198,7 +196,7 @@ def spans(docs: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYT
     shard = F.pmod(F.xxhash64("_k"), F.lit(n_shards)).cast("int").alias("shard")
     whole, only = copies(docs)
     whole = whole.select("_k", "_h", F.lit(0).cast("long").alias("lo"), F.lit(WHOLE).alias("hi"))
-    live = candidates(docs, kind, repeated=F.col("lo") < F.col("hi"), only=only)
+    live = candidates(docs, kind, within=False, only=only)
     live = cut(live.mapInArrow(_stretches(kind), "_k long, _h long, at long, words binary"))
     release(docs.sparkSession)
     hashed = live.select("_k", "words").mapInArrow(_hashed(window), "w long, _k long")

@@ -27,12 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .anchors import Kind, candidates, copies, live_windows, merge_runs, prepared, with_spans
+from .anchors import Kind, candidates, copies, live_runs, merge_runs, prepared, with_spans
 from .common import byte_gram_hashes, cut, flat, null_key, release, slices, span_hashes
 
 LENGTH, GRAM = 100, 32
 #: Text bytes for one shard of suffixes.
-SHARD_BYTES = 3 << 20
+SHARD_BYTES = 2 << 20
 HOT = 4096
 
 
@@ -51,16 +51,13 @@ def suffix_array(t: np.ndarray, depth: int) -> np.ndarray:
     change = np.flatnonzero(t[1:] != t[:-1])
     up = np.zeros(n, bool)
     if len(change):
-        rises = t[change] < t[change + 1]
-        upto = np.searchsorted(change, np.arange(n - 1))
-        inside = upto < len(change)
-        up[: n - 1][inside] = rises[upto[inside]]
+        up[: change[-1] + 1] = np.repeat(t[change] < t[change + 1], np.diff(change, prepend=-1))
     up[t == 0] = True
     small = _sort_directly(t, np.flatnonzero(up), depth)
     counts = np.bincount(t, minlength=256)
     tails = np.cumsum(counts)
     heads = tails - counts
-    sa = np.full(n, -1, np.int64)
+    sa = np.full(n, -1, small.dtype)
     by = np.bincount(t[small], minlength=256)
     at = np.cumsum(by)
     for c in np.flatnonzero(by):  # within a bucket, the smaller-than-successor suffixes come last
@@ -88,52 +85,50 @@ def _induce(t: np.ndarray, up: np.ndarray, sa: np.ndarray, done: np.ndarray, pla
         c = t[before]
         order = np.argsort(c, kind="stable")
         before, c = before[order], c[order]
-        first = np.searchsorted(c, c)
-        sa[place[c] + np.arange(len(c)) - first] = before
-        place += np.bincount(c, minlength=256)
+        count = np.bincount(c, minlength=256)
+        sa[(place - np.cumsum(count) + count)[c] + np.arange(len(c))] = before
+        place += count
     return place
 
 
 def _words_at(t: np.ndarray) -> np.ndarray:
-    """The eight bytes from each place as one big-endian number; zeros beyond the end."""
-    p = np.concatenate([t, np.zeros(8, np.uint8)]).astype(np.uint64)
-    w = np.zeros(len(t), np.uint64)
-    for k in range(8):
-        w = (w << np.uint64(8)) | p[k : k + len(t)]
-    return w
+    """The eight bytes from each place as one big-endian number, zeros beyond the end; a view, so nothing is held for it."""
+    return np.ndarray(len(t), ">u8", np.concatenate([t, np.zeros(8, np.uint8)]), strides=(1,))
 
 
 def _sort_directly(t: np.ndarray, at: np.ndarray, depth: int) -> np.ndarray:
     """Places in order of the depth bytes from each, eight bytes a step, ties only."""
     w = _words_at(t)
-    order = at[np.argsort(w[at], kind="stable")]
-    key = w[order]
-    group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]) if len(order) else np.zeros(0, np.int64)
+    at = at.astype(np.int32 if len(t) < 1 << 31 else np.int64)
+    key = w[at].astype(np.uint64)
+    by = np.argsort(key, kind="stable")
+    order, key = at[by], key[by]
+    group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])]).astype(order.dtype) if len(order) else np.zeros(0, order.dtype)
     for step in range(8, depth, 8):
-        size = np.bincount(group) if len(group) else np.zeros(0, np.int64)
-        tied = np.flatnonzero(size[group] > 1)
+        new = np.concatenate([[True], group[1:] != group[:-1], [True]]) if len(group) else np.ones(1, bool)
+        tied = np.flatnonzero(~(new[:-1] & new[1:])) if len(group) else np.zeros(0, np.int64)
         if not len(tied):
             break
         part = order[tied]
-        far = part + step
-        key = np.where(far < len(t), w[np.minimum(far, len(t) - 1)], np.uint64(0))
+        far = part.astype(np.int64) + step
+        key = np.where(far < len(t), w[np.minimum(far, len(t) - 1)].astype(np.uint64), np.uint64(0))
         by = np.lexsort((key, group[tied]))
         part, key, own = part[by], key[by], group[tied][by]
         order[tied] = part
-        new = np.zeros(len(order), np.int64)
-        new[tied[1:]] = (own[1:] == own[:-1]) & (key[1:] != key[:-1])
-        start = np.concatenate([[0], (group[1:] != group[:-1]).astype(np.int64)])
-        group = np.cumsum(start + new)
+        start = new[:-1].copy()
+        start[tied[1:]] |= (own[1:] == own[:-1]) & (key[1:] != key[:-1])
+        group = (np.cumsum(start) - 1).astype(order.dtype)
     return order
 
 
 def common_prefix(t: np.ndarray, a: np.ndarray, b: np.ndarray, limit: int) -> np.ndarray:
     """Whether the suffixes a and b share limit bytes (both have as many)."""
     w = _words_at(t)
-    same = np.ones(len(a), bool)
+    on = np.arange(len(a))
     for step in [*range(0, limit - 7, 8), limit - 8]:
-        on = np.flatnonzero(same)
-        same[on] = w[a[on] + step] == w[b[on] + step]
+        on = on[w[a[on] + step] == w[b[on] + step]]
+    same = np.zeros(len(a), bool)
+    same[on] = True
     return same
 
 
@@ -144,19 +139,15 @@ _STRETCH_NAMES = ["anchor", "same", "_k", "_h", "at", "n", "bytes"]
 
 
 def _stretches(kind: Kind):
-    """For each anchor place of a text: the starts of its windows (at, n) and their bytes."""
+    """For each run of windows with a repeated anchor: their starts (at, n) and their bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            b, _, _, _, bounds, starts, place, h = live_windows(kind, batch)
-            if not len(starts):
+            b, bounds = flat(batch.column("text"))
+            doc, lo, n, anchor = live_runs(kind, batch, bounds)
+            if not len(lo):
                 continue
-            new = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (starts[1:] != starts[:-1] + 1)]))
-            n = np.diff(np.append(new, len(starts)))
-            lo = starts[new]
             hi = lo + n - 1 + kind.window
-            doc = np.searchsorted(bounds, lo, "right") - 1
-            anchor = h[place[new]]
             same = span_hashes(b, lo, hi) ^ anchor
             take = pa.array(doc)
             data = b.tobytes()
@@ -247,12 +238,12 @@ def _intervals(k: np.ndarray, h: np.ndarray, lo: np.ndarray, length: int) -> pa.
 
 
 def _collapse(stretches: DataFrame, length: int) -> tuple[DataFrame, DataFrame]:
-    """(the earliest of each set of equal stretches, spans that the others lose)."""
+    """(the earliest of each set of equal stretches, spans that the others lose).  Bytes are compared by two 64-bit hashes."""
     where = F.struct("_k", "_h", "at")
-    firsts = stretches.groupBy("same").agg(F.min(where).alias("first"), F.first("anchor").alias("anchor"), F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
+    firsts = stretches.groupBy("same", "other").agg(F.min(where).alias("first"), F.first("anchor").alias("anchor"), F.first("n").alias("n"), F.first("bytes").alias("bytes"), F.count("*").alias("copies"))
     firsts = cut(firsts)
-    many = firsts.where("copies > 1").select("same", "first")
-    rest = stretches.select("same", "_k", "_h", "at", "n").join(many, "same").where(where != F.col("first"))
+    many = firsts.where("copies > 1").select("same", "other", "first")
+    rest = stretches.select("same", "other", "_k", "_h", "at", "n").join(many, ["same", "other"]).where(where != F.col("first"))
     lost = rest.select("_k", "_h", F.col("at").alias("lo"), (F.col("at") + F.col("n") - 1 + length).alias("hi"))
     return firsts.select("anchor", "same", "first.*", "n", "bytes"), lost
 
@@ -264,14 +255,14 @@ def spans(docs: DataFrame, *, length: int = LENGTH, shard_bytes: int = SHARD_BYT
     n_shards = int(size // shard_bytes) + 1
     whole, only = copies(docs)
     whole = whole.where(F.col("size") >= length).select("_k", "_h", F.lit(0).cast("long").alias("lo"), F.col("size").alias("hi"))
-    live = candidates(docs, kind, repeated=(F.col("rows") > 1) | F.col("many"), only=only)
-    stretches = cut(live.mapInArrow(_stretches(kind), _STRETCH))
+    live = candidates(docs, kind, within=True, only=only)
+    stretches = cut(live.mapInArrow(_stretches(kind), _STRETCH).withColumn("other", F.xxhash64("bytes")))
     del live
     release(docs.sparkSession)
     firsts, lost = _collapse(stretches, length)
     release(docs.sparkSession)
     crowds = firsts.groupBy("anchor").count().where(F.col("count") > hot).select("anchor")
-    singles = cut(firsts.join(crowds, "anchor", "left_semi").select(*_STRETCH_NAMES).mapInArrow(_single(length), _STRETCH))
+    singles = cut(firsts.join(crowds, "anchor", "left_semi").select(*_STRETCH_NAMES).mapInArrow(_single(length), _STRETCH).withColumn("other", F.xxhash64("bytes")))
     _, lost_singles = _collapse(singles, length)
     shard = F.pmod(F.xxhash64("anchor"), F.lit(n_shards)).cast("int").alias("shard")
     dealt = firsts.join(crowds, "anchor", "left_anti").select(shard, "anchor", "_k", "_h", "at", "n", "bytes")
