@@ -34,8 +34,8 @@ _WORDS = re.compile(r"[a-z]+")
 
 # Elements of HTML by what they do here.
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea title noscript template iframe svg math".split())
-_CUT = frozenset("script style textarea title noscript template iframe svg math head nav footer aside form button select option input label dialog menu object audio video canvas".split())
+_RAW = frozenset("script style textarea title noscript template iframe svg".split())
+_CUT = frozenset("script style textarea title noscript template iframe svg head nav footer aside form button select option input dialog menu".split())
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
 )
@@ -77,7 +77,7 @@ class Node:
 
 
 def _unwanted(tag: str, attrs: str) -> tuple[bool, int]:
-    """(cut off for certain, what class, id and role hint at: WHOLE, MIXED, LOOSE or 0)."""
+    """(cut off for certain, what class, id and role hint at: WHOLE, MIXED, LOOSE or 0).  Hidden text is text."""
     if tag in _CUT:
         return True, 0
     if not attrs or tag in ("html", "body", "main"):
@@ -96,8 +96,6 @@ def _unwanted(tag: str, attrs: str) -> tuple[bool, int]:
                 else:
                     loose |= not _HINTS.isdisjoint(said)
                     other |= bool(said) and name == "class"
-        elif name == "hidden" or (name == "aria-hidden" and value == "true") or (name == "style" and re.search(r"display\s*:\s*none", value)):
-            return True, 0
     return False, (MIXED if other else WHOLE) if firm else LOOSE if loose else 0
 
 
@@ -107,6 +105,7 @@ def parse(page: str) -> Node:
     body = Node("body", root, False)
     root.kids.append(body)
     top, at, end = body, 0, len(page)
+    open_ended: set[str] = set()  # elements of raw text that are not closed any more
 
     def text(s: str) -> None:
         if s:
@@ -143,7 +142,9 @@ def parse(page: str) -> Node:
             continue
         attrs = m[3] or m[6] or ""
         if tag in _RAW:
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            close = None if tag in open_ended else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            if not close:
+                open_ended.add(tag)
             at = close.end() if close else (end if tag in ("script", "style") else at)
             top.kids.append(Node(tag, top, True))
             continue
@@ -170,18 +171,14 @@ def parse(page: str) -> Node:
 
 
 def _prune_headers(node: Node) -> None:
-    """A header element is cut off outside an article; inside, its headings stay."""
-    todo = [(node, False)]
+    """A header element is cut off outside an article; the article's own, with its title and standfirst, stays."""
+    todo = [node]
     while todo:
-        n, inside = todo.pop()
-        if n.tag == "header" and not n.cut:
-            if inside:
-                n.kids = [k for k in n.kids if isinstance(k, Node) and k.tag in _HEADING]
-            else:
-                n.cut = True
-        for k in n.kids:
-            if isinstance(k, Node) and not k.cut:
-                todo.append((k, inside or n.tag in ("article", "main")))
+        n = todo.pop()
+        if n.tag == "header":
+            n.cut = True
+        elif n.tag not in ("article", "main"):
+            todo += [k for k in n.kids if isinstance(k, Node) and not k.cut]
 
 
 def measure(root: Node) -> None:
@@ -283,9 +280,14 @@ def select(root: Node) -> list[Node]:
     threshold = min(n.density for n in path)
     chosen = [best]
     for n, inner in zip(path[1:], path, strict=False):
-        at = n.kids.index(inner)
-        beside = [k for k in n.kids if isinstance(k, Node) and k is not inner and not k.cut and k.chars and k.tag != "a" and k.density >= threshold]
-        chosen = [k for k in beside if n.kids.index(k) < at] + chosen + [k for k in beside if n.kids.index(k) > at]
+        sides: tuple[list[Node], list[Node]] = ([], [])
+        after = 0
+        for k in n.kids:
+            if k is inner:
+                after = 1
+            elif isinstance(k, Node) and not k.cut and k.chars and k.tag != "a" and k.density >= threshold:
+                sides[after].append(k)
+        chosen = [*sides[0], *chosen, *sides[1]]
     return chosen
 
 
