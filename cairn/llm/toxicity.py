@@ -1,7 +1,8 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Terms are lower-cased words and the 4- and 5-byte grams inside them.  The vocabulary is the terms that a
-chi-squared test ties to the label on a bounded sample of labelled rows.  The sample's vectors
+chi-squared test ties to the label on a bounded sample of labelled rows, MAX_TERMS at most; cosines
+are exact over it.  How many documents have a term is counted over all documents.  The sample's vectors
 form an inverted index in blocks of rows; for each term and block the largest weight is kept.  A
 text's blocks are visited in order of their upper bound, and the visit ends when no block can
 hold a nearer neighbour than the k found, so the k nearest are exact.  Votes are weighted by
@@ -11,7 +12,7 @@ neighbours are given as evidence.
 Defined results: a text without terms of the vocabulary (also null or empty) has no neighbours and
 gets the calibrated score of no votes; repeated rows are scored each on its own; ties of cosine go
 to the lower doc_id; without labelled rows every score is 0; rows whose label or id is null aren't
-learned from; only doc_id and text of documents, and doc_id and the label of labels, are read.
+learned from; of several labels of one id the greatest counts; only doc_id and text of documents, and doc_id and the label of labels, are read.
 """
 
 from __future__ import annotations
@@ -96,6 +97,36 @@ def vectors(b: np.ndarray, o: np.ndarray, vocabulary: np.ndarray, idf: np.ndarra
     return doc, number, weight / norm[doc]
 
 
+def _frequencies(vocabulary: np.ndarray):
+    """(term number, texts of the task that have it), and -1 with the number of all texts."""
+    few = np.zeros(1 << 16, bool)
+    few[(vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(len(vocabulary), np.int64), 0
+        for batch in slices(batches):
+            doc, term = terms(*flat(batch.column("text")))
+            may = few[(term & np.uint64(0xFFFF)).astype(np.int64)]
+            doc, term = doc[may], term[may]
+            at = np.minimum(np.searchsorted(vocabulary, term), len(vocabulary) - 1)
+            found = vocabulary[at] == term
+            pair = np.unique(doc[found] * len(vocabulary) + at[found])
+            total += np.bincount(pair % len(vocabulary), minlength=len(vocabulary))
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(-1, len(vocabulary), dtype=np.int32)), pa.array(np.concatenate([[n], total]))], ["term", "n"])
+
+    return run
+
+
+def document_frequencies(docs: DataFrame, vocabulary: np.ndarray) -> np.ndarray:
+    """In how many of all rows each term of the vocabulary occurs, after the number of rows: a sum for each term leaves a task."""
+    counts = docs.select("text").mapInArrow(_frequencies(vocabulary), "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    out = np.zeros(len(vocabulary) + 1, np.int64)
+    for r in counts:
+        out[r.term + 1] = r.n
+    return out
+
+
 @dataclass
 class Index:
     """Block-max inverted index of unit vectors: BLOCK_ROWS rows a block, postings by (block, term)."""
@@ -230,7 +261,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", sample_rows
     keys = chosen["term"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
     vocabulary = keys[order]
-    idf = np.log((1 + n) / (1 + chosen["n"].to_numpy(float)[order])) + 1
+    if not len(vocabulary):
+        return Classifier(none, np.zeros(0), None, (np.zeros(1), np.array([toxic / n])))
+    frequencies = document_frequencies(docs, vocabulary)
+    idf = np.log((1 + frequencies[0]) / (1 + frequencies[1:])) + 1
     made = sample.mapInArrow(_vectorise(vocabulary, idf), "doc_id long, label int, terms array<long>, weights array<double>")
     made = made.where(F.size("terms") > 0).toArrow()  # at most sample_rows sparse rows over MAX_TERMS terms
     ids, labels_ = made["doc_id"].to_numpy(), made["label"].to_numpy().astype(float)

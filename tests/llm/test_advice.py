@@ -111,3 +111,35 @@ def test_html_still_cuts_what_is_not_the_article():
     for beside in (f'<div class="comments">{talk}</div>', f'<div id="comment-list">{talk}</div>', f'<div class="related-posts"><ul>{links}</ul></div>', f'<div class="page-sidebar"><ul>{links}</ul></div>', '<div class="ad">Buy now</div>'):
         got = htmltext.main_text(f"<body><article>{STORY}{beside}</article></body>")
         assert got.count("Paragraph") == 6 and not any(x in got for x in ("Reader", "other story", "Buy")), beside
+
+
+def test_html_keeps_the_articles_own_parts():
+    page = "<body><header><h1>Site</h1><p>Slogan of the site</p></header><article><header><div><h1>Title</h1></div><p>Standfirst</p></header><p>Body</p></article></body>"
+    assert htmltext.main_text(page) == "Title\n\nStandfirst\n\nBody"
+    inner = '<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn></math> <span aria-hidden="true">holds</span> <span hidden>true</span> <span style="display:none">here</span></p>'
+    inner += '<label>A label</label><object data="x"><p>Instead of it</p></object><div class="search-engine history"><p>How search engines came to be</p></div>'
+    got = htmltext.main_text(f"<body><article>{STORY}{inner}</article></body>")
+    for part in ("So x=1 holds true here", "A label", "Instead of it", "How search engines came to be"):
+        assert part in got, part
+
+
+def test_html_null_rows_and_repeated_siblings(spark):
+    import time
+
+    df = spark.createDataFrame([(1, "u", None), (None, None, ""), (2, "v", f"<body>{STORY}</body>"), (2, "v", f"<body>{STORY}</body>")], "page_id long, url string, html string")
+    got = sorted((r.page_id or 0, r.text, r.n_chars) for r in htmltext.extract(df).collect())
+    assert got[:2] == [(0, "", 0), (1, "", 0)] and got[2] == got[3] and got[2][1].count("Paragraph") == 6
+    wide = "<body><div>" + "<p>Some words of a long page that goes on.</p>" * 20_000 + "</div></body>"
+    began = time.time()
+    assert htmltext.main_text(wide).count("Some words") == 20_000
+    htmltext.main_text("<body>" + "<svg>" * 20_000 + "text</body>")
+    assert time.time() - began < 20
+
+
+def test_html_density_by_hand():
+    """Sum of densities, chosen node and threshold on a page small enough to reckon."""
+    root = htmltext.parse('<body><div id="a"><a href="/">one two</a></div><div id="b"><p>aaaa aaaa</p><p>bbbb</p></div></body>')
+    htmltext.measure(root)
+    a, b = root.kids[0].kids
+    assert (a.chars, a.links, a.tags, a.density) == (7, 7, 1, 0.0) and (b.chars, b.links, b.tags) == (13, 0, 2)
+    assert b.sum == sum(p.density for p in b.kids) > 0 and htmltext._densest(root) is b

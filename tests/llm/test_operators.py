@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cairn.llm import components, decontaminate, htmltext, kneser_ney, near_dup, phrases, pieces, quality, secrets, suffixes, toxicity
-from cairn.llm.common import NULL_ID
+from cairn.llm.common import NULL_ID, flat
 
 from .conftest import prose
 
@@ -111,6 +111,46 @@ def test_toxicity(spark, messy, nothing):
     assert {r.score for r in toxicity.classify(docs.limit(5), labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_scores_by_brute_force(spark):
+    rng = random.Random(3)
+    marks = ["scum", "idiot", "worthless", "vermin"]
+    data = []
+    for i in range(400):
+        bad = i % 4 == 0
+        data.append((i, prose(rng, 12) + (" " + " ".join(rng.sample(marks, 2)) if bad else " kind"), int(bad)))
+    data += [(900, data[0][1], 1), (901, None, 0), (902, "", 0)]
+    docs = spark.createDataFrame([x[:2] for x in data], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in data] + [(0, 0)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    vocabulary = {int(h): k for k, h in enumerate(model.vocabulary)}
+
+    def bag(text):
+        _, found = toxicity.terms(*flat(pa.array([text or ""])))
+        return Counter(vocabulary[int(h)] for h in found if int(h) in vocabulary)
+
+    bags = {i: bag(t) for i, t, _ in data}
+    df = Counter(k for b in bags.values() for k in b)
+    idf = [math.log((1 + len(data)) / (1 + df[k])) + 1 for k in range(len(vocabulary))]
+    assert np.allclose(idf, model.idf)
+    vectors = {}
+    for i, b in bags.items():
+        v = np.zeros(len(vocabulary))
+        for k, c in b.items():
+            v[k] = (1 + math.log(c)) * idf[k]
+        vectors[i] = v / (np.linalg.norm(v) or 1)
+    truth = {i: y for i, _, y in data}
+    learned = [i for i in vectors if vectors[i].any()]
+    out = toxicity.score(docs.withColumn("held_out", F.lit(False)), model).collect()
+    for r in out:
+        near = sorted(((round(float(vectors[r.doc_id] @ vectors[j]), 9), j) for j in learned), key=lambda x: -x[0])[: toxicity.NEIGHBOURS]
+        near = [x for x in near if x[0] > 0]
+        assert [round(e["cosine"], 6) for e in r.evidence] == [round(c, 6) for c, _ in near]
+        if len(set(truth[e["doc_id"]] for e in r.evidence)) <= 1:  # else ties decide
+            votes = sum(c * truth[j] for c, j in near) / (sum(c for c, _ in near) + toxicity.SHRINK)
+            assert abs(float(model.calibrated(np.array([votes]))[0]) - r.score) < 1e-6
+    assert {r.doc_id: r.score for r in out}[901] == {r.doc_id: r.score for r in out}[902]
+
+
 def test_block_max_index_is_exact():
     rng = np.random.default_rng(0)
     vecs = []
@@ -220,6 +260,49 @@ def test_near_duplicates(spark, monkeypatch, rows, small):
     assert {r["_k"] for r in kept.collect()} == {"k"}
 
 
+def test_hot_prefixes_lose_no_pair(spark, monkeypatch):
+    """Drifting revisions: classes settled by different pivots, or by none, whose likeness is just over the threshold."""
+    monkeypatch.setattr(near_dup, "BUCKET_ROWS", 4), monkeypatch.setattr(near_dup, "PIVOTS", 2), monkeypatch.setattr(near_dup, "BLOCK", 3)
+    rng = random.Random(4)
+    rows = []
+    for family in range(4):
+        now = prose(rng, 240, 10**6).split()
+        for k in range(18):
+            at = rng.randrange(0, 230 - 9)
+            now = now[:at] + [f"f{family}r{k}w{j}" for j in range(9 if k % 3 else 18)] + now[at + 9 :]
+            rows.append((100 * family + k, " ".join(now)))
+    groups, linked, root = brute_links(rows)
+    assert 0 < sum(map(len, linked.values())) < 4 * 18 * 17
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {(r.doc_id, r.n_links, r.group_id) for r in near_dup.links(df).collect()} == {(i, len(linked[i]), root[i]) for i, _ in rows}
+
+
+def test_prefix_is_shortened_until_the_recall_is_reached(spark):
+    rng = random.Random(6)
+    rows = []
+    for i in range(300):
+        a = prose(rng, 150, 10**6).split()
+        b = a[:142] + prose(rng, 8, 10**6).split()  # about 0.89
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(b))]
+    _, classes = near_dup.classes_of(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    signed = classes.select("node", "sig")
+    trees = near_dup.forest(signed)
+    lengths = [near_dup.matched_prefix(trees, signed, threshold=0.85, recall=r) for r in (0.5, 0.999999)]
+    assert lengths[0] == near_dup.DEPTH and lengths[1] <= lengths[0]
+    few = [near_dup.matched_prefix(trees.limit(0), signed, recall=r) for r in (0.99, 0.999, 0.9999)]
+    assert few == [8, 7, 6]
+
+
+def test_unclear_ids_do_not_multiply(spark):
+    rng = random.Random(8)
+    base = prose(rng, 80, 10**6).split()
+    rows = [(None, " ".join(base[:k] + ["x"] + base[k + 1 :])) for k in range(0, 60, 3)] + [(None, prose(rng, 60))] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = near_dup.keep_one(df).collect()
+    got = near_dup.links(df).collect()
+    assert len(got) == len(rows) and len(kept) == 2
+
+
 def test_near_duplicates_empty(nothing):
     assert near_dup.links(nothing).count() == 0
 
@@ -320,8 +403,18 @@ def test_quality(messy, nothing, rows):
     kept = quality.apply_rules(messy)
     assert kept.columns == messy.columns and kept.count() == sum(r.kept for r in got)
     assert quality.digest(nothing).count() == 0 and quality.apply_rules(nothing).count() == 0
-    order = quality.measure(quality.features(messy, "doc_id").drop("doc_id"), quality.default_rules())
-    assert [m.rank for m in order] == sorted((m.rank for m in order), reverse=True)
+    order = quality.measure(quality.prepared(messy), quality.default_rules())
+    assert [m.rank for m in order] == sorted((m.rank for m in order), reverse=True) and len(order) == len(quality.default_rules())
+
+
+def test_quality_cascade_stops_at_the_first_rule(spark):
+    texts = [("a few words",), ("many words of a text " * 30,)]
+    df = quality.prepared(spark.createDataFrame(texts, "text string"))
+    trap = quality.Rule("trap", F.raise_error(F.lit("evaluated")).cast("boolean"))
+    few = quality.default_rules()[0]
+    assert [r[0] for r in df.where("n_words < 50").select(quality.cascade([few, trap])).collect()] == ["few_words"]
+    with pytest.raises(Exception, match="evaluated"):
+        df.select(quality.cascade([few, trap])).collect()
 
 
 def test_decontamination(spark, messy, nothing, rows):
