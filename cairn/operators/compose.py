@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from functools import reduce
 
@@ -74,8 +75,8 @@ def mounted_versions(files: DataFrame, mounts: DataFrame) -> DataFrame:
     return n.join(points, ["path", "name"], "left").select("path", "name", (F.col("n") + F.coalesce("_m", F.lit(0))).alias("versions"))
 
 
-def automount(files: DataFrame, expand: Callable[[DataFrame], DataFrame], *, is_archive, mount_point, max_depth: int = 8) -> DataFrame:
-    """files and the members of nested archives, breadth first, down to max_depth.
+def automount(files: DataFrame, expand: Callable[[DataFrame], DataFrame], *, is_archive, mount_point, max_depth: int | None = None) -> DataFrame:
+    """files and the members of nested archives, breadth first, down to max_depth or until no archive is left.
 
     expand: rows of archives to rows of members, whose path is relative to the archive.  The
     mount point of a row is mount_point(full path).  One round for each level; a level without
@@ -84,7 +85,7 @@ def automount(files: DataFrame, expand: Callable[[DataFrame], DataFrame], *, is_
     from ..plans.tables import cut
 
     level, out = files, [files]
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         found = level.where(is_archive)
         if found.isEmpty():
             break

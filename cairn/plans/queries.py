@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import itertools
+import posixpath
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, paths, values
 from ..operators import attributes, compose, intervals, sequences, tree, versions
+from ..sources import archives, writers
+from ..streaming import append
 from . import analytics
 from .tables import LINE_ORDER, docs_catalog, events_catalog, geo_catalog, line_segments, table
 
@@ -514,13 +518,81 @@ def split_sequences(spark, d):
     return sequences.split_sequences(rows).select("base", "first", "parts")
 
 
+# --- archives -------------------------------------------------------------------------------
+
+_HELD = "SELECT (doc_id // 50) || '.{suffix}' AS archive, '' AS path, {name} AS name, {size}::BIGINT AS size, {sha} AS sha256 FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)"
+
+
+def _reading(suffix: str, name: Callable[[], Column], sql_name: str, size: str = "strlen(text)", sha: str = "sha256(text)") -> None:
+    """Registers a query that packs documents, fifty to an archive, and reads their members."""
+
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        docs = table(spark, d, "documents").select("doc_id", name().alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+        packed = writers.pack(docs, F.floor(F.col("doc_id") / 50), suffix)
+        rows = archives.members_of(packed, content=sha != "NULL")
+        digest = F.sha2("content", 256) if sha != "NULL" else F.lit(None).cast("string")
+        return rows.where("error is null").select("archive", "path", "name", "size", digest.alias("sha256"))
+
+    run.__name__ = "read_" + suffix.replace(".", "_")
+    query(_HELD.format(suffix=suffix, name=sql_name, size=size, sha=sha))(run)
+
+
+def _plain_name() -> Column:
+    return F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
+
+
+for _suffix in ("tar", "tar.gz", "tar.xz", "tar.zst", "zip", "ar", "asar", "sqlar", "cpio", "warc", "html", "xar", "cab", "7z", "rar", "iso", "fat", "squashfs"):
+    _reading(_suffix, _plain_name, "doc_id || '.txt'")
+_reading("catalog", _plain_name, "doc_id || '.txt'", sha="NULL")
+# pages of 255 segments of 255 bytes, with a head of 27 bytes and a length for each segment
+_OGG_SIZE = "(strlen(text) + (strlen(text) // 65025) * 282 + CASE WHEN strlen(text) % 65025 > 0 OR strlen(text) = 0 THEN 28 + (strlen(text) % 65025) // 255 ELSE 0 END)"
+_reading("ogg", lambda: F.lpad(F.lower(F.hex("doc_id")), 8, "0"), "'unknown_' || lpad(printf('%x', doc_id), 8, '0') || '.ogg'", size=_OGG_SIZE, sha="NULL")
+
+
+@query(
+    """SELECT doc_id // 50 || '.tar' AS archive, '/' || (doc_id // 10) || '.zip' AS path, doc_id || '.txt' AS name, strlen(coalesce(text, ''))::BIGINT AS size, sha256(coalesce(text, '')) AS sha256, 1 AS recursiondepth FROM documents
+    UNION ALL SELECT DISTINCT doc_id // 50 || '.tar', '', (doc_id // 10) || '.zip', NULL::BIGINT, NULL, 0 FROM documents"""
+)
+def read_nested(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", F.concat("doc_id", F.lit(".txt")).alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    inner = writers.pack(docs, F.floor(F.col("doc_id") / 10), "zip").select(F.col("archive").alias("name"), F.col("data").alias("content"))
+    outer = writers.pack(inner, F.floor(F.substring_index("name", ".", 1).cast("long") / 5), "tar")
+    rows = archives.recursive(outer, content=True).where("error is null")
+    leaf = F.col("recursiondepth") == 1
+    return rows.select("archive", "path", "name", F.when(leaf, F.col("size")).alias("size"), F.when(leaf, F.sha2("content", 256)).alias("sha256"), F.col("recursiondepth").cast("int").alias("recursiondepth"))
+
+
+@query("SELECT (doc_id // 50) || '.tar' AS archive, doc_id || '.txt' AS name, strlen(coalesce(text, ''))::BIGINT AS size, bool_or(doc_id % 50 < 30) OVER (PARTITION BY doc_id // 50) AS tail_only FROM documents")
+def append_tail(spark, d):
+    """Archives of thirty documents, grown to fifty: the rows after reading tails alone."""
+    name = F.concat(F.lpad((F.col("doc_id") % 50).cast("string"), 2, "0"), F.lit("/"), "doc_id", F.lit(".txt"))
+    docs = table(spark, d, "documents").select("doc_id", name.alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    by = F.floor(F.col("doc_id") / 50)
+    old = archives.files_of(archives.members_of(writers.pack(docs.where("doc_id % 50 < 30"), by, "tar")))
+    rows, said = append.refresh(old, writers.pack(docs, by, "tar"), min_bytes=1, min_files=1)
+    return rows.join(said, "archive").select("archive", "name", "size", (F.col("read_from") > 0).alias("tail_only"))
+
+
 # --- scalars --------------------------------------------------------------------------------
 
 
-_PATHS = [
-    ("/", "/"), ("//", "/"), ("///", "/"), ("a", "/a"), ("/a", "/a"), ("a/", "/a"), ("/a/", "/a"), ("//a//", "/a"), (".", "/"), ("/.", "/"), ("./", "/"), ("/./", "/"),
-    ("//.//", "/"), ("./././a/.././", "/"), ("../", "/"), ("../.././..", "/"), ("a/b/../../../c", "/c"), ("x/./y//z", "/x/y/z"),
-]
+def _path_cases() -> list[str]:
+    """Paths of up to four parts out of a few kinds, with and without a slash at their ends."""
+    parts = ("lib", "", ".", "..", "v1.2")
+    bodies = ["/".join(p) for n in range(1, 5) for p in itertools.product(parts, repeat=n) if n < 4 or "lib" in p[:2]]
+    return sorted({begin + b + end for b in bodies for begin in ("", "/") for end in ("", "/")} - {""})
+
+
+def _normal(path: str) -> str:
+    return posixpath.normpath("/./" + path)  # one slash before it, whatever path begins with
+
+
+def _normal_query(path: str) -> str:
+    """What leads out of the root stays if the path begins so."""
+    return posixpath.join("/", posixpath.normpath(path)) if path.startswith("../") else _normal(path)
+
+
+_PATHS = [(p, _normal(p)) for p in _path_cases()]
 
 
 def _sql_values(rows: list[tuple]) -> str:
@@ -532,7 +604,7 @@ def normpath_cases(spark, d):
     return _values(spark, "input string", [(a,) for a, _ in _PATHS]).select("input", paths.normpath("input").alias("path"))
 
 
-_QUERY_PATHS = [(a, b) for a, b in _PATHS if not a.startswith("../")] + [("../", "/.."), ("../.././..", "/../../.."), ("../a/../../b", "/../../b")]
+_QUERY_PATHS = [(p, _normal_query(p)) for p in _path_cases()]
 
 
 @query(f"SELECT a AS input, b AS path FROM {_sql_values(_QUERY_PATHS)} t(a, b)")
@@ -546,7 +618,8 @@ def path_functions(spark, d):
     return full.select("full_path", paths.dirname("full_path").alias("path"), paths.basename("full_path").alias("name"), paths.extension("full_path").alias("extension"), "past")
 
 
-_STEMS = [("a.tar.bz2", "a"), ("d/a.tar.BZ2", "d/a"), ("a.tar.gzip", "a"), ("a.tgz", "a"), ("a.mp3", "a.mp3"), ("a.mp3.bz2", "a.mp3"), ("a.zip", "a"), ("x/.gz", "x/"), ("a.txz", "a")]
+_STEMS = [(f"{folder}{base}{suffix}", f"{folder}{base}") for folder in ("", "backup/2024/") for base in ("photos", "site.v2") for suffix in (".tar", ".tar.xz", ".TGZ", ".tbz2", ".tar.zst", ".7z", ".cpio", ".lz4")]
+_STEMS += [(f"{base}.gz", base) for base in ("song.flac", "notes.md")] + [(name, name) for name in ("song.flac", "README", "archive.d/readme")]
 
 
 @query(f"SELECT a AS name, b AS stem FROM {_sql_values(_STEMS)} t(a, b)")

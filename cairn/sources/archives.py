@@ -14,6 +14,7 @@ from ..functions import formats, paths
 from ..operators import compose
 from ..schema import FILES, XATTRS
 from . import parsers
+from .rows import clean
 
 MEMBERS = StructType(
     [StructField("archive", StringType()), *[StructField(f.name, f.dataType) for f in FILES], StructField("content", BinaryType()), StructField("xattrs", MapType(StringType(), BinaryType())), StructField("error", StringType())]
@@ -31,13 +32,13 @@ def _parse(options: dict, with_content: bool):
             for name, data in zip(batch.column("archive"), batch.column("data"), strict=True):
                 archive = name.as_py()
                 try:
-                    for r in parsers.parse(data.as_py() or b"", archive, options):
+                    for r in parsers.parse(data.as_py() or b"", archive, options | {"content": with_content}):
                         held.append(r | {"archive": archive, "error": None, "content": r["content"] if with_content else None, "xattrs": list(r["xattrs"].items())})
                         if len(held) >= BATCH:
                             yield pa.RecordBatch.from_pylist(held, schema)
                             held = []
-                except Exception as e:  # noqa: BLE001  one bad archive is one row
-                    held.append({"archive": archive, "path": "", "name": "", "error": f"{type(e).__name__}: {e}"[:500], "xattrs": []})
+                except Exception as e:  # noqa: BLE001  one bad archive is one row, after the members before the damage
+                    held.append({"archive": archive, "path": "", "name": "", "error": clean(f"{type(e).__name__}: {e}"[:500]), "xattrs": []})
         if held:
             yield pa.RecordBatch.from_pylist(held, schema)
 
@@ -45,7 +46,7 @@ def _parse(options: dict, with_content: bool):
 
 
 def members_of(archives: DataFrame, *, content: bool = False, **options) -> DataFrame:
-    """archives: archive (a name), data (bytes).  One row per member; an unreadable archive is one row with `error`."""
+    """archives: archive (a name), data (bytes).  One row per member; what can't be read of an archive is one row with `error`."""
     return archives.select("archive", "data").mapInArrow(_parse(options, content), MEMBERS)
 
 
@@ -100,8 +101,10 @@ def is_archive(name: Column) -> Column:
     return F.size(F.array_union(formats.by_extension(name, "archive"), formats.by_extension(name, "compressed"))) > 0
 
 
-def recursive(archives: DataFrame, *, max_depth: int = 8, strip: bool = False, content: bool = False, **options) -> DataFrame:
-    """Members of archives and of the archives in them, down to max_depth; nested ones are folders.
+def recursive(archives: DataFrame, *, max_depth: int | None = None, strip: bool = False, content: bool = False, **options) -> DataFrame:
+    """Members of archives and of the archives in them, down to max_depth if it is given; nested ones are folders.
+
+    A nested archive that can't be read keeps its row, and has one more with `error` at its place.
 
     strip: mount a nested archive without its suffix.
     """
@@ -110,7 +113,7 @@ def recursive(archives: DataFrame, *, max_depth: int = 8, strip: bool = False, c
 
     def expand(found: DataFrame) -> DataFrame:
         keyed = found.select(F.concat("archive", F.lit("\0"), "mount").alias("archive"), F.col("content").alias("data"))
-        inner = members_of(keyed, content=True, **options).where("error is null")
+        inner = members_of(keyed, content=True, **options)
         return inner.withColumn("mount", F.substring_index("archive", "\0", -1)).withColumn("archive", F.substring_index("archive", "\0", 1))
 
     def mount(full: Column) -> Column:

@@ -1,7 +1,8 @@
 """Archive bytes to catalog rows, one generator per format, in plain Python.
 
 A row is a dict of FILES columns, with `content` (bytes or None), and `xattrs` ({key: bytes}).
-Bad input raises; the reader turns that into an error row.
+Bad input raises, after the members before it; the reader turns that into an error row.  Contents are
+read and inflated only if options["content"] asks for them, or is not given.
 """
 
 from __future__ import annotations
@@ -18,7 +19,6 @@ import json
 import lzma
 import mimetypes
 import os
-import posixpath
 import re
 import sqlite3
 import stat
@@ -30,24 +30,10 @@ import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 
-Row = dict
-Parser = Callable[[bytes, dict], Iterator[Row]]
-
-
-def split(name: str) -> tuple[str, str]:
-    """(parent path, name) of a member's name, made absolute and normal."""
-    full = "/" + posixpath.normpath("/" + name).lstrip("/")
-    path, _, last = full.rpartition("/")
-    return path, last
-
+from . import images
+from .rows import Row, clean, row, wanted
 
-def row(name: str, **more) -> Row:
-    path, last = split(name)
-    base = {
-        "path": path, "name": last, "offsetheader": None, "offset": None, "size": 0, "mtime": 0.0, "mode": stat.S_IFREG | 0o660, "type": "0", "linkname": "", "uid": 0, "gid": 0,
-        "istar": False, "issparse": False, "isgenerated": False, "recursiondepth": 0, "content": None, "xattrs": {},
-    }
-    return base | more
+Parser = Callable[[bytes, dict], Iterator[Row]]
 
 
 # --- compression ----------------------------------------------------------------------------
@@ -110,6 +96,8 @@ def tar(data: bytes, options: dict) -> Iterator[Row]:
     data = data if plain is None else plain
     with tarfile.open(fileobj=io.BytesIO(data), mode="r:", ignore_zeros=options.get("ignoreZeros", False), encoding=options.get("encoding", "utf-8")) as archive:
         for m in archive:
+            if m.isreg() and m.sparse is None and m.offset_data + m.size > len(data):
+                raise ValueError(f"member at {m.offset} is cut off")
             xattrs = {}
             for key, value in m.pax_headers.items():
                 for prefix in _XATTR_PREFIXES:
@@ -117,7 +105,7 @@ def tar(data: bytes, options: dict) -> Iterator[Row]:
                         raw = value.encode("utf-8", "surrogateescape")
                         xattrs[urllib.parse.unquote(key[len(prefix) :])] = raw if prefix[0] == "S" else base64.b64decode(raw + b"=" * (-len(raw) % 4))
             kind = m.type.decode("latin-1")
-            file = archive.extractfile(m) if m.isreg() else None
+            file = archive.extractfile(m) if m.isreg() and wanted(options) else None
             yield row(
                 m.name, offsetheader=m.offset, offset=m.offset_data, size=m.size, mtime=float(m.mtime), mode=m.mode & 0o7777 | _TYPES.get(m.type, stat.S_IFREG), type=kind if kind != "\x00" else "0",
                 linkname=m.linkname, uid=m.uid, gid=m.gid, issparse=m.sparse is not None, content=file.read() if file else None, xattrs=xattrs, istar=m.isreg() and m.name.lower().endswith(".tar"),
@@ -159,6 +147,7 @@ def zip_(data: bytes, options: dict) -> Iterator[Row]:
     with zipfile.ZipFile(io.BytesIO(data)) as archive:
         for password in options.get("passwords", []):
             archive.setpassword(password)
+        failed: Exception | None = None
         for m in archive.infolist():
             mode = m.external_attr >> 16
             folder = m.is_dir()
@@ -166,9 +155,17 @@ def zip_(data: bytes, options: dict) -> Iterator[Row]:
                 mode = 0o770 if folder else 0o660
             if not stat.S_IFMT(mode):
                 mode |= stat.S_IFDIR if folder else stat.S_IFREG
-            content = None if folder else archive.read(m)
-            link = content.decode("utf-8", "surrogateescape") if stat.S_ISLNK(mode) and content is not None else ""
+            content, link = None, ""
+            if not folder and (wanted(options) or stat.S_ISLNK(mode)):
+                try:
+                    content = archive.read(m)
+                except Exception as e:  # noqa: BLE001  the other members are read; the first failure is told at the end
+                    failed = failed or e
+            if stat.S_ISLNK(mode) and content is not None:
+                link = content.decode("utf-8", "surrogateescape")
             yield row(m.filename, offsetheader=m.header_offset, offset=m.header_offset, size=m.file_size, mtime=float(calendar.timegm((*m.date_time, 0, 0, 0))), mode=mode, linkname=link, content=None if link else content)
+        if failed:
+            raise failed
 
 
 def ar(data: bytes, options: dict) -> Iterator[Row]:
@@ -238,30 +235,35 @@ def sqlar(data: bytes, options: dict) -> Iterator[Row]:
                 if sz == -1:
                     yield row(name, offsetheader=i, mode=mode, mtime=float(mtime or 0), linkname=blob.decode() if isinstance(blob, bytes) else str(blob), type="2")
                 else:
-                    content = None if folder_ else zlib.decompress(blob) if blob is not None and len(blob) != sz else blob or b""
+                    content = None if folder_ or not wanted(options) else zlib.decompress(blob) if blob is not None and len(blob) != sz else blob or b""
                     yield row(name, offsetheader=i, size=0 if folder_ else sz, mode=mode, mtime=float(mtime or 0), content=content, type="5" if folder_ else "0")
 
 
 class _Urls(html.parser.HTMLParser):
-    """data: URLs of attributes, with the name they were saved from if the page keeps it."""
+    """data: URLs of attributes, with the name they were saved from if the page keeps it, and where they lie."""
 
-    def __init__(self):
+    def __init__(self, page: str):
         super().__init__(convert_charrefs=True)
-        self.found: list[tuple[str, str | None]] = []
+        self.found: list[tuple[int, str, str | None]] = []
+        self.lines = [0, *(m.end() for m in re.finditer("\n", page))]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        named = dict(attrs)
+        named, source = dict(attrs), self.get_starttag_text() or ""
+        line, column = self.getpos()
+        begin, after = self.lines[line - 1] + column, 0
         for key, value in attrs:
             for url in re.findall(r"data:[^\s\"'()<>]+", value or "") if key == "style" else [value] if (value or "").startswith("data:") else []:
-                self.found.append((url, named.get(f"data-savepage-{key}")))
+                at = source.find(url[:64], after)  # not there only if it is written with character references
+                after = at + len(url) if at >= 0 else after
+                self.found.append((begin + max(at, 0), url, named.get(f"data-savepage-{key}")))
 
 
 def html_(data: bytes, options: dict) -> Iterator[Row]:
-    """Files that a page holds as data: URLs; named by their saved URL or by digest and type."""
+    """Files that a page holds as data: URLs; named by their saved URL or by digest and type.  Offsets count characters."""
     text = data.decode(options.get("encoding", "utf-8"), "replace")
-    parser = _Urls()
+    parser = _Urls(text)
     parser.feed(text)
-    for i, (url, saved) in enumerate(parser.found):
+    for i, (at, url, saved) in enumerate(parser.found):
         m = re.match(r"(?is)data:([^;,]*)((?:;[^;,]*)*),(.*)", url)
         if not m:
             continue
@@ -269,37 +271,56 @@ def html_(data: bytes, options: dict) -> Iterator[Row]:
         if ";base64" in m[2].lower():
             body = re.sub(rb"[^A-Za-z0-9+/_-]", b"", body)
             body = base64.b64decode(body + b"=" * (-len(body) % 4), altchars=b"-_" if b"-" in body or b"_" in body else None)
-        at = text.find(url)
         ext = mimetypes.guess_extension(m[1] or "text/plain") or ""
         name = urllib.parse.urlparse(saved).path if saved else hashlib.sha256(body).hexdigest() + ext
         yield row(name or f"file{i}", offsetheader=at, offset=at, size=len(body), content=body)
 
 
+# First bytes of a stream's first packet, by codec, as Xiph's list of media types in Ogg has them, and of OGM.
+OGG_CODECS = (
+    ("audio", "celt", b"CELT    "),
+    ("audio", "flac", b"\x7fFLAC"),
+    ("audio", "opus", b"OpusHead"),
+    ("audio", "pcm", b"PCM     "),
+    ("audio", "speex", b"Speex   "),
+    ("audio", "vorbis", b"\x01vorbis"),
+    ("audio", "ogm", b"\x01audio"),
+    ("text", "cmml", b"CMML\x00\x00\x00\x00"),
+    ("text", "kate", b"\x80kate\x00\x00\x00"),
+    ("text", "midi", b"OggMIDI\x00"),
+    ("text", "ogm", b"\x01text"),
+    ("video", "dirac", b"BBCD\x00"),
+    ("video", "jng", b"\x8bJNG\r\n\x1a\n"),
+    ("video", "mng", b"\x8aMNG\r\n\x1a\n"),
+    ("video", "png", b"\x89PNG\r\n\x1a\n"),
+    ("video", "theora", b"\x80theora"),
+    ("video", "yuv4mpeg", b"YUV4MPEG"),
+    ("video", "ogm", b"\x01video"),
+)
+
+
 def ogg(data: bytes, options: dict) -> Iterator[Row]:
-    """Streams of an Ogg file: the segments of each stream's pages, in order."""
+    """Streams of an Ogg file, each the whole pages of one serial number; linkname has their (offset, size)."""
+    pages: dict[int, list[tuple[int, int]]] = {}
+    first: dict[int, int] = {}
     at = 0
-    streams: dict[int, list[tuple[int, int]]] = {}
     while data[at : at + 4] == b"OggS":
-        serial = struct.unpack("<I", data[at + 14 : at + 18])[0]
-        n = data[at + 26]
-        size = sum(data[at + 27 : at + 27 + n])
-        start = at + 27 + n
-        streams.setdefault(serial, []).append((start, size))
-        at = start + size
-    for serial, segments in streams.items():
-        content = b"".join(data[a : a + n] for a, n in segments)
-        yield row(f"{serial:08x}.{_codec(content)}", offsetheader=segments[0][0], offset=segments[0][0], size=len(content), content=content, linkname=json.dumps(segments))
-
-
-# First bytes of a stream's first packet, by codec.
-_CODECS = (
-    (b"\x01vorbis", "vorbis"), (b"OpusHead", "opus"), (b"\x80theora", "theora"), (b"\x7fFLAC", "flac"), (b"Speex   ", "speex"), (b"fLaC", "flac"), (b"\x80kate", "kate"),
-    (b"BBCD", "dirac"), (b"\x01video", "ogm-video"), (b"\x01audio", "ogm-audio"), (b"\x01text", "ogm-text"), (b"PCM     ", "pcm"), (b"OVP80", "vp8"), (b"CELT    ", "celt"), (b"CMML", "cmml"), (b"YUV4MPEG", "yuv4mpeg"), (b"fishead", "skeleton"), (b"\x8bJNG", "jng"),
-)
-
-
-def _codec(content: bytes) -> str:
-    return next((name for magic, name in _CODECS if content.startswith(magic)), "bin")
+        if len(data) < at + 27:
+            raise ValueError(f"page at {at} is cut off")
+        serial, n = struct.unpack("<I", data[at + 14 : at + 18])[0], data[at + 26]
+        body = at + 27 + n
+        end = body + sum(data[at + 27 : body])
+        if end > len(data):
+            raise ValueError(f"page at {at} is cut off")
+        pages.setdefault(serial, []).append((at, end - at))
+        first.setdefault(serial, body)
+        at = end
+    for serial, own in pages.items():
+        head = data[first[serial] : first[serial] + 16]
+        media, codec = next(((m, c) for m, c, magic in OGG_CODECS if head.startswith(magic)), ("unknown", ""))
+        suffix = "ogm" if codec == "ogm" else {"audio": "oga", "video": "ogv"}.get(media, "ogg")
+        content = b"".join(data[a : a + n] for a, n in own) if wanted(options) else None
+        yield row(f"{media}_{serial:08x}.{suffix}", offsetheader=own[0][0], offset=first[serial], size=sum(n for _, n in own), mode=stat.S_IFREG | 0o644, content=content, linkname=json.dumps(own))
 
 
 def cpio(data: bytes, options: dict) -> Iterator[Row]:
@@ -313,8 +334,10 @@ def cpio(data: bytes, options: dict) -> Iterator[Row]:
         if name == "TRAILER!!!":
             return
         content = data[start : start + size]
+        if len(content) < size:
+            raise ValueError(f"member at {at} is cut off")
         link = content.decode("utf-8", "replace") if stat.S_ISLNK(mode) else ""
-        yield row(name, offsetheader=at, offset=start, size=size, mtime=float(mtime), mode=mode, uid=uid, gid=gid, linkname=link, content=content if stat.S_ISREG(mode) else None)
+        yield row(name, offsetheader=at, offset=start, size=size, mtime=float(mtime), mode=mode, uid=uid, gid=gid, linkname=link, content=content if stat.S_ISREG(mode) and wanted(options) else None)
         at = start + -(-size // 4) * 4
 
 
@@ -322,7 +345,7 @@ def warc(data: bytes, options: dict) -> Iterator[Row]:
     """Records of a WARC file, named by their target."""
     at = 0
     for i in range(len(data)):
-        if not data[at:].startswith(b"WARC/1."):
+        if data[at : at + 7] != b"WARC/1.":
             return
         end = data.index(b"\r\n\r\n", at) + 4
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in data[at:end].decode("utf-8", "replace").split("\r\n")[1:])}
@@ -332,7 +355,10 @@ def warc(data: bytes, options: dict) -> Iterator[Row]:
         at = end + size + 4
 
 
-PARSERS: dict[str, Parser] = {"tar": tar, "zip": zip_, "ar": ar, "ar-thin": ar, "asar": asar, "sqlar": sqlar, "html": html_, "ogg": ogg, "cpio": cpio, "warc": warc, "compressed": compressed}
+PARSERS: dict[str, Parser] = {
+    "tar": tar, "zip": zip_, "ar": ar, "ar-thin": ar, "asar": asar, "sqlar": sqlar, "html": html_, "ogg": ogg, "cpio": cpio, "warc": warc, "compressed": compressed,
+    "7z": images.sevenzip, "rar": images.rar, "xar": images.xar, "cab": images.cab, "iso9660": images.iso, "fat": images.fat, "squashfs": images.squashfs, "catalog": images.sqlite_catalog,
+}
 
 
 def recognise(data: bytes, name: str = "") -> list[str]:
@@ -345,7 +371,7 @@ def recognise(data: bytes, name: str = "") -> list[str]:
     if data.startswith(b"!<arch>\n") or data.startswith(b"!<thin>\n"):
         out.append("ar")
     if data.startswith(b"SQLite format 3\x00"):
-        out.append("sqlar")
+        out += ["sqlar", "catalog"]
     if data.startswith(b"\x04\x00\x00\x00") and data[16:17] == b"{":
         out.append("asar")
     if data.startswith(b"OggS\x00"):
@@ -354,6 +380,11 @@ def recognise(data: bytes, name: str = "") -> list[str]:
         out.append("cpio")
     if data.startswith(b"WARC/1."):
         out.append("warc")
+    out += [kind for kind, magic in (("7z", b"7z\xbc\xaf\x27\x1c"), ("rar", b"Rar!\x1a\x07\x01\x00"), ("xar", b"xar!"), ("cab", b"MSCF"), ("squashfs", b"hsqs")) if data.startswith(magic)]
+    if data[0x8001:0x8006] == b"CD001":
+        out.append("iso9660")
+    if data[510:512] == b"\x55\xaa" and data[:1] in (b"\xeb", b"\xe9"):
+        out.append("fat")
     if re.match(rb"(?is)\s*<(!doctype html|html)", data[:1024]):
         out.append("html")
     if not out and any(data.startswith(m) for m, _ in _DECODERS):
@@ -364,14 +395,20 @@ def recognise(data: bytes, name: str = "") -> list[str]:
 
 
 def parse(data: bytes, name: str, options: dict) -> Iterator[Row]:
-    """Rows by the first parser that takes the data; the last error if none does."""
+    """Rows by the first parser that takes the data; the last error if none does.
+
+    A parser that fails after its first row has taken the data: its rows stand, and its error follows.
+    """
     error: Exception = ValueError("unknown format")
     for kind in options.get("formats") or recognise(data, name):
+        rows = PARSERS[kind](data, options | {"name": name.rsplit("/", 1)[-1]})
         try:
-            rows = list(PARSERS[kind](data, options | {"name": name.rsplit("/", 1)[-1]}))
+            first = next(rows, None)
         except Exception as e:  # noqa: BLE001  the next parser may fit; the last error is reported
             error = e
             continue
-        yield from rows
+        if first is not None:
+            yield first
+            yield from rows
         return
     raise error

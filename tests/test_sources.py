@@ -91,7 +91,8 @@ def test_html_and_others():
         return b"OggS\0\0" + bytes(8) + struct.pack("<I", serial) + bytes(8) + bytes([1, len(body)]) + body
 
     streams = list(parsers.parse(page_(1, b"\x01vorbis") + page_(2, b"OpusHead") + page_(1, b"xx"), "o.ogg", {}))
-    assert [(r["name"], r["content"]) for r in streams] == [("00000001.vorbis", b"\x01vorbisxx"), ("00000002.opus", b"OpusHead")]
+    assert [r["name"] for r in streams] == ["audio_00000001.oga", "audio_00000002.oga"]
+    assert [r["content"] for r in streams] == [page_(1, b"\x01vorbis") + page_(1, b"xx"), page_(2, b"OpusHead")]
 
 
 def test_read_recursive_and_errors(spark, tmp_path):
@@ -136,3 +137,18 @@ def test_append_and_catalog(spark, tmp_path):
     for size, want in ((150 << 20, True), (400 << 20, False), (50 << 20, False)):
         new = F.struct(F.lit(size).alias("size"), F.lit(2.0).alias("mtime"), F.lit("1").alias("version"))
         assert spark.range(1).select(append.may_append(old, new)).first()[0] is want
+
+
+def test_append_of_the_tail(spark):
+    members = {f"m{i:03d}": bytes([i]) * (i * 37 + 1) for i in range(60)}
+    first = tar(dict(list(members.items())[:40]))
+    whole, other = tar(members), tar({f"n{i}": b"x" for i in range(60)})
+    schema = "archive string, data binary"
+    old = archives.files_of(archives.members_of(spark.createDataFrame([("grown", first), ("replaced", first), ("same", first)], schema)))
+    now = spark.createDataFrame([("grown", whole), ("replaced", other), ("same", first), ("new", whole)], schema)
+    rows, said = append.refresh(old, now, min_bytes=1, min_files=10)
+    assert {r.archive: r.read_from > 0 for r in said.collect()} == {"grown": True, "replaced": False, "same": True, "new": False}
+    full = archives.files_of(archives.members_of(now))
+    assert sorted(map(str, rows.collect())) == sorted(map(str, full.collect()))
+    small, _ = append.refresh(old, now)
+    assert sorted(map(str, small.collect())) == sorted(map(str, full.collect()))
