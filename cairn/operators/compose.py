@@ -139,13 +139,10 @@ _SET = ("mtime", "mode", "uid", "gid")
 
 
 def overlay_merge(base: DataFrame, overlay: DataFrame) -> DataFrame:
-    """base rows with the overlay's metadata where it has some, deleted members left out, new ones added."""
+    """base rows with the overlay's metadata where it has some, deleted members left out, new ones added: one full join."""
     changes = overlay.select("path", "name", *(F.col(c).alias(f"_{c}") for c in _SET), F.coalesce("deleted", F.lit(False)).alias("_deleted"))
-    both = base.join(changes, ["path", "name"], "left").where(~F.coalesce("_deleted", F.lit(False)))
-    old = both.select(*(F.coalesce(f"_{c}", c).alias(c) if c in _SET else F.col(c) for c in base.columns))
-    fresh = changes.where(~F.col("_deleted")).join(base.select("path", "name").distinct(), ["path", "name"], "left_anti")
-    new = fresh.select(*(F.col(f"_{c}").cast(base.schema[c].dataType).alias(c) if c in _SET else F.col(c) if c in ("path", "name") else F.lit(None).cast(base.schema[c].dataType).alias(c) for c in base.columns))
-    return old.unionByName(new)
+    both = base.join(changes, ["path", "name"], "full").where(~F.coalesce("_deleted", F.lit(False)))
+    return both.select(*(F.coalesce(F.col(f"_{c}").cast(base.schema[c].dataType), F.col(c)).alias(c) if c in _SET else F.col(c) for c in base.columns))
 
 
 def overlay_delete(base: DataFrame, overlay: DataFrame, members: DataFrame) -> DataFrame:

@@ -12,7 +12,9 @@ FOLDER_MODE = 0o555 | values.S_IFDIR
 
 def parents(files: DataFrame, *, order: str = "ingest_seq") -> DataFrame:
     """Every ancestor (path, name) of the rows, with the offsets of the first row that implies it."""
-    rows = files.select(F.explode(paths.ancestors("path")).alias("a"), order, "offsetheader", "offset")
+    # a folder's first row implies all its ancestors, so one row for each folder is exploded
+    rows = files.groupBy("path").agg(F.min_by(F.struct(order, "offsetheader", "offset"), F.col(order)).alias("r"))
+    rows = rows.select(F.explode(paths.ancestors("path")).alias("a"), "r.*")
     first = rows.groupBy("a.path", "a.name").agg(F.min_by(F.struct("offsetheader", "offset"), F.col(order)).alias("r"))
     return first.select("path", "name", F.col("r.offsetheader").alias("offsetheader"), F.col("r.offset").alias("offset"))
 
@@ -37,9 +39,9 @@ def with_parents(files: DataFrame, *, order: str = "ingest_seq") -> DataFrame:
 
 
 def subtree(files: DataFrame, root: str) -> DataFrame:
-    """Rows below a folder, by prefix of the full path."""
-    full = paths.join("path", "name")
-    return files.where(full.startswith(root.rstrip("/") + "/"))
+    """Rows below a folder, at any depth.  Both filters are on path alone, so a scan of a catalog sorted by it skips the rest."""
+    top = root.rstrip("/")
+    return files.where((F.col("path") == top) | F.col("path").startswith(top + "/"))
 
 
 def folder_sizes(files: DataFrame) -> DataFrame:

@@ -45,11 +45,12 @@ def lookup(files: DataFrame, version: int = 0, *, order: tuple[str, ...] = ("off
     return df.where(wanted).drop("version", "behind")
 
 
-def newest(files: DataFrame, by: tuple[str, ...] = MEMBER, order: str = "offsetheader") -> DataFrame:
-    """lookup 0 as an aggregate: no sort, and hot members meet map-side.  A null order is the oldest."""
+def newest(files: DataFrame, by: tuple[str, ...] = MEMBER, order: str = "offsetheader", **more: Column) -> DataFrame:
+    """lookup 0 as an aggregate: no sort, and hot members meet map-side.  A null order is the oldest.  more: aggregates beside it."""
     rest = [c for c in files.columns if c not in by]
     best = F.max_by(F.struct(*rest), F.struct(F.col(order).isNotNull(), F.col(order)))
-    return files.groupBy(*by).agg(best.alias("_r")).select(*[F.col(c) if c in by else F.col("_r")[c].alias(c) for c in files.columns])
+    found = files.groupBy(*by).agg(best.alias("_r"), *(c.alias(k) for k, c in more.items()))
+    return found.select(*[F.col(c) if c in by else F.col("_r")[c].alias(c) for c in files.columns], *more)
 
 
 def lookup_path(files: DataFrame, path: str, name: str, version: int = 0) -> DataFrame:
@@ -63,9 +64,7 @@ def lookup_path(files: DataFrame, path: str, name: str, version: int = 0) -> Dat
 def listing(files: DataFrame, path: str | None = None) -> DataFrame:
     """Newest version of each name of a folder (or of all folders), with `position`, the place of its first version."""
     rows = files if path is None else files.where(F.col("path") == path)
-    rows = rows.where(F.col("name") != "")
-    first = rows.groupBy(*MEMBER).agg(F.min("offsetheader").alias("position"))
-    return newest(rows).join(first, list(MEMBER))
+    return newest(rows.where(F.col("name") != ""), position=F.min("offsetheader"))
 
 
 def list_mode(files: DataFrame, path: str | None = None) -> DataFrame:

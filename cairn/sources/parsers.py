@@ -48,12 +48,16 @@ def _zstd(data: bytes) -> bytes:
 _DECODERS = ((b"\x1f\x8b", gzip.decompress), (b"BZh", bz2.decompress), (b"\xfd7zXZ\x00", lzma.decompress), (b"\x28\xb5\x2f\xfd", _zstd), (b"\x5d\x00\x00", lzma.decompress))
 
 
+def _is_zlib(data: bytes) -> bool:
+    return len(data) > 2 and data[0] & 15 == 8 and data[0] <= 0x78 and (data[0] << 8 | data[1]) % 31 == 0
+
+
 def decompress(data: bytes) -> bytes | None:
     """The content of a compressed stream; None if it is none that is known."""
     for magic, decode in _DECODERS:
         if data.startswith(magic):
             return decode(data)
-    if len(data) > 2 and data[0] & 15 == 8 and data[0] <= 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
+    if _is_zlib(data):
         return zlib.decompress(data)
     return None
 
@@ -387,7 +391,7 @@ def recognise(data: bytes, name: str = "") -> list[str]:
         out.append("fat")
     if re.match(rb"(?is)\s*<(!doctype html|html)", data[:1024]):
         out.append("html")
-    if not out and any(data.startswith(m) for m, _ in _DECODERS):
+    if not out and (_is_zlib(data) or any(data.startswith(m) for m, _ in _DECODERS)):
         if re.search(r"(?i)\.(tar\.[a-z0-9]+|t(gz|bz2?|xz|zst|b2|z2))$", name) or is_tar(decompress(data) or b""):
             out.append("tar")
         out.append("compressed")

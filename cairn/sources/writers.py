@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import bz2
 import gzip
 import io
 import json
@@ -355,9 +356,21 @@ def squashfs(files: Files) -> bytes:
     return bytes(out)
 
 
+def _single(compress: Callable[[bytes], bytes]) -> Writer:
+    """A compressed single file: the first of files."""
+    return lambda files: compress(files[0][1])
+
+
+def _zstd(data: bytes) -> bytes:
+    import zstandard
+
+    return zstandard.ZstdCompressor().compress(data)
+
+
 WRITERS: dict[str, Writer] = {
     "tar": tar, "tar.gz": tar_gz, "tar.xz": tar_xz, "tar.zst": tar_zst, "zip": zip_, "ar": ar, "asar": asar, "sqlar": sqlar, "catalog": catalog, "cpio": cpio, "warc": warc,
     "html": html, "ogg": ogg, "xar": xar, "cab": cab, "7z": sevenzip, "rar": rar, "iso": iso, "fat": fat, "squashfs": squashfs,
+    "gz": _single(lambda c: gzip.compress(c, mtime=MTIME)), "bz2": _single(bz2.compress), "xz": _single(lzma.compress), "zst": _single(_zstd), "zz": _single(zlib.compress),
 }
 
 
