@@ -108,7 +108,7 @@ def candidates(docs: DataFrame, kind: Kind, *, within: bool, only: DataFrame) ->
     shared = cut(texts.where(((F.col("lo") < F.col("hi")) | F.col("many")) if within else F.col("lo") < F.col("hi")).select("anchor"))
     hits = found.select("anchor", "ref", "run").join(shared, "anchor", "left_semi").groupBy("ref").agg(F.collect_set(F.struct("anchor", "run")).alias("runs"))
     hits = cut(hits.join(only, "ref", "left_semi"))
-    discard(found), discard(shared)
+    discard(found), discard(shared)  # the largest tables of all, and no longer read
     return docs.join(hits, "ref")
 
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 import ctypes
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,11 +57,35 @@ def cut(df: DataFrame, *, parts: int | None = None) -> DataFrame:
     release(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._cut_at = path
+    if _made:
+        _made[-1].append(out)
     return out
 
 
+#: Tables written inside the scratch() blocks that are open.
+_made: list[list[DataFrame]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Deletes the tables that cut() writes inside the block at its end, but for those given to keep()."""
+    _made.append([])
+    try:
+        yield
+    finally:
+        for df in _made.pop():
+            if not getattr(df, "_kept", False):
+                discard(df)
+
+
+def keep(df: DataFrame) -> DataFrame:
+    df._kept = True
+    return df
+
+
 def discard(df: DataFrame) -> None:
     """Delete a cut() table that nothing to come reads."""
+    df._kept = True  # a scratch() block has nothing more to do
     spark = df.sparkSession
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._cut_at)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, GroupedData
 from pyspark.sql import functions as F
 
-from .common import PLAIN_WORD, cut, flat, mix, release, shared_dir, slices, span_hashes, word_spans
+from .common import PLAIN_WORD, cut, flat, mix, release, scratch, shared_dir, slices, span_hashes, word_spans
 from .files import mapped, write_bytes
 
 ORDER = 3
@@ -262,6 +262,11 @@ def _reduce_last(path: str):
 
 def fit(docs: DataFrame, *, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES) -> Model:
     """Count docs.text and leave the model's arrays in the shared folder."""
+    with scratch():
+        return _fit(docs, order, bucket_bytes)
+
+
+def _fit(docs: DataFrame, order: int, bucket_bytes: int) -> Model:
     spark = docs.sparkSession
     docs = docs.select("text")
     path = shared_dir(spark)

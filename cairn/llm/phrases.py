@@ -7,7 +7,7 @@ Aho-Corasick automata there, over an alphabet in which each word is three charac
 stretches of a shard's documents are streamed through its automata, which finds every occurrence
 by the words themselves; what an earlier document has is removed.
 
-Shards are by document, sized by text, and an automaton has AUTOMATON phrases at most, so memory is
+Shards are by document, sized by text, and an automaton has AUTOMATON windows at most, so memory is
 bounded; a phrase that very many documents share costs one row in each shard.
 
 Words are runs of `[^\\x20\\x09-\\x0D]+`, unchanged.  Defined results: a null, empty or blank text has no
@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Kind, candidates, copies, live_runs, merge_runs, prepared, with_spans
-from .common import PLAIN_WORD, cut, flat, gram_hashes, mix, null_key, release, slices, span_hashes, starts_inside, word_spans
+from .common import PLAIN_WORD, cut, flat, gram_hashes, keep, mix, null_key, release, scratch, slices, span_hashes, starts_inside, word_spans
 
 WINDOW, GRAM = 13, 5
-#: Text bytes of the documents of one shard, and phrases in one automaton.
+#: Text bytes of the documents of one shard, and windows in one automaton.
 SHARD_BYTES = 6 << 20
 AUTOMATON = 20_000
 #: End of the span of a copy: all of a text that has a window.
@@ -131,23 +131,26 @@ def _text_of(numbers: np.ndarray) -> str:
 
 
 def automata(phrases: pa.Array, firsts: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, object]]:
-    """(vocabulary, automaton) over the windows of the phrases, AUTOMATON windows each; a window's value is its first document."""
+    """(vocabulary, automaton) over the windows of the phrases, AUTOMATON windows each; a window's value is its first document.
+
+    A phrase of more windows goes on in the next automaton, so none is larger, nor has more words than three characters tell apart.
+    """
     import ahocorasick
 
     b, o = flat(phrases)
     starts, ends, bounds = word_spans(b, o, PLAIN_WORD)
     codes = span_hashes(b, starts, ends)
-    group = np.cumsum(np.diff(bounds) - n + 1) // AUTOMATON
-    for g in np.unique(group):
-        which = np.flatnonzero(group == g)  # one after another
-        lo, hi = bounds[which[0]], bounds[which[-1] + 1]
+    count = np.maximum(np.diff(bounds) - n + 1, 0)
+    value = np.repeat(firsts, count)
+    window = np.repeat(bounds[:-1] - np.cumsum(count) + count, count) + np.arange(count.sum())  # first word of each
+    for at in range(0, len(window), AUTOMATON):
+        part = window[at : at + AUTOMATON]
+        lo, hi = int(part[0]), int(part[-1]) + n
         vocabulary = np.unique(codes[lo:hi])
         text = _text_of(_numbers(vocabulary, codes[lo:hi]))
         machine = ahocorasick.Automaton()
-        for p in which.tolist():
-            value = int(firsts[p])
-            for k in range(3 * int(bounds[p] - lo), 3 * int(bounds[p + 1] - lo - n) + 1, 3):
-                machine.add_word(text[k : k + 3 * n], value)
+        for k, first in zip((3 * (part - lo)).tolist(), value[at : at + AUTOMATON].tolist(), strict=True):
+            machine.add_word(text[k : k + 3 * n], first)
         machine.make_automaton()
         yield vocabulary, machine
 
@@ -236,7 +239,8 @@ def _finish(window: int, texts: bool):
 def dedup(docs: DataFrame, *, window: int = WINDOW, texts: bool = False) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept: the words left, by one space."""
     docs = prepared(docs)
-    removed = cut(spans(docs, window=window))
+    with scratch():
+        removed = keep(cut(spans(docs, window=window)))
     release(docs.sparkSession)
     schema = "_k long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if texts else "")
     out = with_spans(docs, removed, _finish(window, texts), schema)

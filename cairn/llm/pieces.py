@@ -74,6 +74,9 @@ class Pieces:
                 self.ids[piece] = i
                 self.raw[i] = piece.replace(_SPACE, " ").encode()
                 scores[piece] = -model.get_score(i)
+        wrong = next((p for p in self.ids if _SPACE in p.lstrip(_SPACE) or ("\n" in p and p != "\n")), None)
+        if wrong is not None:
+            raise ValueError(f"pieces such as {wrong!r} go over the places where texts are cut into words")
         places = {s: k for k, s in enumerate(sorted(set(scores.values())))}
         self.rank = {p: places[s] for p, s in scores.items()}
 

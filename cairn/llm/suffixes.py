@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Kind, candidates, copies, live_runs, merge_runs, prepared, with_spans
-from .common import byte_gram_hashes, cut, flat, null_key, release, slices, span_hashes
+from .common import byte_gram_hashes, cut, flat, keep, null_key, release, scratch, slices, span_hashes
 
 LENGTH, GRAM = 100, 32
 #: Text bytes for one shard of suffixes.
@@ -297,7 +297,8 @@ def _finish(texts: bool):
 def dedup(docs: DataFrame, *, length: int = LENGTH, texts: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept: the bytes left."""
     docs = prepared(docs)
-    removed = cut(spans(docs, length=length))
+    with scratch():
+        removed = keep(cut(spans(docs, length=length)))
     release(docs.sparkSession)
     schema = "_k long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if texts else "")
     out = with_spans(docs, removed, _finish(texts), schema)

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from cairn.llm import components, decontaminate, htmltext, kneser_ney, near_dup, phrases, pieces, quality, secrets, suffixes, toxicity
+from cairn.llm import common, components, decontaminate, htmltext, kneser_ney, near_dup, phrases, pieces, quality, secrets, suffixes, toxicity
 from cairn.llm.common import NULL_ID, flat
 
 from .conftest import prose
@@ -352,6 +353,29 @@ def test_small_automata(spark, monkeypatch, messy):
     assert sorted(map(str, phrases.dedup(messy, texts=True).collect())) == whole
 
 
+def test_a_long_phrase_goes_over_several_automata(spark, monkeypatch):
+    monkeypatch.setattr(phrases, "AUTOMATON", 7)
+    rng = random.Random(12)
+    shared = prose(rng, 120, 10**6)
+    made = list(phrases.automata(pa.array([shared.encode()]), np.array([1]), 13))
+    assert len(made) == -(-108 // 7) and all(len(m) <= 7 for _, m in made)
+    docs = spark.createDataFrame([(1, shared), (2, "a b " + shared + " c")], "doc_id long, text string")
+    assert {r.doc_id: r.n_removed for r in phrases.dedup(docs).collect()} == {1: 0, 2: 120}
+
+
+def test_scratch_tables_go(spark, monkeypatch, tmp_path):
+    """What a query leaves is what its rows are still read from."""
+    names = iter(range(10**6))
+    monkeypatch.setattr(common, "shared_dir", lambda _: f"file://{tmp_path}/t{next(names)}")
+    rng = random.Random(13)
+    shared = prose(rng, 60)
+    docs = spark.createDataFrame([(i, f"{prose(rng, 40)} {shared} {prose(rng, 40)}") for i in range(6)], "doc_id long, text string")
+    for run, left in ((phrases.dedup, 1), (suffixes.dedup, 1), (near_dup.links, 2)):
+        before = set(os.listdir(tmp_path))
+        assert run(docs).count() == 6
+        assert len(set(os.listdir(tmp_path)) - before) == left
+
+
 @pytest.mark.parametrize("hot", [4096, 1])
 def test_substrings_by_bytes(messy, nothing, rows, spark, monkeypatch, hot):
     monkeypatch.setitem(suffixes.spans.__kwdefaults__, "hot", hot)
