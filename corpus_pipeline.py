@@ -2,6 +2,11 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read
 again as the next stage's docs.  All stages but the last return the columns of documents.
+
+Defined results of every stage: a null, empty or blank text fails the quality rules and goes; of repeated
+rows, equal or nearly so, one stays, the one with the least id, nulls first; a null id stays null; ties
+and very long texts have no rules of their own; nulls in other columns and columns that documents lacks are
+kept as they are; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from cairn.llm import decontaminate, near_dup, pieces, quality, secrets
-from cairn.llm.common import cut, small_batches
+from cairn.llm.common import cut, discard, small_batches
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -60,8 +65,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over documents; a stage's table goes when the next one's is written."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
+        if before is not None:
+            discard(before)
+        before = docs
     return STAGES[-1][1](spark, docs, sf_dir)
