@@ -1,4 +1,5 @@
-"""Containers and disk images to catalog rows, in plain Python: 7z, RAR (stored members), XAR, CAB, ISO 9660, FAT, SquashFS and catalogs in SQLite.
+"""Containers and disk images to catalog rows, in plain Python: 7z, RAR (stored members), XAR, CAB, ISO 9660, FAT,
+SquashFS, ext4, attachments of PDF and catalogs in SQLite.
 
 Each parser is a generator of parsers.row(); contents are read only if options["content"] asks for
 them, or is not given.
@@ -10,6 +11,7 @@ import bz2
 import calendar
 import lzma
 import os
+import re
 import sqlite3
 import stat
 import struct
@@ -582,6 +584,115 @@ def squashfs(data: bytes, options: dict) -> Iterator[Row]:
             yield row(path, mode={4: stat.S_IFBLK, 5: stat.S_IFCHR, 6: stat.S_IFIFO, 7: stat.S_IFSOCK}.get(what if what < 8 else what - 7, 0) | mode, **common)
 
 
+def ext4(data: bytes, options: dict) -> Iterator[Row]:
+    """ext2, ext3 and ext4 volumes: folders, files of extents or block maps, and symbolic links."""
+    sb = data[1024:2048]
+    if sb[56:58] != b"\x53\xef":
+        raise ValueError("not an ext4 volume")
+    block = 1024 << struct.unpack("<I", sb[24:28])[0]
+    first, per_group = struct.unpack("<I", sb[20:24])[0], struct.unpack("<I", sb[40:44])[0]
+    inode_size = struct.unpack("<H", sb[88:90])[0] if struct.unpack("<I", sb[76:80])[0] else 128
+    wide = bool(struct.unpack("<I", sb[96:100])[0] & 0x80)
+    entry = struct.unpack("<H", sb[254:256])[0] if wide else 32
+    groups_at = (first + 1) * block
+
+    def inode(number: int) -> tuple[int, bytes]:
+        group, index = divmod(number - 1, per_group)
+        at = groups_at + group * entry
+        table = struct.unpack("<I", data[at + 8 : at + 12])[0] | (struct.unpack("<I", data[at + 40 : at + 44])[0] << 32 if wide and entry >= 64 else 0)
+        at = table * block + index * inode_size
+        return at, data[at : at + inode_size]
+
+    def extents(node: bytes) -> Iterator[tuple[int, int, int]]:
+        magic, n, _, depth = struct.unpack("<4H", node[:8])
+        if magic != 0xF30A:
+            raise ValueError("damaged extents")
+        for k in range(n):
+            e = node[12 + 12 * k : 24 + 12 * k]
+            if depth:
+                low, high = struct.unpack("<IH", e[4:10])
+                yield from extents(data[(high << 32 | low) * block : ((high << 32 | low) + 1) * block])
+            else:
+                logical, count, high, low = struct.unpack("<IHHI", e)
+                yield logical, count & 0x7FFF if count > 0x8000 else count, 0 if count > 0x8000 else high << 32 | low
+
+    def mapped(numbers: bytes, level: int) -> Iterator[int]:
+        for (b,) in struct.iter_unpack("<I", numbers):
+            if not level:
+                yield b
+            elif b:
+                yield from mapped(data[b * block : (b + 1) * block], level - 1)
+            else:
+                yield from [0] * (block // 4) ** level
+
+    def content(i: bytes, size: int) -> bytes:
+        out = bytearray(size)
+        where = struct.unpack("<I", i[32:36])[0]
+        if where & 0x10000000:  # held in the inode
+            return i[40 : 40 + min(size, 60)]
+        if where & 0x80000:
+            parts = extents(i[40:100])
+        else:
+            numbers = (b for level, part in ((0, i[40:88]), (1, i[88:92]), (2, i[92:96]), (3, i[96:100])) for b in mapped(part, level))
+            parts = ((k, 1, b) for k, b in zip(range(-(-size // block)), numbers, strict=False))
+        for logical, count, b in parts:
+            if b:
+                piece = data[b * block : (b + count) * block][: max(0, size - logical * block)]
+                out[logical * block : logical * block + len(piece)] = piece
+        return bytes(out)
+
+    todo, seen = [("", 2)], {2}
+    while todo:
+        path, number = todo.pop(0)
+        at, i = inode(number)
+        mode, uid, low = struct.unpack("<HHI", i[:8])
+        size = low | (struct.unpack("<I", i[108:112])[0] << 32 if stat.S_ISREG(mode) else 0)
+        common = {"offsetheader": at, "mtime": float(struct.unpack("<I", i[16:20])[0]), "uid": uid, "gid": struct.unpack("<H", i[24:26])[0], "mode": mode}
+        if stat.S_ISDIR(mode):
+            if path:
+                yield row(path, type="5", **common)
+            listing, k = content(i, size), 0
+            while k + 8 <= len(listing):
+                child, length, n = struct.unpack("<IHB", listing[k : k + 7])
+                name = listing[k + 8 : k + 8 + n].decode("utf-8", "surrogateescape")
+                if child and name not in (".", "..") and (child not in seen or not stat.S_ISDIR(struct.unpack("<H", inode(child)[1][:2])[0])):
+                    seen.add(child)
+                    todo.append((f"{path}/{name}", child))
+                k += max(length, 8)
+        elif stat.S_ISLNK(mode):
+            link = i[40 : 40 + size] if size < 60 else content(i, size)
+            yield row(path, type="2", linkname=link.decode("utf-8", "surrogateescape"), **common)
+        else:
+            yield row(path, size=size if stat.S_ISREG(mode) else 0, content=content(i, size) if wanted(options) and stat.S_ISREG(mode) else None, **common)
+
+
+# --- documents ------------------------------------------------------------------------------
+
+
+def pdf(data: bytes, options: dict) -> Iterator[Row]:
+    """Files attached to a PDF: the streams that its file specifications embed, plain or deflated."""
+    if not data.startswith(b"%PDF-"):
+        raise ValueError("not a PDF")
+    bodies = {int(m[1]): m.end() for m in re.finditer(rb"(?<![0-9])([0-9]+)\s+[0-9]+\s+obj\b", data)}
+    for m in re.finditer(rb"/Type\s*/Filespec\b", data):
+        begin, end = data.rfind(b" obj", 0, m.start()), data.find(b"endobj", m.end())
+        spec = data[begin:end]
+        name = re.search(rb"/UF?\s*\(((?:[^()\\]|\\.)*)\)", spec) or re.search(rb"/F\s*\(((?:[^()\\]|\\.)*)\)", spec)
+        to = re.search(rb"/EF\s*<<[^>]*?/U?F\s+([0-9]+)\s+[0-9]+\s+R", spec)
+        if not name or not to or int(to[1]) not in bodies:
+            continue
+        at = bodies[int(to[1])]
+        start = data.index(b"stream", at)
+        head = data[at:start]
+        start += 8 if data[start + 6 : start + 8] == b"\r\n" else 7
+        length = re.search(rb"/Length\s+([0-9]+)(?!\s+[0-9]+\s+R)", head)
+        body = data[start : start + int(length[1])] if length else data[start : data.index(b"endstream", start)].rstrip(b"\r\n")
+        content = zlib.decompress(body) if b"/FlateDecode" in head else body
+        raw = re.sub(rb"\\(.)", rb"\1", name[1])
+        text = raw[2:].decode("utf-16-be", "replace") if raw.startswith(b"\xfe\xff") else raw.decode("latin-1")
+        yield row(text, offsetheader=at, offset=start, size=len(content), content=content if wanted(options) else None)
+
+
 # --- catalogs -------------------------------------------------------------------------------
 
 

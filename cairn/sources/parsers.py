@@ -8,7 +8,6 @@ read and inflated only if options["content"] asks for them, or is not given.
 from __future__ import annotations
 
 import base64
-import bz2
 import calendar
 import gzip
 import hashlib
@@ -16,7 +15,6 @@ import html
 import html.parser
 import io
 import json
-import lzma
 import mimetypes
 import os
 import re
@@ -31,6 +29,7 @@ import zlib
 from collections.abc import Callable, Iterator
 
 from . import images
+from .codecs import SUFFIX, decompress, known
 from .rows import Row, clean, row, wanted
 
 Parser = Callable[[bytes, dict], Iterator[Row]]
@@ -39,29 +38,6 @@ Parser = Callable[[bytes, dict], Iterator[Row]]
 # --- compression ----------------------------------------------------------------------------
 
 
-def _zstd(data: bytes) -> bytes:
-    import zstandard
-
-    return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data), read_across_frames=True).read()
-
-
-_DECODERS = ((b"\x1f\x8b", gzip.decompress), (b"BZh", bz2.decompress), (b"\xfd7zXZ\x00", lzma.decompress), (b"\x28\xb5\x2f\xfd", _zstd), (b"\x5d\x00\x00", lzma.decompress))
-
-
-def _is_zlib(data: bytes) -> bool:
-    return len(data) > 2 and data[0] & 15 == 8 and data[0] <= 0x78 and (data[0] << 8 | data[1]) % 31 == 0
-
-
-def decompress(data: bytes) -> bytes | None:
-    """The content of a compressed stream; None if it is none that is known."""
-    for magic, decode in _DECODERS:
-        if data.startswith(magic):
-            return decode(data)
-    if _is_zlib(data):
-        return zlib.decompress(data)
-    return None
-
-
 def gzip_info(data: bytes) -> tuple[str | None, int]:
     """(original name, mtime) of a gzip header."""
     if data[:2] != b"\x1f\x8b":
@@ -76,15 +52,15 @@ def gzip_info(data: bytes) -> tuple[str | None, int]:
 
 def compressed(data: bytes, options: dict) -> Iterator[Row]:
     """A compressed single file as a catalog of one row, whose offsetheader is null."""
-    content = decompress(data)
+    name = options.get("name", "content")
+    content = decompress(data, name)
     if content is None:
         raise ValueError("unknown compression")
-    name = options.get("name", "content")
     if data[:2] == b"\x1f\x8b":
         said, mtime = gzip_info(data)
     else:
         said, mtime = None, 0
-    stem = said or re.sub(r"(?i)\.(gz|gzip|bz2|bzip2|xz|zst|zstd|zz|zlib|lzma)$", "", name)
+    stem = said or re.sub(SUFFIX, "", name)
     yield row(stem, size=len(content), mtime=float(mtime), content=content, offset=0)
 
 
@@ -96,7 +72,7 @@ _XATTR_PREFIXES = ("SCHILY.xattr.", "LIBARCHIVE.xattr.")
 
 def tar(data: bytes, options: dict) -> Iterator[Row]:
     """Members of a TAR, compressed or not; a hard link has its target's path in linkname."""
-    plain = decompress(data) if not is_tar(data) else None
+    plain = decompress(data, options.get("name", "")) if not is_tar(data) else None
     data = data if plain is None else plain
     with tarfile.open(fileobj=io.BytesIO(data), mode="r:", ignore_zeros=options.get("ignoreZeros", False), encoding=options.get("encoding", "utf-8")) as archive:
         for m in archive:
@@ -345,6 +321,11 @@ def cpio(data: bytes, options: dict) -> Iterator[Row]:
         at = start + -(-size // 4) * 4
 
 
+def rpm(data: bytes, options: dict) -> Iterator[Row]:
+    """Files of an RPM package; offsets are those in its inflated payload."""
+    yield from cpio(decompress(data) or b"", options)
+
+
 def warc(data: bytes, options: dict) -> Iterator[Row]:
     """Records of a WARC file, named by their target."""
     at = 0
@@ -361,7 +342,7 @@ def warc(data: bytes, options: dict) -> Iterator[Row]:
 
 PARSERS: dict[str, Parser] = {
     "tar": tar, "zip": zip_, "ar": ar, "ar-thin": ar, "asar": asar, "sqlar": sqlar, "html": html_, "ogg": ogg, "cpio": cpio, "warc": warc, "compressed": compressed,
-    "7z": images.sevenzip, "rar": images.rar, "xar": images.xar, "cab": images.cab, "iso9660": images.iso, "fat": images.fat, "squashfs": images.squashfs, "catalog": images.sqlite_catalog,
+    "7z": images.sevenzip, "rar": images.rar, "xar": images.xar, "cab": images.cab, "iso9660": images.iso, "fat": images.fat, "squashfs": images.squashfs, "catalog": images.sqlite_catalog, "ext4": images.ext4, "pdf": images.pdf, "rpm": rpm,
 }
 
 
@@ -387,13 +368,19 @@ def recognise(data: bytes, name: str = "") -> list[str]:
     out += [kind for kind, magic in (("7z", b"7z\xbc\xaf\x27\x1c"), ("rar", b"Rar!\x1a\x07\x01\x00"), ("xar", b"xar!"), ("cab", b"MSCF"), ("squashfs", b"hsqs")) if data.startswith(magic)]
     if data[0x8001:0x8006] == b"CD001":
         out.append("iso9660")
+    if data[0x438:0x43A] == b"\x53\xef":
+        out.append("ext4")
+    if data.startswith(b"%PDF-"):
+        out.append("pdf")
     if data[510:512] == b"\x55\xaa" and data[:1] in (b"\xeb", b"\xe9"):
         out.append("fat")
     if re.match(rb"(?is)\s*<(!doctype html|html)", data[:1024]):
         out.append("html")
-    if not out and (_is_zlib(data) or any(data.startswith(m) for m, _ in _DECODERS)):
-        if re.search(r"(?i)\.(tar\.[a-z0-9]+|t(gz|bz2?|xz|zst|b2|z2))$", name) or is_tar(decompress(data) or b""):
+    if not out and (known(data) or name.lower().endswith(".deflate")):
+        if re.search(r"(?i)\.(tar\.[a-z0-9]+|t(gz|bz2?|xz|zst|b2|z2))$", name) or is_tar(decompress(data, name) or b""):
             out.append("tar")
+        if data.startswith(b"\xed\xab\xee\xdb"):
+            out.append("rpm")
         out.append("compressed")
     return out
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import base64
+import binascii
 import bz2
 import gzip
 import io
@@ -356,6 +357,139 @@ def squashfs(files: Files) -> bytes:
     return bytes(out)
 
 
+def ext4(files: Files) -> bytes:
+    """One group of 4 KiB blocks (so 128 MiB at most), one folder, extents."""
+    block, inode_size = 4096, 256
+    inodes = -(-(len(files) + 11) // 16) * 16
+    table_blocks = inodes * inode_size // block
+    listing = []
+    now = b""
+    for number, name in [(2, b"."), (2, b".."), *((i + 12, n.encode()) for i, (n, _) in enumerate(files))]:
+        e = struct.pack("<IHBB", number, 8 + -(-len(name) // 4) * 4, len(name), 1) + name + bytes(-len(name) % 4)
+        if len(now) + len(e) > block:
+            listing.append(now)
+            now = b""
+        now += e
+    listing.append(now)
+    blocks = []
+    for part in listing:  # the last entry of a block reaches its end
+        at = k = 0
+        while k < len(part):
+            at, k = k, k + struct.unpack("<H", part[k + 4 : k + 6])[0]
+        blocks.append(part[: at + 4] + struct.pack("<H", block - at) + part[at + 6 :].ljust(block - at - 6, b"\0"))
+    first_data = 4 + table_blocks
+    body, place = b"".join(blocks), first_data + len(blocks)
+
+    def inode(mode: int, size: int, at: int, n: int) -> bytes:
+        # an extent has 32,768 blocks at most, and four fit an inode
+        parts = [(k, min(32768, n - k)) for k in range(0, n, 32768)]
+        tree = struct.pack("<4HI", 0xF30A, len(parts), 4, 0, 0) + b"".join(struct.pack("<IHHI", k, c, 0, at + k) for k, c in parts)
+        out = struct.pack("<HHIIIIIHHIII", mode, 0, size & 0xFFFFFFFF, MTIME, MTIME, MTIME, 0, 0, 1, n * block // 512, 0x80000, 0) + tree.ljust(60, b"\0")
+        return (out + struct.pack("<III", 0, 0, size >> 32)).ljust(inode_size, b"\0")
+
+    table = bytearray(inodes * inode_size)
+    table[inode_size : 2 * inode_size] = inode(0o40755, len(blocks) * block, first_data, len(blocks))
+    for i, (_, content) in enumerate(files):
+        n = -(-len(content) // block)
+        table[(i + 11) * inode_size : (i + 12) * inode_size] = inode(0o100644, len(content), place, n)
+        body += content + bytes(-len(content) % block)
+        place += n
+    sb = bytearray(1024)
+    struct.pack_into("<13I", sb, 0, inodes, place, 0, 0, 0, 0, 2, 2, 32768, 32768, inodes, MTIME, MTIME)
+    struct.pack_into("<HHH", sb, 52, 0, 0xFFFF, 0xEF53)
+    struct.pack_into("<I", sb, 76, 1)
+    struct.pack_into("<IHHIII", sb, 84, 11, inode_size, 0, 0, 0x42, 0)
+    group = struct.pack("<III", 2, 3, 4).ljust(32, b"\0")
+    return bytes(1024) + bytes(sb).ljust(block - 1024, b"\0") + group.ljust(block, b"\0") + bytes(2 * block) + bytes(table) + body
+
+
+def pdf(files: Files) -> bytes:
+    """A page without text, with the files attached."""
+    out = bytearray(b"%PDF-1.7\n")
+    at: list[int] = []
+
+    def add(body: bytes) -> int:
+        at.append(len(out))
+        out.extend(b"%d 0 obj\n" % len(at) + body + b"\nendobj\n")
+        return len(at)
+
+    names = []
+    for name, content in files:
+        packed = zlib.compress(content)
+        stream = add(b"<< /Type /EmbeddedFile /Filter /FlateDecode /Length %d >>\nstream\n" % len(packed) + packed + b"\nendstream")
+        title = b"(" + (b"\xfe\xff" + name.encode("utf-16-be")).replace(b"\\", b"\\\\").replace(b"(", b"\\(").replace(b")", b"\\)") + b")"
+        names.append(title + b" %d 0 R" % add(b"<< /Type /Filespec /UF " + title + b" /F " + title + b" /EF << /F %d 0 R >> >>" % stream))
+    page = len(at) + 2
+    pages = add(b"<< /Type /Pages /Kids [%d 0 R] /Count 1 >>" % page)
+    add(b"<< /Type /Page /Parent %d 0 R /MediaBox [0 0 200 200] >>" % pages)
+    root = add(b"<< /Type /Catalog /Pages %d 0 R /Names << /EmbeddedFiles << /Names [" % pages + b" ".join(names) + b"] >> >> >>")
+    start = len(out)
+    out.extend(b"xref\n0 %d\n0000000000 65535 f \n" % (len(at) + 1) + b"".join(b"%010d 00000 n \n" % x for x in at))
+    return bytes(out) + b"trailer << /Size %d /Root %d 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(at) + 1, root, start)
+
+
+def lzip(data: bytes) -> bytes:
+    """One member."""
+    packed = lzma.compress(data, lzma.FORMAT_ALONE, filters=[{"id": lzma.FILTER_LZMA1, "lc": 3, "lp": 0, "pb": 2, "dict_size": 1 << 20}])[13:]
+    tail = struct.pack("<IQQ", zlib.crc32(data), len(data), 6 + len(packed) + 20)
+    return b"LZIP\x01" + bytes([20]) + packed + tail
+
+
+def lz4(data: bytes) -> bytes:
+    import pyarrow
+
+    out = pyarrow.BufferOutputStream()
+    with pyarrow.CompressedOutputStream(out, "lz4") as f:
+        f.write(data)
+    return out.getvalue().to_pybytes()
+
+
+def uu(data: bytes) -> bytes:
+    return b"begin 644 data\n" + b"".join(binascii.b2a_uu(data[k : k + 45]) for k in range(0, len(data), 45)) + b"`\nend\n"
+
+
+def compress(data: bytes) -> bytes:
+    """LZW of up to 16 bits, as compress writes it; the table is never cleared."""
+    table = {bytes([i]): i for i in range(256)}
+    width, n, now = 9, 257, b""
+    bits = count = 0
+    out = bytearray(b"\x1f\x9d\x90")
+
+    def put(code: int, size: int) -> None:
+        nonlocal bits, count
+        bits |= code << count
+        count += size
+        while count >= 8:
+            out.append(bits & 255)
+            bits >>= 8
+            count -= 8
+
+    written = 0
+    for b in data:
+        longer = now + bytes([b])
+        if longer in table:
+            now = longer
+            continue
+        put(table[now], width)
+        written += 1
+        if n < 1 << 16:
+            table[longer] = n
+            n += 1
+            if n > 1 << width and width < 16:  # the reader is one entry behind
+                put(0, -written % 8 * width)
+                width, written = width + 1, 0
+        now = bytes([b])
+    if now:
+        put(table[now], width)
+    put(0, -count % 8)
+    return bytes(out)
+
+
+def zstd_frames(data: bytes, chunk: int = 1 << 20) -> bytes:
+    """A frame for each chunk, so that a reader may start at any of them."""
+    return b"".join(_zstd(data[k : k + chunk]) for k in range(0, len(data), chunk)) or _zstd(b"")
+
+
 def _single(compress: Callable[[bytes], bytes]) -> Writer:
     """A compressed single file: the first of files."""
     return lambda files: compress(files[0][1])
@@ -370,7 +504,8 @@ def _zstd(data: bytes) -> bytes:
 WRITERS: dict[str, Writer] = {
     "tar": tar, "tar.gz": tar_gz, "tar.xz": tar_xz, "tar.zst": tar_zst, "zip": zip_, "ar": ar, "asar": asar, "sqlar": sqlar, "catalog": catalog, "cpio": cpio, "warc": warc,
     "html": html, "ogg": ogg, "xar": xar, "cab": cab, "7z": sevenzip, "rar": rar, "iso": iso, "fat": fat, "squashfs": squashfs,
-    "gz": _single(lambda c: gzip.compress(c, mtime=MTIME)), "bz2": _single(bz2.compress), "xz": _single(lzma.compress), "zst": _single(_zstd), "zz": _single(zlib.compress),
+    "gz": _single(lambda c: gzip.compress(c, mtime=MTIME)), "bz2": _single(bz2.compress), "xz": _single(lzma.compress), "zst": _single(zstd_frames), "zz": _single(zlib.compress),
+    "lz4": _single(lz4), "lz": _single(lzip), "Z": _single(compress), "uu": _single(uu), "ext4": ext4, "pdf": pdf,
 }
 
 

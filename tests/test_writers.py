@@ -14,7 +14,7 @@ from cairn.sources import archives, images, parsers, writers
 FILES = [("0a.txt", b"hello"), ("0b.txt", b""), ("0c.txt", bytes(range(256)) * 700), ("0d is a name that is much longer than eight and three.txt", "ä ß".encode() * 9)]
 
 
-SINGLE = {"gz", "bz2", "xz", "zst", "zz"}
+SINGLE = {"gz", "bz2", "xz", "zst", "zz", "lz4", "lz", "Z", "uu"}
 
 
 @pytest.mark.parametrize("kind", sorted(SINGLE))
@@ -36,14 +36,14 @@ def test_round_trip(kind):
     assert sorted((r["name"], r["size"]) for r in got) == sorted((n, len(c)) for n, c in files)
     if kind != "catalog":
         assert sorted((r["name"], r["content"]) for r in got) == sorted(files)
-    if kind in ("tar", "zip", "sqlar", "7z", "xar", "cab", "iso", "fat", "squashfs", "rar", "cpio"):
+    if kind in ("tar", "zip", "sqlar", "7z", "xar", "cab", "iso", "fat", "squashfs", "rar", "cpio", "ext4", "pdf"):
         assert all(r["content"] is None for r in bare)
 
 
 def test_many_files_in_images():
     rng = random.Random(1)
     files = [(f"file {i:04d}.bin", rng.randbytes(rng.randrange(3000))) for i in range(700)]
-    for kind in ("squashfs", "iso", "fat", "7z", "cab"):
+    for kind in ("squashfs", "iso", "fat", "7z", "cab", "ext4", "pdf"):
         assert sorted((r["name"], r["content"]) for r in parsers.parse(writers.WRITERS[kind](files), "x", {})) == files, kind
 
 
@@ -105,3 +105,23 @@ def test_pack_and_read(spark):
     packed = writers.pack(files, F.floor(F.regexp_extract("name", r"\d+", 0).cast("int") / 7), "tar")
     got = archives.members_of(packed, content=True).collect()
     assert {(r["name"], r.content.decode()) for r in got} == {(f"{i}.txt", str(i) * 5) for i in range(40)} and len({r.archive for r in got}) == 6
+
+
+def test_codecs_beside_what_they_wrote():
+    rng = random.Random(5)
+    from cairn.sources import codecs
+
+    text = " ".join(f"word{rng.randrange(300)}" for _ in range(60_000)).encode()
+    for data in (b"", b"a", text, rng.randbytes(150_000)):
+        for name in ("lz4", "lzip", "compress", "uu"):
+            assert codecs.decompress(getattr(writers, name)(data)) == data, name
+        assert codecs.decompress(writers.zstd_frames(data, 1000)) == data
+    import zlib
+
+    raw = zlib.compressobj(9, zlib.DEFLATED, -15)
+    packed = raw.compress(text) + raw.flush()
+    (r,) = parsers.parse(packed, "t.txt.deflate", {})
+    assert (r["name"], r["content"]) == ("t.txt", text)
+    head = b"\x8e\xad\xe8\x01" + bytes(4) + struct.pack(">II", 1, 3) + bytes(16) + b"abc"
+    package = b"\xed\xab\xee\xdb".ljust(96, b"\0") + head + bytes(-(96 + len(head)) % 8) + head + writers._zstd(writers.cpio(FILES))
+    assert sorted((r["name"], r["content"]) for r in parsers.parse(package, "a.rpm", {})) == sorted(FILES)
