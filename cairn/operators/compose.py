@@ -6,10 +6,10 @@ import itertools
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import paths, values
+from ..functions import formats, paths, values
 from . import versions as v
 
 ORDER = ("source_idx", "offsetheader")
@@ -96,6 +96,40 @@ def automount(files: DataFrame, expand: Callable[[DataFrame], DataFrame], *, is_
     return reduce(DataFrame.unionByName, out)
 
 
+def mount_points(full: Column, *, rules: list | None = None, transform: tuple[str, str] | None = None) -> Column:
+    """Where a nested archive is mounted: its path, without its suffix if rules are given, then a regular expression replaced."""
+    at = full if rules is None else formats.strip_suffix(full, rules)
+    return at if transform is None else F.concat(F.lit("/"), F.ltrim(values.apply_transform(at, *transform), F.lit("/")))
+
+
+def nested_folders(files: DataFrame, mounts: DataFrame) -> DataFrame:
+    """files with the archives of mounts (offsetheader, mount) marked istar, and a generated folder row for each at its mount point.
+
+    A folder that takes the place of its archive has offsets one greater, and so is its newer version.
+    """
+    points = mounts.select("offsetheader", F.col("mount").alias("_m")).dropDuplicates(["offsetheader"])
+    rows = files.join(points, "offsetheader", "left")
+    full = paths.join("path", "name")
+    same = (F.col("_m") == full).cast("long")
+    made = {
+        "path": paths.dirname("_m"), "name": paths.basename("_m"), "offsetheader": F.col("offsetheader") + same, "offset": F.col("offset") + same, "mode": values.folder_mode(F.col("mode")),
+        "istar": F.lit(True), "isgenerated": F.lit(True), "recursiondepth": F.col("recursiondepth") + 1,
+    }
+    both = F.array(
+        F.struct(*(F.when(F.col("_m").isNotNull(), True).otherwise(F.col(c)).alias(c) if c == "istar" else F.col(c) for c in files.columns)),
+        F.when(F.col("_m").isNotNull(), F.struct(*(made.get(c, F.col(c)).cast(files.schema[c].dataType).alias(c) for c in files.columns))),
+    )
+    return rows.select(F.explode(F.array_compact(both)).alias("_r")).select("_r.*")
+
+
+def outside(files: DataFrame, prefixes: list[str]) -> DataFrame:
+    """Rows whose full path begins with none of the prefixes."""
+    full, keep = paths.join("path", "name"), F.lit(True)
+    for p in prefixes:
+        keep &= ~full.startswith(p)
+    return files.where(keep)
+
+
 def resolve_links(files: DataFrame, max_hops: int = 128) -> DataFrame:
     """Hard links to the row they end at: path, name, offsetheader, target_path, target_name, target_offset.
 

@@ -578,7 +578,7 @@ def _plain_name() -> Column:
     return F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
 
 
-for _suffix in ("tar", "tar.gz", "tar.xz", "tar.zst", "zip", "ar", "asar", "sqlar", "cpio", "warc", "html", "xar", "cab", "7z", "rar", "iso", "fat", "squashfs"):
+for _suffix in ("tar", "tar.gz", "tar.xz", "tar.zst", "zip", "ar", "asar", "sqlar", "cpio", "warc", "html", "xar", "cab", "7z", "rar", "iso", "fat", "squashfs", "ext4", "pdf"):
     _reading(_suffix, _plain_name, "doc_id || '.txt'")
 _reading("catalog", _plain_name, "doc_id || '.txt'", sha="NULL")
 # pages of 255 segments of 255 bytes, with a head of 27 bytes and a length for each segment
@@ -635,12 +635,12 @@ def detect_archives(spark, d):
     return out
 
 
-@query("SELECT doc_id || '.' || k AS archive, doc_id::VARCHAR AS name, strlen(coalesce(text, ''))::BIGINT AS size, sha256(coalesce(text, '')) AS sha256, CASE WHEN k = 'gz' THEN 1577836800 ELSE 0 END::DOUBLE AS mtime FROM documents, (VALUES ('gz'), ('bz2'), ('xz'), ('zst'), ('zz')) t(k)")
+@query("SELECT doc_id || '.' || k AS archive, doc_id::VARCHAR AS name, strlen(coalesce(text, ''))::BIGINT AS size, sha256(coalesce(text, '')) AS sha256, CASE WHEN k = 'gz' THEN 1577836800 ELSE 0 END::DOUBLE AS mtime FROM documents, (VALUES ('gz'), ('bz2'), ('xz'), ('zst'), ('zz'), ('lz4'), ('lz'), ('Z'), ('uu')) t(k)")
 def read_compressed(spark, d):
     """Compressed single files, one for each document and codec; a gzip header also has the time."""
     docs = table(spark, d, "documents").select("doc_id", _plain_name().alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
     packed = None
-    for kind in ("gz", "bz2", "xz", "zst", "zz"):
+    for kind in ("gz", "bz2", "xz", "zst", "zz", "lz4", "lz", "Z", "uu"):
         one = writers.pack(docs, F.col("doc_id"), kind)
         packed = one if packed is None else packed.unionByName(one)
     rows = archives.members_of(packed, content=True)
@@ -674,6 +674,41 @@ def append_checks(spark, d):
     return table(spark, d, "orders").where(size.isNotNull()).select("o_orderkey", append.may_append(old, new).alias("may"), said.alias("drifted"))
 
 
+@query(
+    """WITH f AS (SELECT '/' || lang || '/' || source AS path, doc_id || '.tar' AS name, doc_id * 1024 AS offsetheader, doc_id * 1024 + 512 AS o, doc_id % 4 = 0 AS nested, doc_id % 8 = 0 AS moved FROM documents)
+    SELECT path, name, offsetheader::BIGINT AS offsetheader, o::BIGINT AS "offset", 33188 AS mode, nested AS istar, FALSE AS isgenerated, 0 AS recursiondepth FROM f
+    UNION ALL SELECT CASE WHEN moved THEN '/mnt' || path ELSE path END, CASE WHEN moved THEN replace(name, '.tar', '') ELSE name END, (offsetheader + (NOT moved)::INT)::BIGINT, (o + (NOT moved)::INT)::BIGINT, 16877, TRUE, TRUE, 1 FROM f WHERE nested"""
+)
+def nested_rows(spark, d):
+    """Nested archives: marked in their own row, and a folder at their mount point (every second without its suffix, under /mnt)."""
+    k = F.col("doc_id")
+    files = table(spark, d, "documents").select(
+        F.concat(F.lit("/"), "lang", F.lit("/"), "source").alias("path"), F.concat(k.cast("string"), F.lit(".tar")).alias("name"), (k * 1024).alias("offsetheader"), (k * 1024 + 512).alias("offset"),
+        F.lit(0o100644).alias("mode"), F.lit(False).alias("istar"), F.lit(False).alias("isgenerated"), F.lit(0).alias("recursiondepth"),
+    )
+    full = paths.join("path", "name")
+    moved = compose.mount_points(full, rules=formats.suffix_rules(["/archive/", "/compressed/"]), transform=(r"^/", "/mnt/"))
+    mounts = files.where("offsetheader % 4096 = 0").select("offsetheader", F.when(F.col("offsetheader") % 8192 == 0, moved).otherwise(full).alias("mount"))
+    return compose.nested_folders(files, mounts)
+
+
+@query("SELECT path, name FROM docs WHERE NOT starts_with(path || '/' || name, '/en/src1') AND NOT starts_with(path || '/' || name, '/fr/')", "docs")
+def outside_prefixes(spark, d):
+    return compose.outside(docs_catalog(spark, d), ["/en/src1", "/fr/"]).select("path", "name")
+
+
+@query(
+    """SELECT (doc_id // 500) || k AS archive, f AS formats, f <> '' AS readable, CASE WHEN k = '.none' THEN 'unknown format' END AS problem FROM (SELECT DISTINCT doc_id // 500 * 500 AS doc_id FROM documents),
+    (VALUES ('.tar', 'tar'), ('.none', ''), ('.zip', 'zip')) t(k, f)"""
+)
+def checked_inputs(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", _plain_name().alias("name"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    by = F.floor(F.col("doc_id") / 500)
+    packed = writers.pack(docs, by, "tar").unionByName(writers.pack(docs, by, "zip"))
+    plain = docs.select(by.cast("string").alias("g")).distinct().select(F.concat("g", F.lit(".none")).alias("archive"), F.lit("nothing known").cast("binary").alias("data"))
+    return archives.checked(packed.unionByName(plain)).withColumn("formats", F.array_join("formats", ","))
+
+
 # --- scalars --------------------------------------------------------------------------------
 
 

@@ -101,12 +101,12 @@ def is_archive(name: Column) -> Column:
     return F.size(F.array_union(formats.by_extension(name, "archive"), formats.by_extension(name, "compressed"))) > 0
 
 
-def recursive(archives: DataFrame, *, max_depth: int | None = None, strip: bool = False, content: bool = False, **options) -> DataFrame:
+def recursive(archives: DataFrame, *, max_depth: int | None = None, strip: bool = False, mount_transform: tuple[str, str] | None = None, content: bool = False, **options) -> DataFrame:
     """Members of archives and of the archives in them, down to max_depth if it is given; nested ones are folders.
 
     A nested archive that can't be read keeps its row, and has one more with `error` at its place.
 
-    strip: mount a nested archive without its suffix.
+    strip: mount a nested archive without its suffix.  mount_transform: (pattern, replacement) on its mount point.
     """
     rules = formats.suffix_rules(["/archive/", "/compressed/"])
     top = members_of(archives, content=True, **options)
@@ -117,7 +117,21 @@ def recursive(archives: DataFrame, *, max_depth: int | None = None, strip: bool
         return inner.withColumn("mount", F.substring_index("archive", "\0", -1)).withColumn("archive", F.substring_index("archive", "\0", 1))
 
     def mount(full: Column) -> Column:
-        return formats.strip_suffix(full, rules) if strip else full
+        return compose.mount_points(full, rules=rules if strip else None, transform=mount_transform)
 
     out = compose.automount(top, expand, is_archive=is_archive(F.col("name")) & F.col("content").isNotNull(), mount_point=mount, max_depth=max_depth)
     return out if content else out.drop("content")
+
+
+def checked(archives: DataFrame) -> DataFrame:
+    """archives: archive, data.  archive, formats (by content, else by name), readable, and why not: what an input check tells."""
+    by_content = formats.detect(F.col("data"))
+    found = F.when(F.size(by_content) > 0, by_content).otherwise(formats.by_extension(F.col("archive")))
+    able = F.size(F.array_intersect("formats", F.array(*map(F.lit, READABLE)))) > 0
+    why = F.when(F.octet_length("data") == 0, "empty").when(F.size("formats") == 0, "unknown format").when(~able, F.concat(F.lit("no parser of "), F.array_join("formats", ", ")))
+    rows = archives.select("archive", found.alias("formats"), F.col("data"))
+    return rows.withColumn("readable", able & (F.octet_length("data") > 0)).withColumn("problem", why).drop("data")
+
+
+#: Names of functions.formats that parsers read.
+READABLE = tuple(parsers.PARSERS) + ("gzip", "bzip2", "xz", "zstandard", "zlib", "deflate", "lz4", "lzip", "lzma", "compress", "uu", "rpm")

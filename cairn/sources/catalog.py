@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +22,31 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return df.select(*(F.col(f.name).cast(f.dataType) if f.name in df.columns else F.lit(DEFAULTS.get(f.name)).cast(f.dataType).alias(f.name) for f in FILES))
 
 
+class WrongBackend(ValueError):
+    """A catalog that another backend wrote is not opened, and not written anew either."""
+
+
+def check_backend(metadata: DataFrame, backend: str) -> None:
+    """metadata: key, value.  Raises WrongBackend if they name another backend; catalogs of old may name none."""
+    other = metadata.where((F.col("key") == "backendName") & (F.col("value") != backend)).select("value").first()
+    if other:
+        raise WrongBackend(f"the catalog is of {other[0]}, not of {backend}")
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a catalog can be read from a path: a folder of Parquet with the columns of a key."""
+    try:
+        return {"path", "name"} <= set(spark.read.parquet(path).columns)
+    except AnalysisException:
+        return False
+
+
+def drop(spark: SparkSession, path: str) -> bool:
+    """Delete a catalog; whether there was one."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def attach(catalogs: dict[str, DataFrame]) -> DataFrame:
     """All rows of several catalogs, with their name in src."""
     out = None

@@ -152,3 +152,21 @@ def test_append_of_the_tail(spark):
     assert sorted(map(str, rows.collect())) == sorted(map(str, full.collect()))
     small, _ = append.refresh(old, now)
     assert sorted(map(str, small.collect())) == sorted(map(str, full.collect()))
+
+
+def test_catalog_life(spark, tmp_path):
+    files = archives.files_of(archives.members_of(spark.createDataFrame([("a.tar", tar({"x": b"1"}))], "archive string, data binary"))).drop("archive")
+    at = str(tmp_path / "c")
+    assert not catalog.exists(spark, at)
+    catalog.write(files, at)
+    assert catalog.exists(spark, at) and catalog.drop(spark, at) and not catalog.exists(spark, at)
+    meta = spark.createDataFrame([("backendName", "tar")], "key string, value string")
+    catalog.check_backend(meta, "tar"), catalog.check_backend(meta.limit(0), "zip")
+    with pytest.raises(catalog.WrongBackend):
+        catalog.check_backend(meta, "zip")
+
+
+def test_mount_transform(spark):
+    rows = spark.createDataFrame([("a.tar", tar({"d/in.tar": tar({"f": b"1"})}))], "archive string, data binary")
+    got = archives.recursive(rows, strip=True, mount_transform=("^/d/", "/moved/")).collect()
+    assert ("/moved/in", "f") in {(r["path"], r["name"]) for r in got}
