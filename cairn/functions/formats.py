@@ -91,13 +91,12 @@ def _number(content: Column, at: int, n: int) -> Column:
 
 
 def is_tar(content: Column) -> Column:
-    """A first header block whose check sum holds, or the ustar mark."""
-    block = F.substring(content, 1, 512)
+    """A first header block with the ustar mark, or whose check sum holds; bytes are summed only where there is a sum to compare with."""
     mark = F.substring(content, 258, 5) == F.lit(bytearray(b"ustar"))
-    said = F.conv(F.regexp_extract(F.decode(F.substring(content, 149, 8), "ISO-8859-1"), r"\A[ \x00]*([0-7]+)", 1), 8, 10).cast("long")
-    text = F.hex(block)
+    field = F.regexp_extract(F.decode(F.substring(content, 149, 8), "ISO-8859-1"), r"\A[ \x00]*([0-7]+)", 1)
+    text = F.hex(F.substring(content, 1, 512))
     total = F.aggregate(F.sequence(F.lit(0), F.lit(511)), F.lit(0).cast("long"), lambda a, i: a + F.when((i >= 148) & (i < 156), 32).otherwise(F.conv(F.substring(text, i * 2 + 1, F.lit(2)), 16, 10).cast("long")))
-    return (F.octet_length(content) >= 512) & (mark | (said == total))
+    return F.when(F.octet_length(content) < 512, False).when(mark, True).when(field == "", False).otherwise(F.conv(field, 8, 10).cast("long") == total)
 
 
 def is_html(content: Column) -> Column:

@@ -109,17 +109,23 @@ def recursive(archives: DataFrame, *, max_depth: int | None = None, strip: bool
     strip: mount a nested archive without its suffix.  mount_transform: (pattern, replacement) on its mount point.
     """
     rules = formats.suffix_rules(["/archive/", "/compressed/"])
-    top = members_of(archives, content=True, **options)
+    nested = is_archive(F.col("name"))
+
+    def slim(rows: DataFrame) -> DataFrame:
+        """Contents that no further round needs don't travel."""
+        return rows if content else rows.withColumn("content", F.when(nested, F.col("content")))
+
+    top = slim(members_of(archives, content=True, **options))
 
     def expand(found: DataFrame) -> DataFrame:
         keyed = found.select(F.concat("archive", F.lit("\0"), "mount").alias("archive"), F.col("content").alias("data"))
-        inner = members_of(keyed, content=True, **options)
+        inner = slim(members_of(keyed, content=True, **options))
         return inner.withColumn("mount", F.substring_index("archive", "\0", -1)).withColumn("archive", F.substring_index("archive", "\0", 1))
 
     def mount(full: Column) -> Column:
         return compose.mount_points(full, rules=rules if strip else None, transform=mount_transform)
 
-    out = compose.automount(top, expand, is_archive=is_archive(F.col("name")) & F.col("content").isNotNull(), mount_point=mount, max_depth=max_depth)
+    out = compose.automount(top, expand, is_archive=nested & F.col("content").isNotNull(), mount_point=mount, max_depth=max_depth)
     return out if content else out.drop("content")
 
 

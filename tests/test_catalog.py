@@ -122,3 +122,19 @@ def test_parts_and_chunks(spark):
     assert rows(intervals.joined_parts(df, ["base"], "n")) == [("a", b"abcd"), ("b", b"x")]
     got = df.where("base = 'b'").select(intervals.chunks(F.lit(b"abcde"), 2).alias("c")).first()["c"]
     assert [bytes(x["data"]) for x in got] == [b"ab", b"cd", b"e"]
+
+
+def test_digests_beside_hashlib(spark):
+    import hashlib
+    import zlib
+
+    from cairn.plans import queries
+
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in queries.queries()["other_hashes"](spark, sf).collect():
+        x = texts[r.offsetheader]
+        numbers = sum(int.from_bytes(p[k : k + 8], "little") for p in (x[:65536], x[-65536:]) for k in range(0, len(p) - 7, 8))
+        want = {"crc32": f"{zlib.crc32(x):08x}", "smplayer": f"{(len(x) + numbers) % 2**64:016x}"}
+        want |= {n: hashlib.new(n.replace("-", "_"), x).hexdigest() for n in ("sha224", "sha384", "sha512", "sha3-256", "blake2b")}
+        assert all(r[n] == v for n, v in want.items())
