@@ -35,6 +35,8 @@ BUCKET_BYTES = 24 << 20
 HOT_SHARE = 2000
 #: Tokens that a task sums up before it sends them on.
 FLUSH_TOKENS = 1 << 21
+#: Text bytes that are scored together: what they share is looked up once.
+SCORED_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -76,13 +78,14 @@ def gram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix((context ^ (word >> np.uint64(17))) * _ODD + word)
 
 
-def _runs(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-    """Distinct rows in order of (first, last column), with summed counts."""
-    key = gram_key(columns[0], columns[-1])
-    order = np.lexsort((key, columns[0])) if len(columns) > 1 else np.argsort(columns[0])
-    columns, counts, key = [c[order] for c in columns], counts[order], key[order]
-    at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (columns[0][1:] != columns[0][:-1])])) if len(key) else np.zeros(0, np.int64)
-    return [c[at] for c in columns], np.add.reduceat(counts, at) if len(at) else counts
+def _runs(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct n-grams in order of their key, their summed counts, and the keys."""
+    key = gram_key(columns[0], columns[-1]) if len(columns) > 1 else columns[0]
+    order = np.argsort(key)
+    key = key[order]
+    at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    first = order[at]
+    return [c[first] for c in columns], np.add.reduceat(counts[order], at) if len(at) else counts, key[at]
 
 
 def _bucket(context: np.ndarray, word: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
@@ -130,7 +133,7 @@ def _count(order: int, hot: np.ndarray, n_buckets: int):
 
         def flush() -> Iterator[pa.RecordBatch]:
             columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            columns, counts = _runs(columns, np.ones(len(columns[0]), np.int64))
+            columns, counts, _ = _runs(columns, np.ones(len(columns[0]), np.int64))
             where = _bucket(columns[0], columns[-1], hot, n_buckets) if order > 1 else (mix(columns[0]) % np.uint64(n_buckets)).astype(np.int64)
             yield _pack_batch(list(_packed(columns, counts, where)))
             held.clear()
@@ -207,20 +210,19 @@ def _reduce(width: int, path: str, hot: np.ndarray, next_hot: np.ndarray, n_buck
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         columns, counts = _unpacked(table["n"].to_pylist(), table["data"].to_pylist(), width)
-        columns, counts = _runs(columns, counts)
+        columns, counts, key = _runs(columns, counts)
         rows: list[tuple] = [("stat", bucket, len(counts), None, *_stats_of(counts))]
-        key = gram_key(columns[0], columns[-1])
-        order = np.argsort(key)
-        write_bytes(f"{path}/grams-{width}-{bucket}.key", key[order])
-        write_bytes(f"{path}/grams-{width}-{bucket}.count", narrow(counts[order]))
-        context, stats = _group_stats(columns[0], counts)
+        write_bytes(f"{path}/grams-{width}-{bucket}.key", key)
+        write_bytes(f"{path}/grams-{width}-{bucket}.count", narrow(counts))
+        order = np.argsort(columns[0])
+        context, stats = _group_stats(columns[0][order], counts[order])
         if len(hot):
             is_hot = hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context
             rows += [("hot", bucket, int(c.view(np.int64)), None, *map(int, s)) for c, s in zip(context[is_hot], stats[is_hot], strict=True)]
             context, stats = context[~is_hot], stats[~is_hot]
         write_bytes(f"{path}/contexts-{width}-{bucket}.key", context)
         write_bytes(f"{path}/contexts-{width}-{bucket}.stats", narrow(stats.ravel()))
-        rest, left = _runs(columns[1:], np.ones(len(counts), np.int64))
+        rest, left, _ = _runs(columns[1:], np.ones(len(counts), np.int64))
         where = _bucket(rest[0], rest[-1], next_hot, n_buckets) if width > 2 else (mix(rest[0]) % np.uint64(n_buckets)).astype(np.int64)
         rows += [("next", b, n, d, 0, 0, 0, 0) for b, n, d in _packed(rest, left, where)]
         return pa.table([pa.array(c) if i != 3 else pa.array(c, pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=_NAMES).cast(pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), *((f"s{k}", pa.int64()) for k in (1, 2, 3, 4))]))
@@ -234,7 +236,7 @@ def _reduce_words(path: str):
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         (words,), counts = _unpacked(table["n"].to_pylist(), table["data"].to_pylist(), 1)
-        (words,), counts = _runs([words], counts)
+        (words,), counts, _ = _runs([words], counts)
         write_bytes(f"{path}/words-{bucket}.key", words)
         write_bytes(f"{path}/words-{bucket}.count", narrow(counts))
         total = int(counts.sum())
@@ -251,7 +253,7 @@ def _reduce_last(path: str):
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         (words,), counts = _unpacked(table["n"].to_pylist(), table["data"].to_pylist(), 1)
-        (words,), counts = _runs([words], counts)
+        (words,), counts, _ = _runs([words], counts)
         write_bytes(f"{path}/left-{bucket}.key", words)
         write_bytes(f"{path}/left-{bucket}.count", narrow(counts))
         s = _stats_of(counts)
@@ -311,7 +313,7 @@ def _fit(docs: DataFrame, order: int, bucket_bytes: int) -> Model:
 
 
 def _look_up(path: str, name: str, value: str, wanted: np.ndarray, bucket: np.ndarray, n_buckets: int, width: int = 1) -> np.ndarray:
-    """Values of sorted wanted keys (order: bucket, key); 0 where there is none.  A bucket without a file is an error."""
+    """Values of wanted keys in order of their bucket; 0 where there is none.  A bucket without a file is an error."""
     out = np.zeros((len(wanted), width) if width > 1 else len(wanted), np.float64)
     edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
     for b in range(n_buckets):
@@ -330,14 +332,18 @@ def _look_up(path: str, name: str, value: str, wanted: np.ndarray, bucket: np.nd
     return out
 
 
-def _distinct(key: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys in order of (bucket, key): their indices, and the place of each input among them."""
-    order = np.lexsort((key, bucket))
-    k = key[order]
-    new = np.concatenate([[True], (k[1:] != k[:-1]) | (bucket[order][1:] != bucket[order][:-1])]) if len(k) else np.zeros(0, bool)
+def _distinct(key: np.ndarray, bucket: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order of their bucket: their indices, and the place of each input among them.
+
+    Keys are put in order by the bucket and their upper bits in one number; equal ones that this parts are looked up twice.
+    """
+    bits = np.uint64(int(n_buckets).bit_length())
+    order = np.argsort((bucket.astype(np.uint64) << (np.uint64(64) - bits)) | (key >> bits))
+    k, b = key[order], bucket[order]
+    new = np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])]) if len(k) else np.zeros(0, bool)
     place = np.empty(len(k), np.int64)
     place[order] = np.cumsum(new) - 1
-    return order[new], place, new
+    return order[new], place
 
 
 def _discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
@@ -346,9 +352,9 @@ def _discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
 
 def log_probabilities(model: Model, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log10 probability, training count) of each token in its context."""
-    first, place, _ = _distinct(codes, (mix(codes) % np.uint64(model.n_buckets)).astype(np.int64))
-    words = codes[first]
-    bucket = (mix(words) % np.uint64(model.n_buckets)).astype(np.int64)
+    bucket = (mix(codes) % np.uint64(model.n_buckets)).astype(np.int64)
+    first, place = _distinct(codes, bucket, model.n_buckets)
+    words, bucket = codes[first], bucket[first]
     count = _look_up(model.path, "words", "count", words, bucket, model.n_buckets)
     left = _look_up(model.path, "left", "count", words, bucket, model.n_buckets)
     total, n1, n2, n3 = model.unigram
@@ -358,14 +364,14 @@ def log_probabilities(model: Model, codes: np.ndarray, bounds: np.ndarray) -> tu
         p = (left - _discount(left, d)) / total + free / (model.n_types + 1)
     else:
         p = np.full(len(words), 1.0)
-    p = p[place]
+    p, known = p[place], count[place]
     for width, context in reversed(list(zip(range(model.order, 1, -1), contexts(codes, bounds, model.order), strict=True))):
         level = model.levels[width]
         key, where = gram_key(context, codes), _bucket(context, codes, level.hot if width == 2 else np.zeros(0, np.uint64), model.n_buckets)
-        first, place, _ = _distinct(key, where)
+        first, place = _distinct(key, where, model.n_buckets)
         c = _look_up(model.path, f"grams-{width}", "count", key[first], where[first], model.n_buckets)[place]
         own = _bucket(context, context, np.zeros(0, np.uint64), model.n_buckets)
-        first, place, _ = _distinct(context, own)
+        first, place = _distinct(context, own, model.n_buckets)
         ctx = context[first]
         stats = _look_up(model.path, f"contexts-{width}", "stats", ctx, own[first], model.n_buckets, 4)
         if len(level.hot):
@@ -377,12 +383,7 @@ def log_probabilities(model: Model, codes: np.ndarray, bounds: np.ndarray) -> tu
         seen, free = stats[place, 0], free[place]
         with np.errstate(divide="ignore", invalid="ignore"):
             p = np.where(seen > 0, (c - _discount(c, d) + free * p) / np.maximum(seen, 1), p)
-    return np.log10(p), count_of(count, codes, words, bucket, model.n_buckets)
-
-
-def count_of(count: np.ndarray, codes: np.ndarray, words: np.ndarray, bucket: np.ndarray, n_buckets: int) -> np.ndarray:
-    _, place, _ = _distinct(codes, (mix(codes) % np.uint64(n_buckets)).astype(np.int64))
-    return count[place]
+    return np.log10(p), known
 
 
 _SCORED = "n_tokens long, n_known long, base_score double, score double"
@@ -391,7 +392,7 @@ _SCORED = "n_tokens long, n_known long, base_score double, score double"
 def _score(model: Model, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         denominator = np.log10(float(model.n_tokens + model.n_types + 1))
-        for batch in slices(batches):
+        for batch in slices(batches, limit=SCORED_BYTES):
             codes, bounds = tokens(*flat(batch.column("text")))
             logs, counts = log_probabilities(model, codes, bounds)
             at = bounds[:-1]
