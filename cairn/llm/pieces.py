@@ -94,10 +94,39 @@ class Pieces:
                 a, b = self.ids.get(p[:k]), self.ids.get(p[k:])
                 if a is not None and b is not None:
                     pairs[a << 20 | b] = (i, self.rank[p])
-        keys = np.array(sorted(pairs), np.int64)
-        self.pair_keys = np.concatenate([keys, [np.int64(1) << 62]])
-        self.pair_ids = np.array([pairs[int(k)][0] for k in keys] + [0], np.int32)
-        self.pair_ranks = np.array([pairs[int(k)][1] for k in keys] + [int(_NONE)], np.int32)
+        self._table(np.array(sorted(pairs), np.int64), pairs)
+
+    def _table(self, keys: np.ndarray, pairs: dict[int, tuple[int, int]]) -> None:
+        """The pairs by displaced rows: those of left symbol a lie at shift[a] + right symbol, and slot_left says whose a place is."""
+        left, right = (keys >> 20).astype(np.int32), (keys & ((1 << 20) - 1)).astype(np.int32)
+        size = 1 << max(18, int(4 * len(keys)).bit_length())
+        self.shift = np.zeros(self.size, np.int32)
+        self.slot_left = np.full(size + self.size, -1, np.int32)
+        rng = np.random.default_rng(0)
+        names, first, count = np.unique(left, return_index=True, return_counts=True)
+        large = np.argsort(-count, kind="stable")
+        todo = np.zeros(len(keys), bool)
+        for r in large[count[large] > 16]:  # first those that fit hardly anywhere
+            own = right[first[r] : first[r] + count[r]]
+            while True:
+                at = int(rng.integers(size))
+                if (self.slot_left[at + own] < 0).all():
+                    break
+            self.shift[names[r]], self.slot_left[at + own] = at, names[r]
+        todo[np.repeat(count <= 16, count)] = True
+        while todo.any():  # the rest all at once: a row stays if all its places are free and no other row's
+            mine = np.flatnonzero(todo)
+            rows = np.unique(left[mine])
+            self.shift[rows] = rng.integers(size, size=len(rows))
+            at = self.shift[left[mine]] + right[mine]
+            _, place, hits = np.unique(at, return_inverse=True, return_counts=True)
+            bad = np.unique(left[mine[(self.slot_left[at] >= 0) | (hits[place] > 1)]])
+            good = ~np.isin(left[mine], bad)
+            self.slot_left[at[good]] = left[mine[good]]
+            todo[mine[good]] = False
+        at = self.shift[left] + right
+        self.slot_id, self.slot_rank = np.zeros(len(self.slot_left), np.int32), np.zeros(len(self.slot_left), np.int32)
+        self.slot_id[at], self.slot_rank[at] = ([pairs[int(k)][j] for k in keys] for j in (0, 1))
 
     # --- one word ---------------------------------------------------------------------------
 
@@ -138,68 +167,64 @@ class Pieces:
 
     def _pairs(self, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(piece, rank) of each pair of symbols; rank _NONE if it doesn't merge."""
-        key = (a.astype(np.int64) << 20) | b
-        at = np.searchsorted(self.pair_keys, key)
-        found = self.pair_keys[at] == key
-        return self.pair_ids[at], np.where(found, self.pair_ranks[at], _NONE)
+        at = self.shift[a] + b
+        found = self.slot_left[at] == a
+        return self.slot_id[at], np.where(found, self.slot_rank[at], _NONE)
 
     def _equal_length(self, symbols: np.ndarray, h: np.ndarray, threshold: int, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """Symbols (words, n) of words of n characters.  (symbols, number of them) after all merges; trace gets (words, merges)."""
+        """Symbols (words, n) of words of n characters, n > 1.  (all symbols after all merges, word by word; number of them in each); trace gets (words, merges).
+
+        A symbol lies at the place of its first character, and places are linked, so a merge touches a few
+        numbers of a word; the pair that starts at a place has its rank there.
+        """
         words, n = symbols.shape
-        out, sizes = symbols.copy(), np.full(words, n)
+        out, left_out = symbols.copy(), np.ones((words, n), bool)
         who = np.arange(words)
-        start = np.broadcast_to(np.arange(n + 1), (words, n + 1)).copy()
-        piece, rank = (x.reshape(words, n - 1) for x in self._pairs(symbols[:, :-1].ravel(), symbols[:, 1:].ravel()))
-        piece, rank, symbols = piece.copy(), rank.copy(), symbols.copy()
-        while len(who):
+        sym = symbols.astype(np.int32)
+        piece, rank = np.zeros((words, n), np.int32), np.full((words, n), _NONE)
+        piece[:, :-1], rank[:, :-1] = (x.reshape(words, n - 1) for x in self._pairs(sym[:, :-1].ravel(), sym[:, 1:].ravel()))
+        after = np.broadcast_to(np.arange(1, n + 1), (words, n)).copy()
+        before = np.broadcast_to(np.arange(-1, n - 1), (words, n)).copy()
+        there = np.ones((words, n), bool)
+        while True:
             k = rank.argmin(axis=1)
-            row = np.arange(len(who))
-            best = rank[row, k]
-            over = best == _NONE
-            if over.any():
-                done = who[over]
-                width = symbols.shape[1]
-                out[done, :width] = symbols[over]
-                sizes[done] = (start[over, 1:] > start[over, :-1]).sum(axis=1)
-                on = ~over
-                who, symbols, start, piece, rank, k = who[on], symbols[on], start[on], piece[on], rank[on], k[on]
-                row = np.arange(len(who))
-                if not len(who):
+            base = np.arange(0, len(who) * n, n)
+            at = base + k
+            live = np.flatnonzero(rank.ravel()[at] != _NONE)
+            if 4 * len(live) < 3 * len(who):  # words that are done leave when they are many
+                done = np.ones(len(who), bool)
+                done[live] = False
+                out[who[done]], left_out[who[done]] = sym[done], there[done]
+                if not len(live):
                     break
+                who, sym, piece, rank, after, before, there = (x[live] for x in (who, sym, piece, rank, after, before, there))
+                k, base, live = k[live], np.arange(0, len(live) * n, n), np.arange(len(live))
+                at = base + k
+            else:
+                k, base, at = k[live], base[live], at[live]
+            b = after.ravel()[at]
+            c = after.ravel()[base + b]
             if threshold or trace is not None:
-                u = [start[row, k + d].astype(np.uint64) for d in (0, 1, 2)]
-                merge = u[0] * np.uint64(_A) + u[1] * np.uint64(_B) + u[2] * np.uint64(_C)
+                merge = k.astype(np.uint64) * np.uint64(_A) + b.astype(np.uint64) * np.uint64(_B) + c.astype(np.uint64) * np.uint64(_C)
             if trace is not None:
-                trace.append((who, merge))
+                trace.append((who[live], merge))
             if threshold:
-                skip = mix(h[who] ^ merge) < np.uint64(threshold)
-                rank[row[skip], k[skip]] = _NONE
-                row, k = row[~skip], k[~skip]
-            if not len(row):
-                continue
-            width = symbols.shape[1]
-            symbols[row, k] = piece[row, k]
-            # drop symbol k + 1 and pair k: what lies right of them moves left; the last place is empty
-            to = np.arange(width)[None, :]
-            take = np.minimum(to + (to > k[:, None]), width - 1)
-            symbols[row] = np.take_along_axis(symbols[row], take, 1)
-            to = np.arange(width + 1)[None, :]
-            start[row] = np.take_along_axis(start[row], np.minimum(to + (to > k[:, None]), width), 1)
-            if width > 2:
-                to = np.arange(width - 1)[None, :]
-                move = np.minimum(to + (to >= k[:, None]), width - 2)
-                p, r = np.take_along_axis(piece[row], move, 1), np.take_along_axis(rank[row], move, 1)
-                r[:, -1] = _NONE
-                piece[row], rank[row] = p, r
-            else:
-                rank[row, 0] = _NONE
-            for beside in (k - 1, k):
-                ok = (beside >= 0) & (beside < width - 1)
-                rr, kk = row[ok], beside[ok]
-                real = start[rr, np.minimum(kk + 2, width)] > start[rr, kk + 1]
-                rr, kk = rr[real], kk[real]
-                piece[rr, kk], rank[rr, kk] = self._pairs(symbols[rr, kk], symbols[rr, kk + 1])
-        return out, sizes
+                skip = mix(h[who[live]] ^ merge) < np.uint64(threshold)
+                rank.ravel()[at[skip]] = _NONE
+                on = ~skip
+                k, base, at, b, c = k[on], base[on], at[on], b[on], c[on]
+            sym.ravel()[at] = piece.ravel()[at]
+            there.ravel()[base + b] = False
+            rank.ravel()[base + b] = _NONE
+            rank.ravel()[at] = _NONE
+            after.ravel()[at] = c
+            right = np.flatnonzero(c < n)
+            before.ravel()[(base + c)[right]] = k[right]
+            left = np.flatnonzero(k > 0)
+            ahead = (base + before.ravel()[at])[left]
+            where = np.concatenate([at[right], ahead])
+            piece.ravel()[where], rank.ravel()[where] = self._pairs(sym.ravel()[where], sym.ravel()[np.concatenate([(base + c)[right], at[left]])])
+        return out[left_out], left_out.sum(axis=1)
 
     def segment_all(self, b: np.ndarray, starts: np.ndarray, ends: np.ndarray, h: np.ndarray, threshold: int, trace: list | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, bounds) of the words b[start:end], which are UTF-8; trace (without dropout only) gets (words, merges)."""
@@ -227,7 +252,7 @@ class Pieces:
                 got, sizes = self._equal_length(got, h[which], threshold, own_trace)
                 if trace is not None:
                     trace += [(which[w], merge) for w, merge in own_trace]
-            values.append(got[np.arange(n)[None, :] < sizes[:, None]])
+            values.append(got.ravel())
             owner.append(which)
             counts[which] = sizes
         for w in np.flatnonzero(slow):
