@@ -8,7 +8,8 @@ stretches of a shard's documents are streamed through its automata, which finds
 by the words themselves; what an earlier document has is removed.
 
 Shards are by document, sized by text, and an automaton has AUTOMATON windows at most, so memory is
-bounded; a phrase that very many documents share costs one row in each shard.
+bounded; a phrase that very many documents share is made once and then costs one row in each shard
+that needs it, where it is joined with the set of these shards.
 
 Words are runs of `[^\\x20\\x09-\\x0D]+`, unchanged.  Defined results: a null, empty or blank text has no
 words and keeps none (the hash is that of the empty string); copies count by doc_id, and rows that
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .anchors import Kind, candidates, copies, live_runs, merge_runs, prepared, with_spans
-from .common import PLAIN_WORD, cut, flat, gram_hashes, keep, mix, null_key, release, scratch, slices, span_hashes, starts_inside, word_spans
+from .common import PLAIN_WORD, cut, flat, gram_hashes, keep, null_key, release, scratch, slices, span_hashes, starts_inside, word_spans
 
 WINDOW, GRAM = 13, 5
 #: Text bytes of the documents of one shard, and windows in one automaton.
@@ -79,10 +80,9 @@ def _hashed(n: int):
 
 
 def _phrases(n: int):
-    """Cogroup of a shard's stretches and the confirmed windows first found in it, a row for each shard
-    they are needed in: phrases for these shards.
+    """Cogroup of a shard's stretches and the confirmed windows first found in it: their phrases, once each.
 
-    A phrase is a run of confirmed windows that go to the same shards.
+    A phrase is a run of confirmed windows that the same shards need.
     """
 
     def run(stretches: pa.Table, confirmed: pa.Table) -> pa.Table:
@@ -91,26 +91,20 @@ def _phrases(n: int):
             stretches = stretches.combine_chunks()
             h, run_, (b, starts, ends, _, _, at) = _windows(stretches["words"], n)
             own = stretches["_k"].to_numpy()[run_]
-            w, to = confirmed["w"].to_numpy().view(np.uint64), confirmed["to"].to_numpy().astype(np.int64)
-            order = np.lexsort((to, w))
-            w, to, first = w[order], to[order], confirmed["lo"].to_numpy()[order]
-            head = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-            tail = np.append(head[1:], len(w))
-            same = np.add.reduceat(mix(to.astype(np.uint64) + np.uint64(1)), head)  # equal for equal sets of shards
-            w, first = w[head], first[head]
+            order = np.argsort(confirmed["w"].to_numpy().view(np.uint64))
+            w, first, same = confirmed["w"].to_numpy().view(np.uint64)[order], confirmed["lo"].to_numpy()[order], confirmed["same"].to_numpy()[order]
             place = np.minimum(np.searchsorted(w, h), len(w) - 1)
             ok = np.flatnonzero((w[place] == h) & (first[place] == own))
             place = place[ok]
             _, once = np.unique(place, return_index=True)  # a window that the document has twice is sent once
             once.sort()
             ok, place = ok[once], place[once]
-            cut_ = np.flatnonzero((np.diff(ok) != 1) | (np.diff(run_[ok]) != 0) | (same[place][1:] != same[place][:-1])) + 1
+            cut_ = np.flatnonzero((np.diff(ok) != 1) | (np.diff(run_[ok]) != 0) | (np.diff(same[place]) != 0)) + 1
             for i, j in zip(np.concatenate([[0], cut_]).tolist(), [*cut_.tolist(), len(ok)], strict=True):
                 if i < j:
                     text = b[starts[at[ok[i]]] : ends[at[ok[j - 1]] + n - 1]].tobytes()
-                    k, p = int(own[ok[i]]), place[i]
-                    out += [(s, k, text) for s in to[head[p] : tail[p]].tolist()]
-        return pa.table([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["shard", "first", "phrase"])
+                    out.append((int(same[place[i]]), int(own[ok[i]]), text))
+        return pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.binary())], names=["same", "first", "phrase"])
 
     return run
 
@@ -208,10 +202,14 @@ def spans(docs: DataFrame, *, window: int = WINDOW, shard_bytes: int = SHARD_BYT
     release(docs.sparkSession)
     # (window, first document, shard of a later one that has it): a hot window is one row in each shard, made one where it is joined
     routes = hashed.select("w", "_k", shard).join(confirmed, "w").where("_k <> lo").select("w", "lo", F.col("shard").alias("to")).distinct()
-    routes = routes.select(F.pmod(F.xxhash64("lo"), F.lit(n_shards)).cast("int").alias("shard"), "w", "lo", "to")
+    routes = cut(routes)
+    # what is told of a window to the shard of its first document is one row, however many shards need it: a hash of their set
+    told = routes.groupBy("w").agg(F.first("lo").alias("lo"), F.bit_xor(F.xxhash64("to")).alias("same"))
+    sets = routes.join(told.select("w", "same"), "w").select("same", "to").distinct()
+    told = told.select(F.pmod(F.xxhash64("lo"), F.lit(n_shards)).cast("int").alias("shard"), "w", "lo", "same")
     stretches = live.select(shard, "_k", "_h", "at", "words")
-    phrases = stretches.groupBy("shard").cogroup(routes.groupBy("shard")).applyInArrow(_phrases(window), "shard int, first long, phrase binary")
-    phrases = cut(phrases)
+    phrases = cut(stretches.groupBy("shard").cogroup(told.groupBy("shard")).applyInArrow(_phrases(window), "same long, first long, phrase binary"))
+    phrases = phrases.join(sets, "same").select(F.col("to").alias("shard"), "first", "phrase")
     release(docs.sparkSession)
     found = stretches.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_locate(window), "_k long, _h long, lo long, hi long")
     return found.union(whole)
