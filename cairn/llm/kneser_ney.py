@@ -1,15 +1,20 @@
 """Interpolated modified Kneser-Ney n-gram language model.
 
-Counting is a shuffle of packed, locally summed n-grams.  Each bucket writes its n-grams and its
-contexts as sorted arrays of 64-bit hashes beside their counts into the shared folder; scorers
-memory-map these arrays and look n-grams up by binary search, so that a model may be larger than
-a worker's memory.
-
-A bucket is chosen by the hash of the context; the n-grams of hot contexts (a word that is at
-least 1/HOT_SHARE of all tokens; there are at most HOT_SHARE of them) are spread over all buckets and
-their statistics merged.  Nothing is pruned or capped: counts are held in 64 bits where 32 don't do.
+Counting is a shuffle of packed, locally summed n-grams.  An n-gram goes to the bucket of the last word
+of its context, where all n-grams of every shorter context meet too, so that one shuffle serves all
+orders.  Each bucket writes its n-grams and contexts as sorted hash arrays beside small counts into the
+shared folder; scorers memory-map these arrays and look n-grams up by binary search, so that a
+model may be larger than a worker's memory.  N-grams are counted in PASSES passes over the texts,
+each for a part of the buckets, so that only a part of them is on the way at a time.
+
+Hot words (at least 1/HOT_SHARE of all tokens; there are at most HOT_SHARE of them) are no buckets' names: an
+n-gram goes by as many words of its context, from the last, as lead to one that is not hot, and by its
+own word if all are hot.  What such parts know of shorter n-grams and contexts is added up in a second,
+smaller shuffle.  Nothing is pruned or capped: counts are held in 64 bits where fewer don't do.
 A missing file of the model is an error, never a count of 0.
 
+Words are held as 48 bits of a hash, n-grams as 51 bits or more (32 beside an index) within their bucket.
+
 Tokens: A-Z is lower-cased, words are `[^\\x20\\x09-\\x0D]+`, and one end token follows each text.  Unknown words
 share one place of the uniform distribution under the unigrams, 1 / (V + 1).  Defined results: a
 null or empty text is the end token alone; a null doc_id counts as training; repeated rows count
@@ -30,8 +35,9 @@ from .common import PLAIN_WORD, cut, flat, mix, release, scratch, shared_dir, sl
 from .files import mapped, write_bytes
 
 ORDER = 3
-#: Text bytes for one bucket of counts.
+#: Text bytes for one bucket of counts, and passes over the texts.
 BUCKET_BYTES = 24 << 20
+PASSES = 3
 HOT_SHARE = 2000
 #: Tokens that a task sums up before it sends them on.
 FLUSH_TOKENS = 1 << 21
@@ -40,129 +46,264 @@ SCORED_BYTES = 4 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-END = np.uint64(0x51ED270B9F1E3A77)
-START = np.uint64(0xC2B2AE3D27D4EB4F)
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_U = np.uint64
+END = _U(0x51ED270B9F1E)
+START = _U(0xC2B2AE3D27D4)
+_ODD = _U(0x9E3779B97F4A7C15)
 
 
 def tokens(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(token hashes, index of each text's first token): the words of each text and its end."""
+    """(token hashes of 48 bits, index of each text's first token): the words of each text and its end."""
     b = _LOWER[b]
     starts, ends, first = word_spans(b, o, PLAIN_WORD)
     n = len(o) - 1
     bounds = first + np.arange(n + 1)
     codes = np.full(len(starts) + n, END, np.uint64)
-    codes[np.arange(len(starts)) + np.repeat(np.arange(n), np.diff(first))] = span_hashes(b, starts, ends)
+    codes[np.arange(len(starts)) + np.repeat(np.arange(n), np.diff(first))] = span_hashes(b, starts, ends) >> _U(16)
     return codes, bounds
 
 
-def _context(previous: list[np.ndarray]) -> np.ndarray:
-    """The hash of a context; previous: its words, nearest last."""
-    h = previous[0]
-    for x in previous[1:]:
-        h = mix(h * _ODD + x)
-    return h
-
-
-def contexts(codes: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
-    """Context hashes of each token, for contexts of order - 1 down to 1 words."""
-    shifted, now = [], codes
+def previous(codes: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
+    """The words before each token, nearest first: order - 1 of them."""
+    out, now = [], codes
     for _ in range(order - 1):
         now = np.concatenate([[START], now[:-1]]) if len(now) else now
         now[bounds[:-1]] = START
-        shifted.append(now)
-    return [_context(shifted[:k][::-1]) for k in range(order - 1, 0, -1)]
+        out.append(now)
+    return out
+
+
+def contexts(before: list[np.ndarray]) -> list[np.ndarray]:
+    """Hashes of contexts of one word, two words and so on; before: nearest first."""
+    out: list[np.ndarray] = []
+    for p in before:
+        out.append(mix(p + _ODD) if not out else mix(out[-1] * _ODD + p))
+    return out
 
 
 def gram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix((context ^ (word >> np.uint64(17))) * _ODD + word)
+    return mix((context ^ (word >> _U(17))) * _ODD + word)
+
+
+def is_among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
+    """Whether each value is among a few; most are told apart by 16 bits."""
+    if not len(some):
+        return np.zeros(len(values), bool)
+    few = np.zeros(1 << 16, bool)
+    few[(some & _U(0xFFFF)).astype(np.int64)] = True
+    out = few[(values & _U(0xFFFF)).astype(np.int64)]
+    may = np.flatnonzero(out)
+    out[may] = some[np.minimum(np.searchsorted(some, values[may]), len(some) - 1)] == values[may]
+    return out
+
+
+def hot_run(before: list[np.ndarray], hot: np.ndarray) -> np.ndarray:
+    """How many words in a row, from the nearest, are hot."""
+    run = np.zeros(len(before[0]), np.int8)
+    on = np.ones(len(run), bool)
+    for p in before:
+        on &= is_among(p, hot)
+        run += on
+        if not on.any():
+            break
+    return run
+
+
+def bucket_of(h: np.ndarray, n: int) -> np.ndarray:
+    """By the lower half of a hash: the upper half puts a bucket's keys in order."""
+    return (((h & _U(0xFFFFFFFF)) * _U(n)) >> _U(32)).astype(np.int64)
+
+
+def home(run: np.ndarray, before_hashes: list[np.ndarray], key: np.ndarray) -> np.ndarray:
+    """The hash whose bucket an n-gram goes to: of its context up to the first word that is not hot, or its own key."""
+    out = before_hashes[0]
+    for r in range(1, len(before_hashes) + 1):
+        rest = np.flatnonzero(run >= r)
+        if not len(rest):
+            break
+        out = out.copy() if r == 1 else out
+        out[rest] = (before_hashes[r] if r < len(before_hashes) else key)[rest]
+    return out
 
 
-def _runs(columns: list[np.ndarray], counts: np.ndarray) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct n-grams in order of their key, their summed counts, and the keys."""
-    key = gram_key(columns[0], columns[-1]) if len(columns) > 1 else columns[0]
+def _merged(key: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of each distinct key's first place, in order of the keys; their summed counts; the keys)."""
     order = np.argsort(key)
     key = key[order]
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-    first = order[at]
-    return [c[first] for c in columns], np.add.reduceat(counts[order], at) if len(at) else counts, key[at]
+    return order[at], np.add.reduceat(counts[order], at) if len(at) else counts[:0], key[at]
 
 
-def _bucket(context: np.ndarray, word: np.ndarray, hot: np.ndarray, n: int) -> np.ndarray:
-    h = mix(context + np.uint64(1))
-    if len(hot):
-        at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-        h = np.where(hot[at] == context, gram_key(context, word), h)
-    return (h % np.uint64(n)).astype(np.int64)
-
+# --- packed rows ----------------------------------------------------------------------------
 
 _PACK = "bucket int, n long, data binary"
 
 
 def _packed(columns: list[np.ndarray], counts: np.ndarray, bucket: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    """(bucket, rows, six bytes of each column's words, then counts of one, four or eight bytes)."""
     if not len(bucket):
         return
-    order = np.argsort(bucket, kind="stable")
-    columns, counts, bucket = [c[order] for c in columns], counts[order], bucket[order]
+    if (bucket[1:] < bucket[:-1]).any():
+        order = np.argsort(bucket, kind="stable")
+        columns, counts, bucket = [c[order] for c in columns], counts[order], bucket[order]
     at = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1])
-    for lo, hi in zip(at, [*at[1:], len(bucket)], strict=True):
-        yield int(bucket[lo]), int(hi - lo), b"".join([*(c[lo:hi].tobytes() for c in columns), counts[lo:hi].astype(np.uint64).astype("<u8" if counts[lo:hi].max() >> 32 else "<u4").tobytes()])
+    small = [np.ascontiguousarray(c.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]) for c in columns]
+    for lo, hi in zip(at.tolist(), [*at[1:].tolist(), len(bucket)], strict=True):
+        top = int(counts[lo:hi].max())
+        kind = "<u1" if top < 256 else "<u4" if top < 1 << 32 else "<u8"
+        yield int(bucket[lo]), hi - lo, b"".join([*(c[lo:hi].tobytes() for c in small), counts[lo:hi].astype(kind).tobytes()])
 
 
 def _pack_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "n", "data"])
 
 
-def _unpacked(ns: list[int], data: list[bytes], width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    columns: list[list[np.ndarray]] = [[] for _ in range(width)]
-    counts = []
+def _unpacked(table: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray]:
+    ns, data = table["n"].to_pylist(), table["data"].to_pylist()
+    columns = [np.zeros((sum(ns), 8), np.uint8) for _ in range(width)]
+    counts = np.zeros(sum(ns), np.int64)
+    at = 0
     for n, d in zip(ns, data, strict=True):
         for k in range(width):
-            columns[k].append(np.frombuffer(d, np.uint64, n, 8 * n * k))
-        rest = len(d) - 8 * n * width
-        counts.append(np.frombuffer(d, "<u4" if rest == 4 * n else "<u8", n, 8 * n * width).astype(np.int64))
-    return [np.concatenate(c) for c in columns], np.concatenate(counts)
+            columns[k][at : at + n, :6] = np.frombuffer(d, np.uint8, 6 * n, 6 * n * k).reshape(n, 6)
+        size = (len(d) - 6 * n * width) // n if n else 1
+        counts[at : at + n] = np.frombuffer(d, f"<u{size}", n, 6 * n * width)
+        at += n
+    return [c.view("<u8").ravel() for c in columns], counts
+
+
+def _count_words(n_buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def flush() -> pa.RecordBatch:
+            words = np.concatenate(held)
+            held.clear()
+            first, counts, _ = _merged(words, np.ones(len(words), np.int64))
+            words = words[first]
+            return _pack_batch(list(_packed([words], counts, bucket_of(mix(words), n_buckets))))
+
+        for batch in slices(batches):
+            held.append(tokens(*flat(batch.column("text")))[0])
+            if sum(map(len, held)) >= FLUSH_TOKENS:
+                yield flush()
+        if held:
+            yield flush()
+
+    return run
 
 
-def _count(order: int, hot: np.ndarray, n_buckets: int):
-    """Packed n-grams of the given order: contexts from the longest to one word, then the word."""
+def _count(order: int, hot: np.ndarray, n_buckets: int, lo: int, hi: int):
+    """Packed n-grams of the buckets from lo to hi: the words of the context, nearest first, then the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
-        size = 0
 
-        def flush() -> Iterator[pa.RecordBatch]:
-            columns = [np.concatenate(c) for c in zip(*held, strict=True)]
-            columns, counts, _ = _runs(columns, np.ones(len(columns[0]), np.int64))
-            where = _bucket(columns[0], columns[-1], hot, n_buckets) if order > 1 else (mix(columns[0]) % np.uint64(n_buckets)).astype(np.int64)
-            yield _pack_batch(list(_packed(columns, counts, where)))
+        def flush() -> pa.RecordBatch:
+            *columns, key, bucket = (np.concatenate(c) for c in zip(*held, strict=True))
             held.clear()
+            bits = _U(int(n_buckets).bit_length())
+            # in order of bucket and key's upper bits; a key that this parts is summed up later
+            order_ = np.argsort((bucket.astype(np.uint64) << (_U(64) - bits)) | (key >> bits))
+            key, bucket = key[order_], bucket[order_]
+            at = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (bucket[1:] != bucket[:-1])]))
+            first = order_[at]
+            return _pack_batch(list(_packed([c[first] for c in columns], np.diff(np.append(at, len(key))), bucket[at])))
 
         for batch in slices(batches):
             codes, bounds = tokens(*flat(batch.column("text")))
-            held.append([*contexts(codes, bounds, order), codes])
-            size += len(codes)
-            if size >= FLUSH_TOKENS:
-                yield from flush()
-                size = 0
-        if held:
-            yield from flush()
+            before = previous(codes, bounds, order)
+            run_ = hot_run(before, hot)
+            first = mix(before[0] + _ODD)
+            # most go by their nearest word, so that the others' hashes are made for few
+            mine = np.flatnonzero((run_ > 0) | ((bucket_of(first, n_buckets) >= lo) & (bucket_of(first, n_buckets) < hi)))
+            before, codes = [p[mine] for p in before], codes[mine]
+            hashes = contexts(before)
+            key = gram_key(hashes[-1], codes)
+            bucket = bucket_of(home(run_[mine], hashes, key), n_buckets)
+            mine = np.flatnonzero((bucket >= lo) & (bucket < hi))
+            held.append([*(p[mine] for p in before), codes[mine], key[mine], bucket[mine]])
+            if sum(len(x[0]) for x in held) >= FLUSH_TOKENS:
+                yield flush()
+        if held and any(len(x[0]) for x in held):
+            yield flush()
 
     return run
 
 
-def _stats_of(counts: np.ndarray) -> list[int]:
-    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
+# --- sorted hash arrays ---------------------------------------------------------------------
 
 
-@dataclass
-class Level:
-    """Statistics of one order: discounts for counts 1, 2 and 3 or more."""
+def write_sorted(path: str, key: np.ndarray, values: np.ndarray) -> None:
+    """Sorted 64-bit keys and their values: an index by the upper bits, 32 bits of each key after these, and
+    a byte of each value; values that a byte doesn't hold are listed apart.
 
-    discounts: tuple[float, float, float]
-    #: sorted hot contexts with total, N1, N2, N3+
-    hot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
-    hot_stats: np.ndarray = field(default_factory=lambda: np.zeros((0, 4)))
+    values: counts, or rows of (total, N1, N2, N3+) of which most are N1 alone.
+    """
+    n = len(key)
+    top = max(0, (n // 4).bit_length() - 1)
+    edges = np.concatenate([np.searchsorted(key, np.arange(1 << top, dtype=np.uint64) << _U(64 - top)) if top else [0], [n]])
+    rest = ((key << _U(top)) >> _U(32)).astype("<u4")
+    if values.ndim == 1:
+        plain = values < 255
+        short = np.where(plain, values, 255).astype(np.uint8)
+    else:
+        plain = (values[:, 1] == values[:, 0]) & (values[:, 0] < 255)
+        short = np.where(plain, values[:, 0], 255).astype(np.uint8)
+    apart = np.flatnonzero(~plain)
+    long = values[apart]
+    size = 8 if long.size and int(long.max()) >> 32 else 4
+    head = np.array([n, top, len(apart), size, values.shape[1] if values.ndim > 1 else 1, 0, 0, 0], "<i8")
+    parts = [head, edges.astype("<u4" if n < 1 << 32 else "<u8"), rest, apart.astype("<u8"), long.astype(f"<u{size}").ravel(), short]
+    write_bytes(path, *(y for x in parts for y in (np.ascontiguousarray(x), bytes(-x.nbytes % 8))))
+
+
+def look_up(path: str, wanted: np.ndarray, width: int) -> np.ndarray:
+    """Values of the wanted keys; 0 where there is none."""
+    data = mapped(path, "u1")
+    n, top, n_apart, size, _ = data[:40].view("<i8").tolist()
+    out = np.zeros((len(wanted), width) if width > 1 else len(wanted), np.int64)
+    if not n:
+        return out
+    at = 64
+
+    def part(count: int, kind: str) -> np.ndarray:
+        nonlocal at
+        begin, size_ = at, count * int(kind[2])
+        at += size_ + -size_ % 8
+        return data[begin : begin + size_].view(kind)
+
+    edges = part((1 << top) + 1, "<u4" if n < 1 << 32 else "<u8")
+    rest, apart = part(n, "<u4"), part(n_apart, "<u8")
+    long, short = part(n_apart * width, f"<u{size}"), part(n, "<u1")
+    slot = (wanted >> _U(64 - top)).astype(np.int64) if top else np.zeros(len(wanted), np.int64)
+    lo, end = edges[slot].astype(np.int64), edges[slot + 1].astype(np.int64)
+    goal = ((wanted << _U(top)) >> _U(32)).astype(np.uint32)
+    hi = end.copy()
+    for _ in range(int((hi - lo).max()).bit_length() if len(lo) else 0):
+        mid = (lo + hi) >> 1
+        less = (rest[np.minimum(mid, n - 1)] < goal) & (mid < hi)
+        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
+    hit = np.flatnonzero((lo < end) & (rest[np.minimum(lo, n - 1)] == goal))
+    place = lo[hit]
+    value = short[place].astype(np.int64)
+    large = np.flatnonzero(value == 255)
+    if width == 1:
+        if len(large):
+            value[large] = long[np.searchsorted(apart, place[large])]
+        out[hit] = value
+    else:
+        out[hit, 0] = out[hit, 1] = value
+        if len(large):
+            out[hit[large]] = long.reshape(-1, width)[np.searchsorted(apart, place[large])]
+    return out
+
+
+# --- counting -------------------------------------------------------------------------------
+
+
+def _stats_of(counts: np.ndarray) -> list[int]:
+    return [int((counts == k).sum()) for k in (1, 2, 3, 4)]
 
 
 @dataclass
@@ -172,9 +313,11 @@ class Model:
     n_buckets: int
     n_tokens: int
     n_types: int
+    hot: np.ndarray
     #: unigram level: total, N1, N2, N3+ of the continuation counts
     unigram: tuple[float, float, float, float]
-    levels: dict[int, Level]
+    #: of each order: discounts for counts 1, 2 and 3 or more
+    discounts: dict[int, tuple[float, float, float]] = field(default_factory=dict)
 
 
 def discounts(n: list[int]) -> tuple[float, float, float]:
@@ -188,6 +331,9 @@ def discounts(n: list[int]) -> tuple[float, float, float]:
 
 
 def _group_stats(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct contexts in order, and their total, N1, N2 and N3+."""
+    order = np.argsort(context)
+    context, counts = context[order], counts[order]
     at = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]])) if len(context) else np.zeros(0, np.int64)
     if not len(at):
         return context, np.zeros((0, 4), np.int64)
@@ -195,194 +341,224 @@ def _group_stats(context: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, n
     return context[at], stats
 
 
-def narrow(values: np.ndarray) -> np.ndarray:
-    """Values as 32-bit numbers, or as 64-bit ones if one of them needs it; a file's size tells which."""
-    return values.astype("<u8" if len(values) and int(values.max()) >> 32 else "<u4")
+#: stat: numbers of counts 1 to 4 of order k; context: s1 to s4 of context n, to be added up; gram, word: packed rows, to be added up.
+_REDUCED = "kind string, k int, bucket int, n long, data binary, s1 long, s2 long, s3 long, s4 long"
+_ARROW = pa.schema([("kind", pa.string()), ("k", pa.int32()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), *((f"s{i}", pa.int64()) for i in (1, 2, 3, 4))])
+
+
+def _table(rows: list[tuple]) -> pa.Table:
+    return pa.table([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+
 
+def _contexts_apart(k: int, context: np.ndarray, stats: np.ndarray, n_buckets: int) -> Iterator[tuple]:
+    for c, b, s in zip(context.view(np.int64).tolist(), bucket_of(context, n_buckets).tolist(), stats.tolist(), strict=True):
+        yield ("context", k, b, c, None, *s)
 
-_REDUCED = "kind string, bucket int, n long, data binary, s1 long, s2 long, s3 long, s4 long"
-_NAMES = ["kind", "bucket", "n", "data", "s1", "s2", "s3", "s4"]
 
+def _words_of(columns: list[np.ndarray], n_buckets: int) -> Iterator[tuple]:
+    """The words of bigrams, counted by the words before them."""
+    words = columns[-1]
+    first, counts, _ = _merged(words, np.ones(len(words), np.int64))
+    words = words[first]
+    for b, n, d in _packed([words], counts, bucket_of(mix(words), n_buckets)):
+        yield ("word", 1, b, n, d, 0, 0, 0, 0)
 
-def _reduce(width: int, path: str, hot: np.ndarray, next_hot: np.ndarray, n_buckets: int):
-    """One bucket of one order: write its arrays, pass on what the next lower order counts."""
+
+def _reduce(order: int, path: str, hot: np.ndarray, n_buckets: int):
+    """One bucket: writes the arrays of all orders, passes on what hot contexts have elsewhere too."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        columns, counts = _unpacked(table["n"].to_pylist(), table["data"].to_pylist(), width)
-        columns, counts, key = _runs(columns, counts)
-        rows: list[tuple] = [("stat", bucket, len(counts), None, *_stats_of(counts))]
-        write_bytes(f"{path}/grams-{width}-{bucket}.key", key)
-        write_bytes(f"{path}/grams-{width}-{bucket}.count", narrow(counts))
-        order = np.argsort(columns[0])
-        context, stats = _group_stats(columns[0][order], counts[order])
-        if len(hot):
-            is_hot = hot[np.minimum(np.searchsorted(hot, context), len(hot) - 1)] == context
-            rows += [("hot", bucket, int(c.view(np.int64)), None, *map(int, s)) for c, s in zip(context[is_hot], stats[is_hot], strict=True)]
-            context, stats = context[~is_hot], stats[~is_hot]
-        write_bytes(f"{path}/contexts-{width}-{bucket}.key", context)
-        write_bytes(f"{path}/contexts-{width}-{bucket}.stats", narrow(stats.ravel()))
-        rest, left, _ = _runs(columns[1:], np.ones(len(counts), np.int64))
-        where = _bucket(rest[0], rest[-1], next_hot, n_buckets) if width > 2 else (mix(rest[0]) % np.uint64(n_buckets)).astype(np.int64)
-        rows += [("next", b, n, d, 0, 0, 0, 0) for b, n, d in _packed(rest, left, where)]
-        return pa.table([pa.array(c) if i != 3 else pa.array(c, pa.binary()) for i, c in enumerate(zip(*rows, strict=True))], names=_NAMES).cast(pa.schema([("kind", pa.string()), ("bucket", pa.int32()), ("n", pa.int64()), ("data", pa.binary()), *((f"s{k}", pa.int64()) for k in (1, 2, 3, 4))]))
+        columns, counts = _unpacked(table, order)
+        hashes = contexts(columns[:-1])
+        rows: list[tuple] = []
+        for k in range(order, 1, -1):
+            before, word, context = columns[: k - 1], columns[-1], hashes[k - 2]
+            first, counts, key = _merged(gram_key(context, word), counts if k == order else np.ones(len(word), np.int64))
+            columns, hashes, context = [*(p[first] for p in before), word[first]], [h[first] for h in hashes[: k - 1]], context[first]
+            apart = hot_run(columns[:-1], hot) == k - 1
+            if k < order and apart.any():  # counted in other buckets too
+                there = [c[apart] for c in columns]
+                for b, n, d in _packed(there, counts[apart], bucket_of(key[apart], n_buckets)):
+                    rows.append(("gram", k, b, n, d, 0, 0, 0, 0))
+                own = ~apart
+                columns, hashes, context, counts, key, apart = [c[own] for c in columns], [h[own] for h in hashes], context[own], counts[own], key[own], apart[own]
+            rows.append(("stat", k, bucket, 0, None, *_stats_of(counts)))
+            write_sorted(f"{path}/grams-{k}-{bucket}", key, counts)
+            write_sorted(f"{path}/contexts-{k}-{bucket}", *_group_stats(context[~apart], counts[~apart]))
+            rows += _contexts_apart(k, *_group_stats(context[apart], counts[apart]), n_buckets)
+        rows += _words_of(columns, n_buckets)
+        return _table(rows)
 
     return run
 
 
-def _reduce_words(path: str):
-    """Training counts of the words of one bucket; passes on words that may be hot."""
+def _add_grams(k: int, path: str, n_buckets: int):
+    """One bucket of n-grams of hot contexts: their counts added up, and what follows for shorter ones."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        (words,), counts = _unpacked(table["n"].to_pylist(), table["data"].to_pylist(), 1)
-        (words,), counts, _ = _runs([words], counts)
-        write_bytes(f"{path}/words-{bucket}.key", words)
-        write_bytes(f"{path}/words-{bucket}.count", narrow(counts))
-        total = int(counts.sum())
-        top = counts * HOT_SHARE >= total
-        keys = np.concatenate([np.zeros(1, np.int64), words[top].view(np.int64)])
-        return pa.table([pa.array(["stat"] + ["hot"] * int(top.sum())), pa.array(keys), pa.array(np.concatenate([[total], counts[top]])), pa.array(np.concatenate([[len(words)], np.zeros(int(top.sum()), np.int64)]))], names=["kind", "word", "count", "types"])
+        columns, counts = _unpacked(table, k)
+        hashes = contexts(columns[:-1])
+        first, counts, key = _merged(gram_key(hashes[-1], columns[-1]), counts)
+        columns = [c[first] for c in columns]
+        write_sorted(f"{path}/grams-{k}-{n_buckets + bucket}", key, counts)
+        rows: list[tuple] = [("stat", k, bucket, 0, None, *_stats_of(counts))]
+        rows += _contexts_apart(k, *_group_stats(hashes[-1][first], counts), n_buckets)
+        if k == 2:
+            rows += _words_of(columns, n_buckets)
+        else:
+            shorter = columns[: k - 2] + columns[-1:]
+            first, counts, key = _merged(gram_key(contexts(shorter[:-1])[-1], shorter[-1]), np.ones(len(shorter[-1]), np.int64))
+            for b, n, d in _packed([c[first] for c in shorter], counts, bucket_of(key, n_buckets)):
+                rows.append(("gram", k - 1, b, n, d, 0, 0, 0, 0))
+        return _table(rows)
 
     return run
 
 
-def _reduce_last(path: str):
-    """Continuation counts of the words of one bucket."""
+def _add_contexts(order: int, path: str, n_buckets: int):
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table["bucket"][0].as_py()
+        ks, context = table["k"].to_numpy(), table["n"].to_numpy().view(np.uint64)
+        for k in range(2, order + 1):
+            own = np.flatnonzero(ks == k)
+            key, at = np.unique(context[own], return_inverse=True)
+            stats = np.zeros((len(key), 4), np.int64)
+            for i in range(4):
+                np.add.at(stats[:, i], at, table[f"s{i + 1}"].to_numpy()[own])
+            write_sorted(f"{path}/contexts-{k}-{n_buckets + bucket}", key, stats)
+        return pa.table({"bucket": pa.array([bucket], pa.int32())})
+
+    return run
+
+
+def _add_words(path: str, name: str):
+    """Counts of the words of one bucket; passes on words that may be hot."""
 
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
-        (words,), counts = _unpacked(table["n"].to_pylist(), table["data"].to_pylist(), 1)
-        (words,), counts, _ = _runs([words], counts)
-        write_bytes(f"{path}/left-{bucket}.key", words)
-        write_bytes(f"{path}/left-{bucket}.count", narrow(counts))
-        s = _stats_of(counts)
-        return pa.table([pa.array([x], pa.int64()) for x in (*s, int((counts >= 3).sum()), int(counts.sum()))], names=["s1", "s2", "s3", "s4", "s3p", "total"])
+        (words,), counts = _unpacked(table, 1)
+        first, counts, key = _merged(mix(words), counts)
+        words = words[first]
+        write_sorted(f"{path}/{name}-{bucket}", key, counts)
+        total = int(counts.sum())
+        top = np.flatnonzero(counts * HOT_SHARE >= total) if name == "words" else np.zeros(0, np.int64)
+        s = [*_stats_of(counts), int((counts >= 3).sum())]
+        rows = [("stat", 0, total, len(words), *s), *(("hot", int(words[i].view(np.int64)), int(counts[i]), 0, 0, 0, 0, 0, 0) for i in top)]
+        return pa.table([pa.array(c) for c in zip(*rows, strict=True)], names=["kind", "word", "count", "types", "s1", "s2", "s3", "s4", "s3p"])
 
     return run
 
 
-def fit(docs: DataFrame, *, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES) -> Model:
+_ADDED = "kind string, word long, count long, types long, s1 long, s2 long, s3 long, s4 long, s3p long"
+
+
+def fit(docs: DataFrame, *, order: int = ORDER, bucket_bytes: int = BUCKET_BYTES, passes: int = PASSES) -> Model:
     """Count docs.text and leave the model's arrays in the shared folder."""
     with scratch():
-        return _fit(docs, order, bucket_bytes)
+        return _fit(docs, order, bucket_bytes, passes)
 
 
-def _fit(docs: DataFrame, order: int, bucket_bytes: int) -> Model:
+def _fit(docs: DataFrame, order: int, bucket_bytes: int, passes: int) -> Model:
     spark = docs.sparkSession
     docs = docs.select("text")
     path = shared_dir(spark)
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_buckets = max(1, int(-(-size // bucket_bytes)))
-    none = np.zeros(0, np.uint64)
-    # a row without n-grams for each bucket, so that each has its files
-    every = spark.range(n_buckets).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("data"))
 
-    def dealt(packed: DataFrame) -> GroupedData:
-        return packed.union(every).repartition(n_buckets, "bucket").groupBy("bucket")
+    def dealt(packed: DataFrame, lo: int = 0, hi: int = n_buckets) -> GroupedData:
+        """With a row without n-grams for each bucket, so that each has its files."""
+        every = spark.range(lo, hi).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("data"))
+        return packed.select("bucket", "n", "data").union(every).repartition(hi - lo, "bucket").groupBy("bucket")
+
+    def sums(df: DataFrame, *names: str) -> list[int]:
+        return list(df.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in names)).first())
 
-    words = dealt(docs.mapInArrow(_count(1, none, n_buckets), _PACK)).applyInArrow(_reduce_words(path), "kind string, word long, count long, types long")
-    words = cut(words)
-    n_tokens, n_types = words.where("kind = 'stat'").agg(F.coalesce(F.sum("count"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    words = cut(dealt(docs.mapInArrow(_count_words(n_buckets), _PACK)).applyInArrow(_add_words(path, "words"), _ADDED))
+    n_tokens, n_types = sums(words.where("kind = 'stat'"), "count", "types")
     # at most HOT_SHARE words can each be 1/HOT_SHARE of all tokens; START opens every text
     found = words.where((F.col("kind") == "hot") & (F.col("count") * HOT_SHARE >= n_tokens)).select("word").collect()
     hot = np.unique(np.concatenate([np.array([r.word for r in found], np.int64).view(np.uint64), [START]]))
 
-    levels: dict[int, Level] = {}
-    packed = docs.mapInArrow(_count(order, hot if order == 2 else none, n_buckets), _PACK)
-    for width in range(order, 1, -1):
-        use = hot if width == 2 else none
-        reduced = cut(dealt(packed).applyInArrow(_reduce(width, path, use, hot if width == 3 else none, n_buckets), _REDUCED))
-        n = reduced.where("kind = 'stat'").agg(*(F.coalesce(F.sum(f"s{k}"), F.lit(0)) for k in (1, 2, 3, 4))).first()
-        level = Level(discounts(list(n)))
-        merged = reduced.where("kind = 'hot'").groupBy("n").agg(*(F.sum(f"s{k}").alias(f"s{k}") for k in (1, 2, 3, 4))).collect()
-        if merged:
-            keys = np.array([r[0] for r in merged], np.int64).view(np.uint64)
-            at = np.argsort(keys)
-            level.hot, level.hot_stats = keys[at], np.array([list(r)[1:] for r in merged], np.float64)[at]
-        levels[width] = level
-        packed = reduced.where("kind = 'next'").select("bucket", "n", "data")
-    s = dealt(packed).applyInArrow(_reduce_last(path), "s1 long, s2 long, s3 long, s4 long, s3p long, total long")
-    s = s.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("s1", "s2", "s3", "s4", "s3p", "total"))).first()
-    levels[1] = Level(discounts(list(s)[:4]))
+    parts = []
+    for p in range(passes):
+        lo, hi = p * n_buckets // passes, (p + 1) * n_buckets // passes
+        if lo < hi:
+            packed = docs.mapInArrow(_count(order, hot, n_buckets, lo, hi), _PACK)
+            parts.append(cut(dealt(packed, lo, hi).applyInArrow(_reduce(order, path, hot, n_buckets), _REDUCED)))
+    for k in range(order - 1, 1, -1):
+        rows = _all(parts).where((F.col("kind") == "gram") & (F.col("k") == k))
+        parts.append(cut(dealt(rows).applyInArrow(_add_grams(k, path, n_buckets), _REDUCED)))
+    reduced = _all(parts)
+    stats = {r[0]: list(r)[1:] for r in reduced.where("kind = 'stat'").groupBy("k").agg(*(F.sum(f"s{i}") for i in (1, 2, 3, 4))).collect()}
+    last = cut(dealt(reduced.where("kind = 'word'")).applyInArrow(_add_words(path, "left"), _ADDED)).where("kind = 'stat'")
+    s = sums(last, "s1", "s2", "s3", "s4", "s3p", "count")
+    every = spark.range(n_buckets).selectExpr("'context' AS kind", "0 AS k", "cast(id AS int) AS bucket", "0L AS n", "cast(null AS binary) AS data", "0L AS s1", "0L AS s2", "0L AS s3", "0L AS s4")
+    apart = reduced.where("kind = 'context'").groupBy("kind", "k", "bucket", "n").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in (1, 2, 3, 4))).withColumn("data", F.lit(None).cast("binary"))
+    apart.unionByName(every).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_add_contexts(order, path, n_buckets), "bucket int").write.format("noop").mode("overwrite").save()
+    found = {k: discounts(stats.get(k, [0, 0, 0, 0])) for k in range(2, order + 1)} | {1: discounts(s[:4])}
     release(spark)
-    return Model(path, order, n_buckets, int(n_tokens), int(n_types), (float(s[5]), float(s[0]), float(s[1]), float(s[4])), levels)
+    return Model(path, order, n_buckets, int(n_tokens), int(n_types), hot, (float(s[5]), float(s[0]), float(s[1]), float(s[4])), found)
 
 
-# --- scoring --------------------------------------------------------------------------------
-
-
-def _look_up(path: str, name: str, value: str, wanted: np.ndarray, bucket: np.ndarray, n_buckets: int, width: int = 1) -> np.ndarray:
-    """Values of wanted keys in order of their bucket; 0 where there is none.  A bucket without a file is an error."""
-    out = np.zeros((len(wanted), width) if width > 1 else len(wanted), np.float64)
-    edges = np.searchsorted(bucket, np.arange(n_buckets + 1))
-    for b in range(n_buckets):
-        lo, hi = edges[b], edges[b + 1]
-        if lo == hi:
-            continue
-        keys = mapped(f"{path}/{name}-{b}.key", "<u8")
-        if not len(keys):
-            continue
-        values = mapped(f"{path}/{name}-{b}.{value}", "u1")
-        values = values.view("<u4" if len(values) == 4 * width * len(keys) else "<u8")
-        values = values.reshape(-1, width) if width > 1 else values
-        at = np.minimum(np.searchsorted(keys, wanted[lo:hi]), len(keys) - 1)
-        found = keys[at] == wanted[lo:hi]
-        out[lo:hi][found] = values[at[found]]
+def _all(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
-def _distinct(key: np.ndarray, bucket: np.ndarray, n_buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order of their bucket: their indices, and the place of each input among them.
+# --- scoring --------------------------------------------------------------------------------
 
-    Keys are put in order by the bucket and their upper bits in one number; equal ones that this parts are looked up twice.
-    """
-    bits = np.uint64(int(n_buckets).bit_length())
-    order = np.argsort((bucket.astype(np.uint64) << (np.uint64(64) - bits)) | (key >> bits))
+
+def _values(model: Model, name: str, key: np.ndarray, bucket: np.ndarray, width: int = 1) -> np.ndarray:
+    """Values of the keys in the files of their buckets: each distinct key is looked up once, in order."""
+    bits = _U(int(2 * model.n_buckets).bit_length())
+    order = np.argsort((bucket.astype(np.uint64) << (_U(64) - bits)) | (key >> bits))
     k, b = key[order], bucket[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])]) if len(k) else np.zeros(0, bool)
-    place = np.empty(len(k), np.int64)
-    place[order] = np.cumsum(new) - 1
-    return order[new], place
+    k, b = k[new], b[new]
+    found = np.zeros((len(k), width) if width > 1 else len(k), np.int64)
+    edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
+    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(b)], strict=True):
+        found[lo:hi] = look_up(f"{model.path}/{name}-{b[lo]}", k[lo:hi], width)
+    out = np.empty((len(key), width) if width > 1 else len(key), np.int64)
+    out[order] = found[np.cumsum(new) - 1]
+    return out
 
 
 def _discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
-    return np.array([0.0, *d])[np.minimum(counts, 3).astype(np.int64)]
+    return np.array([0.0, *d])[np.minimum(counts, 3)]
 
 
 def log_probabilities(model: Model, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(log10 probability, training count) of each token in its context."""
-    bucket = (mix(codes) % np.uint64(model.n_buckets)).astype(np.int64)
-    first, place = _distinct(codes, bucket, model.n_buckets)
-    words, bucket = codes[first], bucket[first]
-    count = _look_up(model.path, "words", "count", words, bucket, model.n_buckets)
-    left = _look_up(model.path, "left", "count", words, bucket, model.n_buckets)
+    n = model.n_buckets
+    word_key = mix(codes)
+    bucket = bucket_of(word_key, n)
+    known, left = _values(model, "words", word_key, bucket), _values(model, "left", word_key, bucket)
     total, n1, n2, n3 = model.unigram
-    d = model.levels[1].discounts
+    d = model.discounts[1]
     if total:
         free = (d[0] * n1 + d[1] * n2 + d[2] * n3) / total
         p = (left - _discount(left, d)) / total + free / (model.n_types + 1)
     else:
-        p = np.full(len(words), 1.0)
-    p, known = p[place], count[place]
-    for width, context in reversed(list(zip(range(model.order, 1, -1), contexts(codes, bounds, model.order), strict=True))):
-        level = model.levels[width]
-        key, where = gram_key(context, codes), _bucket(context, codes, level.hot if width == 2 else np.zeros(0, np.uint64), model.n_buckets)
-        first, place = _distinct(key, where, model.n_buckets)
-        c = _look_up(model.path, f"grams-{width}", "count", key[first], where[first], model.n_buckets)[place]
-        own = _bucket(context, context, np.zeros(0, np.uint64), model.n_buckets)
-        first, place = _distinct(context, own, model.n_buckets)
-        ctx = context[first]
-        stats = _look_up(model.path, f"contexts-{width}", "stats", ctx, own[first], model.n_buckets, 4)
-        if len(level.hot):
-            at = np.minimum(np.searchsorted(level.hot, ctx), len(level.hot) - 1)
-            is_hot = level.hot[at] == ctx
-            stats[is_hot] = level.hot_stats[at[is_hot]]
-        d = level.discounts
+        p = np.full(len(codes), 1.0)
+    before = previous(codes, bounds, model.order)
+    hashes, run = contexts(before), hot_run(before, model.hot)
+    for k in range(2, model.order + 1):
+        context = hashes[k - 2]
+        key = gram_key(context, codes)
+        all_hot = run >= k - 1
+        where = bucket_of(home(np.minimum(run, k - 1), hashes[: k - 1], key), n)
+        c = _values(model, f"grams-{k}", key, where + n * (all_hot & (k < model.order)))
+        own = np.where(all_hot, n + bucket_of(context, n), where)
+        stats = _values(model, f"contexts-{k}", context, own, 4)
+        d = model.discounts[k]
         free = stats[:, 1] * d[0] + stats[:, 2] * d[1] + stats[:, 3] * d[2]
-        seen, free = stats[place, 0], free[place]
-        with np.errstate(divide="ignore", invalid="ignore"):
-            p = np.where(seen > 0, (c - _discount(c, d) + free * p) / np.maximum(seen, 1), p)
+        seen = stats[:, 0]
+        p = np.where(seen > 0, (c - _discount(c, d) + free * p) / np.maximum(seen, 1), p)
     return np.log10(p), known
 
 

@@ -34,7 +34,7 @@ def test_language_model(messy, nothing, rows, spark):
     def train(i):
         return i is None or zlib.crc32(str(i).encode()) % 7 != 2
 
-    for order in (2, 3):
+    for order in (2, 3, 4):
         model = kneser_ney.fit(messy.where(~kneser_ney.held_out()), order=order, bucket_bytes=60_000)
         texts = [tokens(t) for i, t in rows if train(i)]
         levels = {order: Counter()}
@@ -77,19 +77,31 @@ def test_language_model(messy, nothing, rows, spark):
 
 def test_language_model_counts_beyond_32_bits(tmp_path):
     big = 5_000_000_000
-    context, word = (np.array(x, np.uint64) for x in ([7, 7, 9], [1, 2, 1]))
-    rows = list(kneser_ney._packed([context, word], np.array([big, 1, 2]), np.zeros(3, np.int64)))
+    before, word = (np.array(x, np.uint64) for x in ([7, 7, 9], [1, 2, 1]))
+    rows = list(kneser_ney._packed([before, word], np.array([big, 1, 2]), np.zeros(3, np.int64)))
     table = pa.table({"bucket": [0, 0], "n": [rows[0][1], 0], "data": [rows[0][2], b""]})
-    none = np.zeros(0, np.uint64)
-    kneser_ney._reduce(2, str(tmp_path), none, none, 1)(table)
-    zero = np.zeros(3, np.int64)
-    order = np.argsort(kneser_ney.gram_key(context, word))
-    got = kneser_ney._look_up(str(tmp_path), "grams-2", "count", kneser_ney.gram_key(context, word)[order], zero, 1)
-    assert got.tolist() == np.array([big, 1, 2])[order].tolist()
-    stats = kneser_ney._look_up(str(tmp_path), "contexts-2", "stats", np.array([7, 9], np.uint64), zero[:2], 1, 4)
+    kneser_ney._reduce(2, str(tmp_path), np.zeros(0, np.uint64), 1)(table)
+    context = kneser_ney.contexts([before])[0]
+    assert kneser_ney.look_up(f"{tmp_path}/grams-2-0", kneser_ney.gram_key(context, word), 1).tolist() == [big, 1, 2]
+    stats = kneser_ney.look_up(f"{tmp_path}/contexts-2-0", context[[0, 2]], 4)
     assert stats.tolist() == [[big + 1, 1, 0, 1], [2, 0, 1, 0]]
     with pytest.raises(FileNotFoundError):
-        kneser_ney._look_up(str(tmp_path), "grams-3", "count", np.array([7], np.uint64), zero[:1], 1)
+        kneser_ney.look_up(f"{tmp_path}/grams-3-0", context, 1)
+
+
+def test_sorted_hash_arrays(tmp_path):
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 5, 70_000):
+        key = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2))
+        counts = np.where(rng.random(len(key)) < 0.02, rng.integers(200, 10**12, len(key)), 1)
+        stats = np.where(rng.random(len(key))[:, None] < 0.1, rng.integers(1, 300, (len(key), 4)), np.array([[1, 1, 0, 0]]))
+        stats[:, 0] = stats[:, 1] + 2 * stats[:, 2] + 3 * stats[:, 3]
+        kneser_ney.write_sorted(f"{tmp_path}/c{n}", key, counts), kneser_ney.write_sorted(f"{tmp_path}/s{n}", key, stats)
+        asked = np.concatenate([key, key + np.uint64(1), rng.integers(0, 1 << 63, 500, dtype=np.uint64) * np.uint64(2) + np.uint64(1)])
+        assert kneser_ney.look_up(f"{tmp_path}/c{n}", key, 1).tolist() == counts.tolist()
+        assert (kneser_ney.look_up(f"{tmp_path}/s{n}", key, 4) == stats).all()
+        if n > 1000:  # neighbours of a key share its stored bits; others are not found
+            assert (kneser_ney.look_up(f"{tmp_path}/c{n}", asked[-500:], 1) == 0).all()
 
 
 def test_toxicity(spark, messy, nothing):
