@@ -37,7 +37,7 @@ from .files import mapped, write_bytes
 ORDER = 3
 #: Text bytes for one bucket of counts, and passes over the texts.
 BUCKET_BYTES = 24 << 20
-PASSES = 3
+PASSES = 4
 HOT_SHARE = 2000
 #: Tokens that a task sums up before it sends them on.
 FLUSH_TOKENS = 1 << 21
@@ -86,14 +86,14 @@ def gram_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 def is_among(values: np.ndarray, some: np.ndarray) -> np.ndarray:
-    """Whether each value is among a few; most are told apart by 16 bits."""
-    if not len(some):
-        return np.zeros(len(values), bool)
-    few = np.zeros(1 << 16, bool)
-    few[(some & _U(0xFFFF)).astype(np.int64)] = True
-    out = few[(values & _U(0xFFFF)).astype(np.int64)]
-    may = np.flatnonzero(out)
-    out[may] = some[np.minimum(np.searchsorted(some, values[may]), len(some) - 1)] == values[may]
+    """Whether each value is among a few, which have a place each by their lower bits; those that find it taken are compared one by one."""
+    place = (some & _U(0xFFFF)).astype(np.int64)
+    _, first = np.unique(place, return_index=True)
+    table = np.full(1 << 16, ~_U(0))
+    table[place[first]] = some[first]
+    out = table[(values & _U(0xFFFF)).astype(np.int64)] == values
+    for x in np.delete(some, first):
+        out |= values == x
     return out
 
 
@@ -260,7 +260,7 @@ def write_sorted(path: str, key: np.ndarray, values: np.ndarray) -> None:
 
 def look_up(path: str, wanted: np.ndarray, width: int) -> np.ndarray:
     """Values of the wanted keys; 0 where there is none."""
-    data = mapped(path, "u1")
+    data = mapped(path, "u1").view(np.ndarray)
     n, top, n_apart, size, _ = data[:40].view("<i8").tolist()
     out = np.zeros((len(wanted), width) if width > 1 else len(wanted), np.int64)
     if not n:
@@ -512,19 +512,20 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 # --- scoring --------------------------------------------------------------------------------
 
 
-def _values(model: Model, name: str, key: np.ndarray, bucket: np.ndarray, width: int = 1) -> np.ndarray:
-    """Values of the keys in the files of their buckets: each distinct key is looked up once, in order."""
+def _values(model: Model, names: list[str], key: np.ndarray, bucket: np.ndarray, width: int = 1) -> list[np.ndarray]:
+    """Values of the keys in the files of their buckets, by name: each distinct key is looked up once, in order."""
     bits = _U(int(2 * model.n_buckets).bit_length())
     order = np.argsort((bucket.astype(np.uint64) << (_U(64) - bits)) | (key >> bits))
     k, b = key[order], bucket[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])]) if len(k) else np.zeros(0, bool)
     k, b = k[new], b[new]
-    found = np.zeros((len(k), width) if width > 1 else len(k), np.int64)
     edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-    for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(b)], strict=True):
-        found[lo:hi] = look_up(f"{model.path}/{name}-{b[lo]}", k[lo:hi], width)
-    out = np.empty((len(key), width) if width > 1 else len(key), np.int64)
-    out[order] = found[np.cumsum(new) - 1]
+    place = np.empty(len(key), np.int64)
+    place[order] = np.cumsum(new) - 1
+    out = []
+    for name in names:
+        found = [look_up(f"{model.path}/{name}-{b[lo]}", k[lo:hi], width) for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(b)], strict=True)]
+        out.append(np.concatenate(found)[place] if found else np.zeros((0, width) if width > 1 else 0, np.int64))
     return out
 
 
@@ -537,7 +538,7 @@ def log_probabilities(model: Model, codes: np.ndarray, bounds: np.ndarray) -> tu
     n = model.n_buckets
     word_key = mix(codes)
     bucket = bucket_of(word_key, n)
-    known, left = _values(model, "words", word_key, bucket), _values(model, "left", word_key, bucket)
+    known, left = _values(model, ["words", "left"], word_key, bucket)
     total, n1, n2, n3 = model.unigram
     d = model.discounts[1]
     if total:
@@ -552,9 +553,9 @@ def log_probabilities(model: Model, codes: np.ndarray, bounds: np.ndarray) -> tu
         key = gram_key(context, codes)
         all_hot = run >= k - 1
         where = bucket_of(home(np.minimum(run, k - 1), hashes[: k - 1], key), n)
-        c = _values(model, f"grams-{k}", key, where + n * (all_hot & (k < model.order)))
+        (c,) = _values(model, [f"grams-{k}"], key, where + n * (all_hot & (k < model.order)))
         own = np.where(all_hot, n + bucket_of(context, n), where)
-        stats = _values(model, f"contexts-{k}", context, own, 4)
+        (stats,) = _values(model, [f"contexts-{k}"], context, own, 4)
         d = model.discounts[k]
         free = stats[:, 1] * d[0] + stats[:, 2] * d[1] + stats[:, 3] * d[2]
         seen = stats[:, 0]
