@@ -36,13 +36,13 @@ from .files import mapped, write_bytes
 
 ORDER = 3
 #: Text bytes for one bucket of counts, and passes over the texts.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 16 << 20
 PASSES = 4
 HOT_SHARE = 2000
 #: Tokens that a task sums up before it sends them on.
-FLUSH_TOKENS = 1 << 21
+FLUSH_TOKENS = 3 << 19
 #: Text bytes that are scored together: what they share is looked up once.
-SCORED_BYTES = 4 << 20
+SCORED_BYTES = 8 << 20
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -159,16 +159,20 @@ def _pack_batch(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
 
 
 def _unpacked(table: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray]:
-    ns, data = table["n"].to_pylist(), table["data"].to_pylist()
+    ns = table["n"].to_pylist()
     columns = [np.zeros((sum(ns), 8), np.uint8) for _ in range(width)]
     counts = np.zeros(sum(ns), np.int64)
-    at = 0
-    for n, d in zip(ns, data, strict=True):
-        for k in range(width):
-            columns[k][at : at + n, :6] = np.frombuffer(d, np.uint8, 6 * n, 6 * n * k).reshape(n, 6)
-        size = (len(d) - 6 * n * width) // n if n else 1
-        counts[at : at + n] = np.frombuffer(d, f"<u{size}", n, 6 * n * width)
-        at += n
+    at = row = 0
+    for chunk in table["data"].chunks:
+        data, o = flat(chunk)
+        for i in range(len(chunk)):
+            n, d = ns[row], data[o[i] : o[i + 1]]
+            row += 1
+            for k in range(width if n else 0):
+                columns[k][at : at + n, :6] = d[6 * n * k : 6 * n * (k + 1)].reshape(n, 6)
+            if n:
+                counts[at : at + n] = np.frombuffer(d[6 * n * width :].tobytes(), f"<u{(len(d) - 6 * n * width) // n}", n)
+            at += n
     return [c.view("<u8").ravel() for c in columns], counts
 
 
@@ -370,6 +374,7 @@ def _reduce(order: int, path: str, hot: np.ndarray, n_buckets: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = table["bucket"][0].as_py()
         columns, counts = _unpacked(table, order)
+        del table
         hashes = contexts(columns[:-1])
         rows: list[tuple] = []
         for k in range(order, 1, -1):
@@ -566,10 +571,29 @@ def log_probabilities(model: Model, codes: np.ndarray, bounds: np.ndarray) -> tu
 _SCORED = "n_tokens long, n_known long, base_score double, score double"
 
 
+def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    """Slices of about limit bytes of text, over the ends of batches."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def joined() -> pa.RecordBatch:
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for part in slices(batches, limit=limit):
+        n = len(flat(part.column("text"))[0])
+        if held and size + n > limit:
+            yield joined()
+            held, size = [], 0
+        held.append(part)
+        size += n
+    if held:
+        yield joined()
+
+
 def _score(model: Model, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         denominator = np.log10(float(model.n_tokens + model.n_types + 1))
-        for batch in slices(batches, limit=SCORED_BYTES):
+        for batch in _gathered(batches, SCORED_BYTES):
             codes, bounds = tokens(*flat(batch.column("text")))
             logs, counts = log_probabilities(model, codes, bounds)
             at = bounds[:-1]
