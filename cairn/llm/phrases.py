@@ -32,7 +32,7 @@ from .common import PLAIN_WORD, cut, flat, gram_hashes, keep, null_key, release,
 
 WINDOW, GRAM = 13, 5
 #: Text bytes of the documents of one shard, and windows in one automaton.
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 4 << 20
 AUTOMATON = 20_000
 #: End of the span of a copy: all of a text that has a window.
 WHOLE = 1 << 40
