@@ -37,7 +37,7 @@ from .files import mapped, write_bytes
 ORDER = 3
 #: Text bytes for one bucket of counts, and passes over the texts.
 BUCKET_BYTES = 16 << 20
-PASSES = 4
+PASSES = 5
 HOT_SHARE = 2000
 #: Tokens that a task sums up before it sends them on.
 FLUSH_TOKENS = 3 << 19
@@ -473,9 +473,12 @@ def _fit(docs: DataFrame, order: int, bucket_bytes: int, passes: int) -> Model:
     n_buckets = max(1, int(-(-size // bucket_bytes)))
 
     def dealt(packed: DataFrame, lo: int = 0, hi: int = n_buckets) -> GroupedData:
-        """With a row without n-grams for each bucket, so that each has its files."""
+        """A task for each bucket; with a row without n-grams for each, so that each has its files."""
         every = spark.range(lo, hi).select(F.col("id").cast("int").alias("bucket"), F.lit(0).cast("long").alias("n"), F.lit(b"").alias("data"))
-        return packed.select("bucket", "n", "data").union(every).repartition(hi - lo, "bucket").groupBy("bucket")
+        return one_each(packed.select("bucket", "n", "data").union(every), lo, hi)
+
+    def one_each(df: DataFrame, lo: int, hi: int) -> GroupedData:
+        return df.withColumn("part", F.col("bucket") - lo).repartitionById(hi - lo, F.col("part")).groupBy("part")
 
     def sums(df: DataFrame, *names: str) -> list[int]:
         return list(df.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in names)).first())
@@ -501,7 +504,7 @@ def _fit(docs: DataFrame, order: int, bucket_bytes: int, passes: int) -> Model:
     s = sums(last, "s1", "s2", "s3", "s4", "s3p", "count")
     every = spark.range(n_buckets).selectExpr("'context' AS kind", "0 AS k", "cast(id AS int) AS bucket", "0L AS n", "cast(null AS binary) AS data", "0L AS s1", "0L AS s2", "0L AS s3", "0L AS s4")
     apart = reduced.where("kind = 'context'").groupBy("kind", "k", "bucket", "n").agg(*(F.sum(f"s{i}").alias(f"s{i}") for i in (1, 2, 3, 4))).withColumn("data", F.lit(None).cast("binary"))
-    apart.unionByName(every).repartition(n_buckets, "bucket").groupBy("bucket").applyInArrow(_add_contexts(order, path, n_buckets), "bucket int").write.format("noop").mode("overwrite").save()
+    one_each(apart.unionByName(every), 0, n_buckets).applyInArrow(_add_contexts(order, path, n_buckets), "bucket int").write.format("noop").mode("overwrite").save()
     found = {k: discounts(stats.get(k, [0, 0, 0, 0])) for k in range(2, order + 1)} | {1: discounts(s[:4])}
     release(spark)
     return Model(path, order, n_buckets, int(n_tokens), int(n_types), hot, (float(s[5]), float(s[0]), float(s[1]), float(s[4])), found)
