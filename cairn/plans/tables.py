@@ -9,9 +9,17 @@ from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df as a written table: ends its lineage and outlives executors."""
+    """df as a written table under spark.checkpoint.dir: ends its lineage and outlives executors.
+
+    Where that is unset, a folder of our own serves, but only if one machine runs all, as in tests.
+    """
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints/cairn"
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        at = "file:///tmp/checkpoints/cairn"
     path = f"{at.rstrip('/')}/cairn-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
