@@ -24,8 +24,10 @@ SLICE_BYTES = 1 << 20
 NULL_ID = -(1 << 63)
 
 try:
-    # the C library gives blocks of 4 MB and more back as soon as they are freed, also after many were
-    ctypes.CDLL("libc.so.6").mallopt(-3, 4 << 20)
+    # the C library gives blocks of 4 MB and more back as soon as they are freed, also after many were, and keeps little for each thread
+    for _parameter, _value in ((-3, 4 << 20), (-1, 8 << 20), (-8, 2)):
+        ctypes.CDLL("libc.so.6").mallopt(_parameter, _value)
+    pa.set_memory_pool(pa.system_memory_pool())  # Arrow's own pool holds what it once had
 except (OSError, AttributeError):  # another C library
     pass
 

@@ -276,6 +276,7 @@ def test_near_duplicates(spark, monkeypatch, rows, small):
 def test_hot_prefixes_lose_no_pair(spark, monkeypatch):
     """Drifting revisions: classes settled by different pivots, or by none, whose likeness is just over the threshold."""
     monkeypatch.setattr(near_dup, "BUCKET_ROWS", 4), monkeypatch.setattr(near_dup, "PIVOTS", 2), monkeypatch.setattr(near_dup, "BLOCK", 3)
+    monkeypatch.setattr(near_dup, "BLOCK_BYTES", 4000)
     rng = random.Random(4)
     rows = []
     for family in range(4):
@@ -306,6 +307,16 @@ def test_prefix_is_shortened_until_the_recall_is_reached(spark):
     assert few == [8, 7, 6]
 
 
+def test_meetings_by_ranges_of_values(monkeypatch):
+    rng = np.random.default_rng(2)
+    pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
+    sets = [np.unique(rng.choice(pool, rng.integers(1, 900))) for _ in range(40)]
+    want = [[len(set(x.tolist()) & set(y.tolist())) for y in sets[15:]] for x in sets[:15]]
+    for size in (1 << 20, 700):
+        monkeypatch.setattr(near_dup, "MEETING", size)
+        assert near_dup._meet(sets[:15], sets[15:]).tolist() == want
+
+
 def test_unclear_ids_do_not_multiply(spark):
     rng = random.Random(8)
     base = prose(rng, 80, 10**6).split()
