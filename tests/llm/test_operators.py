@@ -35,7 +35,7 @@ def test_language_model(messy, nothing, rows, spark):
         return i is None or zlib.crc32(str(i).encode()) % 7 != 2
 
     for order in (2, 3, 4):
-        model = kneser_ney.fit(messy.where(~kneser_ney.held_out()), order=order, bucket_bytes=60_000)
+        model = kneser_ney.fit(messy.where(~kneser_ney.held_out()), order=order, bucket_bytes=60_000, passes=2)
         texts = [tokens(t) for i, t in rows if train(i)]
         levels = {order: Counter()}
         for t in texts:
