@@ -3,9 +3,9 @@
 Texts with equal words are one class.  Each class has a MinHash signature of DEPTH values for every
 tree of the forest.  A tree is the trie of its signatures, kept as a table sorted by them: the
 longest common prefix of a signature and its neighbours in that order is the deepest node at which
-it meets another.  Matched prefixes start at DEPTH values and are shortened by one at a time until the
-recall, measured on neighbours near the threshold by the trees that did not find them, reaches the target
-(`matched_prefix`).  Classes that share such a prefix are compared by their signatures, all pairs of
+it meets another.  Matched prefixes start at DEPTH values and are shortened by one at a time until a pair
+at the threshold shares one with the target's probability, and the recall, measured on all neighbours near
+the threshold by the trees that did not find them, reaches the target too (`matched_prefix`).  Classes that share such a prefix are compared by their signatures, all pairs of
 them; alike ones are connected to candidate clusters.  Within a cluster every pair is verified on
 its whole shingle sets, in blocks, and only link counts and spanning edges leave a task, never pairs.
 
@@ -41,9 +41,8 @@ THRESHOLD = 0.8
 TREES, DEPTH, SHORTEST = 32, 8, 4
 #: A pair at the threshold is found with this probability at least.
 RECALL = 0.9999
-#: Neighbours in the sorted tables on which recall is measured (they decide nothing else), how far over the
-#: threshold they count, and how many are needed; with fewer the probability at the threshold is used.
-PROBES, NEAR, ENOUGH = 20_000, 0.1, 200
+#: Recall is measured on all neighbours in the sorted tables whose estimated likeness is at most this far over the threshold.
+NEAR = 0.1
 #: Estimated likeness, of COMPARED values, from which classes of one prefix are candidates: five deviations under the threshold.
 ALIKE, COMPARED = 0.62, 128
 #: A class this like a pivot needs no other comparison in its prefix, as all that are ALIKE to it are TOUCHING the pivot.
@@ -183,36 +182,42 @@ def forest(signed: DataFrame) -> DataFrame:
 
 
 def _probe(threshold: float):
-    """Weights of pairs that the other trees find, by the length of the prefix; all pairs' last."""
+    """Weights of neighbours that the other trees find, by the length of the prefix; all neighbours' last."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             a, b = (_matrix(batch.column(c), TREES * DEPTH).reshape(-1, DEPTH, TREES) for c in ("sig", "other"))
             same = a == b
             like = same.mean(axis=(1, 2))
-            deep = np.minimum.accumulate(same, axis=1).sum(axis=1)  # (pairs, trees)
-            deep[np.arange(len(deep)), batch.column("tree").to_numpy()] = 0
-            weight = np.where((like >= threshold) & (like < threshold + NEAR), 1 / np.maximum(like, 0.1) ** SHORTEST, 0.0)  # finding a pair has that much chance
+            near = np.flatnonzero((like >= threshold) & (like < threshold + NEAR))
+            deep = np.minimum.accumulate(same[near], axis=1).sum(axis=1)  # (pairs, trees)
+            pair, tree = np.nonzero(batch.column("trees").to_numpy()[near, None] >> np.arange(TREES) & 1)  # a pair counts for each tree in which it is one of neighbours
+            deep = deep[pair]
+            deep[np.arange(len(deep)), tree] = 0
+            weight = 1 / np.maximum(like[near][pair], 0.1) ** SHORTEST  # finding a pair has that much chance
             found = [float(weight[deep.max(axis=1) >= d].sum()) for d in range(1, DEPTH + 1)]
-            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*found, float(weight.sum()), int((weight > 0).sum()))], [*(f"d{d}" for d in range(1, DEPTH + 1)), "all", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*found, float(weight.sum()))], [*(f"d{d}" for d in range(1, DEPTH + 1)), "all"])
 
     return run
 
 
 def matched_prefix(rows: DataFrame, signed: DataFrame, *, threshold: float = THRESHOLD, recall: float = RECALL) -> int:
-    """The longest prefix, shortened value by value from DEPTH, that reaches the recall.
+    """The longest prefix, shortened value by value from DEPTH, that reaches the recall in theory and as measured.
 
-    Recall is the share of neighbours near the threshold that share the prefix in another tree than
-    the one in whose order they are neighbours.
+    In theory it is the chance of a pair at the threshold, whatever the rows are.  As measured it is the
+    share of all neighbours near the threshold that share the prefix in another tree than the one in
+    whose order they are neighbours (but for the two rows at a border of tasks); a smaller share shortens the prefix further.
     """
-    probes = rows.where("before is not null").orderBy(F.xxhash64("tree", "node")).limit(PROBES).select("tree", "node", "before")
-    one = signed.join(F.broadcast(probes), "node").select("tree", F.col("before").alias("node"), F.col("sig").alias("other"))
-    pairs = signed.join(F.broadcast(one), "node")  # PROBES rows of a signature each
-    names = [*(f"d{d}" for d in range(1, DEPTH + 1)), "all", "n"]
-    found = pairs.mapInArrow(_probe(threshold), ", ".join(f"`{n}` double" for n in names[:-1]) + ", n long").agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).first()
+    # a class has two neighbours in a tree at most, so no key of these joins is hot
+    ends = (F.least("node", "before").alias("node"), F.greatest("node", "before").alias("to"))
+    met = rows.where("before is not null").groupBy(*ends).agg(F.bit_or(F.expr("shiftleft(1L, tree)")).alias("trees"))
+    one = met.join(signed.select("node", F.col("sig").alias("other")), "node").select(F.col("to").alias("node"), "trees", "other")
+    pairs = one.join(signed.select("node", "sig"), "node")
+    names = [*(f"d{d}" for d in range(1, DEPTH + 1)), "all"]
+    found = pairs.mapInArrow(_probe(threshold), ", ".join(f"`{n}` double" for n in names)).agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).first()
     for d in range(DEPTH, SHORTEST, -1):
-        reached = found[f"d{d}"] / found["all"] if found["n"] >= ENOUGH else found_at(threshold, d)
-        if reached >= recall:
+        measured = found[f"d{d}"] / found["all"] if found["all"] else 1.0
+        if min(found_at(threshold, d), measured) >= recall:
             return d
     return SHORTEST
 

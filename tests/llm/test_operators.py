@@ -307,6 +307,36 @@ def test_prefix_is_shortened_until_the_recall_is_reached(spark):
     assert few == [8, 7, 6]
 
 
+def test_prefix_is_measured_on_all_neighbours(spark):
+    """Of 20,100 neighbours the 100 that come last by their hash share nothing in the other trees."""
+    rng = np.random.default_rng(3)
+    n, hard = 20_100, 100
+    order = [r.id for r in spark.range(n).select("id").orderBy(F.xxhash64(F.lit(0), "id")).collect()]
+    left = rng.integers(0, 256, (n, near_dup.DEPTH, near_dup.TREES), dtype=np.uint8)
+    right = left.copy()
+    easy, last = order[:-hard], order[-hard:]
+    right[easy, -1] ^= 1  # seven of eight values in every tree
+    right[last, 0, 1:] ^= 1  # only tree 0 is whole
+    sigs = [x.tobytes() for x in (*left, *right)]
+    signed = spark.createDataFrame(pa.table({"node": np.arange(2 * n), "sig": pa.array(sigs, pa.binary())}))
+    rows = spark.range(n).selectExpr("0 tree", "0L label", "id node", "8 meets", f"id + {n} before")
+    assert near_dup.matched_prefix(rows, signed, threshold=0.8, recall=0.99) == near_dup.DEPTH - 1
+    assert near_dup.matched_prefix(rows, signed, threshold=0.8, recall=0.9999) == near_dup.SHORTEST
+
+
+def test_prefix_holds_at_the_threshold_where_neighbours_are_more_alike(spark):
+    """Pairs of 0.89 only would be found with longer prefixes than pairs of 0.8 may have."""
+    rng = random.Random(16)
+    rows = []
+    for i in range(150):
+        a = prose(rng, 150, 10**6).split()
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a[:142] + prose(rng, 8, 10**6).split()))]
+    _, classes = near_dup.classes_of(spark.createDataFrame(rows, "doc_id long, text string"), 5)
+    signed = classes.select("node", "sig")
+    d = near_dup.matched_prefix(near_dup.forest(signed), signed)
+    assert near_dup.found_at(near_dup.THRESHOLD, d) >= near_dup.RECALL
+
+
 def test_meetings_by_ranges_of_values(monkeypatch):
     rng = np.random.default_rng(2)
     pool = rng.integers(0, 1 << 63, 3000, dtype=np.uint64) * np.uint64(2)
