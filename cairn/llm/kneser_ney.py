@@ -23,8 +23,11 @@ as often as they come; an empty training set gives the uniform model; other colu
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -43,6 +46,10 @@ HOT_SHARE = 2000
 FLUSH_TOKENS = 3 << 19
 #: Text bytes that are scored together: what they share is looked up once.
 SCORED_BYTES = 8 << 20
+#: Text bytes that are cut into tokens at once: what belongs to them stays in a core's cache.
+TOKEN_BYTES = 1 << 17
+#: Words of more bytes are hashed with all bytes around them.
+SHORT_WORD = 64
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -50,19 +57,67 @@ _U = np.uint64
 END = _U(0x51ED270B9F1E)
 START = _U(0xC2B2AE3D27D4)
 _ODD = _U(0x9E3779B97F4A7C15)
+#: Of eight bytes, the first 0 to 8.
+_MASKS = np.array([(1 << 8 * i) - 1 for i in range(9)], np.uint64)
 
 
 def tokens(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(token hashes of 48 bits, index of each text's first token): the words of each text and its end."""
+    starts, ends, first = _spans(b, o)
     b = _LOWER[b]
-    starts, ends, first = word_spans(b, o, PLAIN_WORD)
-    n = len(o) - 1
-    bounds = first + np.arange(n + 1)
-    codes = np.full(len(starts) + n, END, np.uint64)
-    codes[np.arange(len(starts)) + np.repeat(np.arange(n), np.diff(first))] = span_hashes(b, starts, ends) >> _U(16)
+    bounds = first + np.arange(len(o))
+    codes = np.empty(bounds[-1], np.uint64)
+    is_end = np.zeros(len(codes), bool)
+    is_end[bounds[1:] - 1] = True
+    codes[is_end] = END
+    codes[~is_end] = word_hashes(b, starts, ends) >> _U(16)
     return codes, bounds
 
 
+def _spans(b: np.ndarray, o: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """word_spans of plain words, by the places where words and spaces meet and where words of two texts do."""
+    if not len(b):
+        return word_spans(b, o, PLAIN_WORD)
+    inside = PLAIN_WORD[b]
+    turns = np.flatnonzero(inside[1:] != inside[:-1]) + 1
+    at = np.unique(o[(o > 0) & (o < len(b))])
+    both = np.repeat(at[inside[at] & inside[at - 1]], 2)  # an end and a start
+    more = np.concatenate([np.zeros(int(inside[0]), np.int64), both, np.full(int(inside[-1]), len(b))])
+    turns = np.insert(turns, np.searchsorted(turns, more), more)
+    return turns[::2], turns[1::2], np.searchsorted(turns[::2], o)
+
+
+def word_hashes(b: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of b[start:end], eight bytes at a time; those of long words are span_hashes."""
+    if not len(starts):
+        return np.zeros(0, np.uint64)
+    padded = np.concatenate([b, np.zeros(8, np.uint8)])
+    eights = np.ndarray(len(b) + 1, "<u8", padded, 0, (1,))  # of the bytes from each place
+    length = ends - starts
+    out = _first_hashes(eights[starts], length)
+    rest = np.flatnonzero((length > 8) & (length <= SHORT_WORD))
+    done = 8
+    while len(rest):
+        out[rest] = mix(out[rest] * _ODD + (eights[starts[rest] + done] & _MASKS[np.minimum(length[rest] - done, 8)]))
+        done += 8
+        rest = rest[length[rest] > done]
+    long = np.flatnonzero(length > SHORT_WORD)
+    if len(long):
+        out[long] = span_hashes(b, starts[long], ends[long])
+    return out
+
+
+def _first_hashes(eight: np.ndarray, length: np.ndarray) -> np.ndarray:
+    return mix((eight & _MASKS[np.minimum(length, 8)]) + length.astype(np.uint64) * _ODD)
+
+
+def token_slices(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """tokens() of a batch's texts, made in small slices."""
+    parts = [tokens(*flat(part.column("text"))) for part in slices([batch], limit=TOKEN_BYTES)]
+    lengths = np.concatenate([np.diff(bounds) for _, bounds in parts])
+    return np.concatenate([codes for codes, _ in parts]), np.concatenate([[0], np.cumsum(lengths)])
+
+
 def previous(codes: np.ndarray, bounds: np.ndarray, order: int) -> list[np.ndarray]:
     """The words before each token, nearest first: order - 1 of them."""
     out, now = [], codes
@@ -179,18 +234,22 @@ def _unpacked(table: pa.Table, width: int) -> tuple[list[np.ndarray], np.ndarray
 def _count_words(n_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             words = np.concatenate(held)
             held.clear()
-            first, counts, _ = _merged(words, np.ones(len(words), np.int64))
-            words = words[first]
+            words.sort()
+            at = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]]))
+            counts, words = np.diff(np.append(at, len(words))), words[at]
             return _pack_batch(list(_packed([words], counts, bucket_of(mix(words), n_buckets))))
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TOKEN_BYTES):
             held.append(tokens(*flat(batch.column("text")))[0])
-            if sum(map(len, held)) >= FLUSH_TOKENS:
+            size += len(held[-1])
+            if size >= FLUSH_TOKENS:
                 yield flush()
+                size = 0
         if held:
             yield flush()
 
@@ -202,6 +261,7 @@ def _count(order: int, hot: np.ndarray, n_buckets: int, lo: int, hi: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[list[np.ndarray]] = []
+        size = 0
 
         def flush() -> pa.RecordBatch:
             *columns, key, bucket = (np.concatenate(c) for c in zip(*held, strict=True))
@@ -214,22 +274,24 @@ def _count(order: int, hot: np.ndarray, n_buckets: int, lo: int, hi: int):
             first = order_[at]
             return _pack_batch(list(_packed([c[first] for c in columns], np.diff(np.append(at, len(key))), bucket[at])))
 
-        for batch in slices(batches):
+        for batch in slices(batches, limit=TOKEN_BYTES):
             codes, bounds = tokens(*flat(batch.column("text")))
             before = previous(codes, bounds, order)
             run_ = hot_run(before, hot)
-            first = mix(before[0] + _ODD)
+            first = bucket_of(mix(before[0] + _ODD), n_buckets)
             # most go by their nearest word, so that the others' hashes are made for few
-            mine = np.flatnonzero((run_ > 0) | ((bucket_of(first, n_buckets) >= lo) & (bucket_of(first, n_buckets) < hi)))
+            mine = np.flatnonzero((run_ > 0) | ((first >= lo) & (first < hi)))
             before, codes = [p[mine] for p in before], codes[mine]
             hashes = contexts(before)
             key = gram_key(hashes[-1], codes)
             bucket = bucket_of(home(run_[mine], hashes, key), n_buckets)
             mine = np.flatnonzero((bucket >= lo) & (bucket < hi))
             held.append([*(p[mine] for p in before), codes[mine], key[mine], bucket[mine]])
-            if sum(len(x[0]) for x in held) >= FLUSH_TOKENS:
+            size += len(mine)
+            if size >= FLUSH_TOKENS:
                 yield flush()
-        if held and any(len(x[0]) for x in held):
+                size = 0
+        if size:
             yield flush()
 
     return run
@@ -257,18 +319,16 @@ def write_sorted(path: str, key: np.ndarray, values: np.ndarray) -> None:
     apart = np.flatnonzero(~plain)
     long = values[apart]
     size = 8 if long.size and int(long.max()) >> 32 else 4
-    head = np.array([n, top, len(apart), size, values.shape[1] if values.ndim > 1 else 1, 0, 0, 0], "<i8")
+    head = np.array([n, top, len(apart), size, values.shape[1] if values.ndim > 1 else 1, int(np.diff(edges).max()), 0, 0], "<i8")
     parts = [head, edges.astype("<u4" if n < 1 << 32 else "<u8"), rest, apart.astype("<u8"), long.astype(f"<u{size}").ravel(), short]
     write_bytes(path, *(y for x in parts for y in (np.ascontiguousarray(x), bytes(-x.nbytes % 8))))
 
 
-def look_up(path: str, wanted: np.ndarray, width: int) -> np.ndarray:
-    """Values of the wanted keys; 0 where there is none."""
+@lru_cache(maxsize=4096)
+def _opened(path: str, width: int) -> tuple[int, int, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, int]:
+    """Number of keys, bits of the index, and the parts of a file: index, keys, places and values listed apart, bytes; the most keys of one place in the index."""
     data = mapped(path, "u1").view(np.ndarray)
-    n, top, n_apart, size, _ = data[:40].view("<i8").tolist()
-    out = np.zeros((len(wanted), width) if width > 1 else len(wanted), np.int64)
-    if not n:
-        return out
+    n, top, n_apart, size, _, most = data[:48].view("<i8").tolist()
     at = 64
 
     def part(count: int, kind: str) -> np.ndarray:
@@ -278,28 +338,38 @@ def look_up(path: str, wanted: np.ndarray, width: int) -> np.ndarray:
         return data[begin : begin + size_].view(kind)
 
     edges = part((1 << top) + 1, "<u4" if n < 1 << 32 else "<u8")
-    rest, apart = part(n, "<u4"), part(n_apart, "<u8")
-    long, short = part(n_apart * width, f"<u{size}"), part(n, "<u1")
+    rest, apart = part(n, "<u4"), part(n_apart, "<i8")  # signed as places are: or every search would make floats of all
+    return n, top, edges, rest, apart, part(n_apart * width, f"<u{size}").reshape(-1, width), part(n, "<u1"), most
+
+
+def look_up(path: str, wanted: np.ndarray, width: int) -> np.ndarray:
+    """Values of the wanted keys; 0 where there is none."""
+    n, top, edges, rest, apart, long, short, most = _opened(path, width)
+    out = np.zeros((len(wanted), width) if width > 1 else len(wanted), np.int64)
+    if not n:
+        return out
     slot = (wanted >> _U(64 - top)).astype(np.int64) if top else np.zeros(len(wanted), np.int64)
-    lo, end = edges[slot].astype(np.int64), edges[slot + 1].astype(np.int64)
+    at, end = edges[slot].astype(np.int64), edges[slot + 1].astype(np.int64)
     goal = ((wanted << _U(top)) >> _U(32)).astype(np.uint32)
-    hi = end.copy()
-    for _ in range(int((hi - lo).max()).bit_length() if len(lo) else 0):
-        mid = (lo + hi) >> 1
-        less = (rest[np.minimum(mid, n - 1)] < goal) & (mid < hi)
-        lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-    hit = np.flatnonzero((lo < end) & (rest[np.minimum(lo, n - 1)] == goal))
-    place = lo[hit]
+    for step in reversed([1 << i for i in range(most.bit_length())]):  # at: behind keys that are less
+        if step > 8:  # few places of the index have so many
+            far = np.flatnonzero(end - at >= step)
+            at[far] += step * (rest[at[far] + (step - 1)] < goal[far])
+        else:
+            ahead = np.minimum(at + step, end)
+            at = np.where(rest.take(ahead - 1, mode="clip") < goal, ahead, at)
+    hit = np.flatnonzero((rest.take(at, mode="clip") == goal) & (at < end))
+    place = at[hit]
     value = short[place].astype(np.int64)
     large = np.flatnonzero(value == 255)
     if width == 1:
         if len(large):
-            value[large] = long[np.searchsorted(apart, place[large])]
+            value[large] = long[np.searchsorted(apart, place[large]), 0]
         out[hit] = value
     else:
         out[hit, 0] = out[hit, 1] = value
         if len(large):
-            out[hit[large]] = long.reshape(-1, width)[np.searchsorted(apart, place[large])]
+            out[hit[large]] = long[np.searchsorted(apart, place[large])]
     return out
 
 
@@ -520,20 +590,26 @@ def _all(parts: list[DataFrame]) -> DataFrame:
 # --- scoring --------------------------------------------------------------------------------
 
 
-def _values(model: Model, names: list[str], key: np.ndarray, bucket: np.ndarray, width: int = 1) -> list[np.ndarray]:
-    """Values of the keys in the files of their buckets, by name: each distinct key is looked up once, in order."""
+def _values(model: Model, names: list[str], key: np.ndarray, bucket: np.ndarray, width: int = 1, then: Callable = lambda found: [found]) -> list[np.ndarray]:
+    """What `then` makes of the keys' values in the files of their buckets, by name: each distinct key is looked up once, in order."""
     bits = _U(int(2 * model.n_buckets).bit_length())
-    order = np.argsort((bucket.astype(np.uint64) << (_U(64) - bits)) | (key >> bits))
+    place = bucket.astype(np.uint64)
+    place <<= _U(64) - bits
+    place |= key >> bits
+    order = np.argsort(place)
     k, b = key[order], bucket[order]
     new = np.concatenate([[True], (k[1:] != k[:-1]) | (b[1:] != b[:-1])]) if len(k) else np.zeros(0, bool)
-    k, b = k[new], b[new]
+    alike = not new.all()
+    if alike:
+        k, b = k[new], b[new]
+        number = np.cumsum(new) - 1
     edges = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else np.zeros(0, np.int64)
-    place = np.empty(len(key), np.int64)
-    place[order] = np.cumsum(new) - 1
     out = []
     for name in names:
         found = [look_up(f"{model.path}/{name}-{b[lo]}", k[lo:hi], width) for lo, hi in zip(edges.tolist(), [*edges[1:].tolist(), len(b)], strict=True)]
-        out.append(np.concatenate(found)[place] if found else np.zeros((0, width) if width > 1 else 0, np.int64))
+        for ranked in then(np.concatenate(found) if found else np.zeros((0, width) if width > 1 else 0, np.int64)):
+            out.append(np.empty(len(key), ranked.dtype))
+            out[-1][order] = ranked[number] if alike else ranked
     return out
 
 
@@ -541,34 +617,82 @@ def _discount(counts: np.ndarray, d: tuple[float, float, float]) -> np.ndarray:
     return np.array([0.0, *d])[np.minimum(counts, 3)]
 
 
+def _blocks(n: int) -> Iterator[slice]:
+    """Parts of n values that stay in a core's cache."""
+    return (slice(at, at + (1 << 15)) for at in range(0, n, 1 << 15))
+
+
+def _left_over(d: tuple[float, float, float], stats: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(total, what the discounts leave of it for shorter contexts); 1 and 1 of a context that isn't there, whose n-grams have counts of 0."""
+    seen = stats[:, 0]
+    free = stats[:, 1] * d[0] + stats[:, 2] * d[1] + stats[:, 3] * d[2]
+    return np.maximum(seen, 1), np.where(seen > 0, free, 1.0)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(a place of each distinct value, the number of each value among these)."""
+    order = np.argsort(values)
+    ranked = values[order]
+    new = np.concatenate([[True], ranked[1:] != ranked[:-1]]) if len(values) else np.zeros(0, bool)
+    number = np.empty(len(values), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return order[new], number
+
+
 def log_probabilities(model: Model, codes: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(log10 probability, training count) of each token in its context."""
+    """(log10 probability, training count) of each token in its context.
+
+    What a word or a shorter n-gram decides alone is found once for each distinct one; `number` is the one that ends at a token.
+    """
     n = model.n_buckets
-    word_key = mix(codes)
-    bucket = bucket_of(word_key, n)
-    known, left = _values(model, ["words", "left"], word_key, bucket)
+    rep, word = _distinct(codes)
+    words = codes[rep]
+    word_key = mix(words)
+    known, left = _values(model, ["words", "left"], word_key, bucket_of(word_key, n))
     total, n1, n2, n3 = model.unigram
     d = model.discounts[1]
     if total:
         free = (d[0] * n1 + d[1] * n2 + d[2] * n3) / total
         p = (left - _discount(left, d)) / total + free / (model.n_types + 1)
     else:
-        p = np.full(len(codes), 1.0)
+        p = np.full(len(words), 1.0)
     before = previous(codes, bounds, model.order)
-    hashes, run = contexts(before), hot_run(before, model.hot)
+    number = word
+    # of each distinct n-gram as a context, the last one being that of START alone: hashes by length, and hot words from the nearest
+    last = np.append(words, START)
+    hashes, run = [mix(last + _ODD)], is_among(last, model.hot).astype(np.int8)
     for k in range(2, model.order + 1):
-        context = hashes[k - 2]
-        key = gram_key(context, codes)
-        all_hot = run >= k - 1
-        where = bucket_of(home(np.minimum(run, k - 1), hashes[: k - 1], key), n)
-        (c,) = _values(model, [f"grams-{k}"], key, where + n * (all_hot & (k < model.order)))
-        own = np.where(all_hot, n + bucket_of(context, n), where)
-        (stats,) = _values(model, [f"contexts-{k}"], context, own, 4)
+        all_hot = run == k - 1
+        own = bucket_of(home(run, hashes, hashes[-1]), n)
         d = model.discounts[k]
-        free = stats[:, 1] * d[0] + stats[:, 2] * d[1] + stats[:, 3] * d[2]
-        seen = stats[:, 0]
-        p = np.where(seen > 0, (c - _discount(c, d) + free * p) / np.maximum(seen, 1), p)
-    return np.log10(p), known
+        seen, free = _values(model, [f"contexts-{k}"], hashes[-1], np.where(all_hot, n + bucket_of(hashes[-1], n), own), 4, partial(_left_over, d))
+        context = np.empty(len(codes), np.int64)
+        context[1:] = number[:-1]
+        context[bounds[:-1]] = len(seen) - 1
+        shorter = number
+        if k < model.order:
+            rep, number = _distinct(context * len(words) + word)
+            context, ends, shorter = context[rep], word[rep], shorter[rep]
+        else:
+            ends = word  # most of the longest n-grams are distinct
+        key, where, lower = np.empty(len(context), np.uint64), np.empty(len(context), np.int64), p
+        for some in _blocks(len(context)):
+            before_, key_ = context[some], key[some]
+            key_[:] = gram_key(hashes[-1][before_], words[ends[some]])
+            where[some] = np.where(all_hot[before_], bucket_of(key_, n) + (n if k < model.order else 0), own[before_])
+        (c,) = _values(model, [f"grams-{k}"], key, where)
+        p = np.empty(len(context))
+        for some in _blocks(len(context)):
+            before_, c_ = context[some], c[some]
+            p[some] = (c_ - _discount(c_, d) + free[before_] * lower[shorter[some]]) / seen[before_]
+        if k < model.order:
+            first = np.append(before[k - 2][rep], START)
+            shorter = np.append(shorter, len(run) - 1)
+            hashes = [h[shorter] for h in hashes]
+            hashes.append(mix(hashes[-1] * _ODD + first))
+            run = run[shorter]
+            run += (run == k - 1) & is_among(first, model.hot)
+    return np.log10(p), known[word]
 
 
 _SCORED = "n_tokens long, n_known long, base_score double, score double"
@@ -593,11 +717,31 @@ def _gathered(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Reco
         yield joined()
 
 
+@contextmanager
+def _memory_kept() -> Iterator[None]:
+    """Blocks of up to 32 MB, which scoring makes again and again, stay with the worker meanwhile; then common.py's limits hold again."""
+    try:
+        libc = ctypes.CDLL("libc.so.6")
+        libc.mallopt(-3, 32 << 20), libc.mallopt(-1, 512 << 20)
+    except (OSError, AttributeError):  # another C library
+        yield
+        return
+    try:
+        yield
+    finally:
+        libc.mallopt(-3, 4 << 20), libc.mallopt(-1, 8 << 20)
+        libc.malloc_trim(0)
+
+
 def _score(model: Model, keep: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with _memory_kept():
+            yield from scored(batches)
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         denominator = np.log10(float(model.n_tokens + model.n_types + 1))
         for batch in _gathered(batches, SCORED_BYTES):
-            codes, bounds = tokens(*flat(batch.column("text")))
+            codes, bounds = token_slices(batch)
             logs, counts = log_probabilities(model, codes, bounds)
             at = bounds[:-1]
             sums = [np.add.reduceat(x, at) for x in (counts > 0, np.log10(counts + 1) - denominator, logs)]

@@ -104,6 +104,44 @@ def test_sorted_hash_arrays(tmp_path):
             assert (kneser_ney.look_up(f"{tmp_path}/c{n}", asked[-500:], 1) == 0).all()
 
 
+def test_language_model_looks_up_distinct_ngrams_once(tmp_path, monkeypatch):
+    none = np.zeros(0, np.uint64)
+    for name in ("words-0", "left-0", "grams-2-0", "grams-2-1", "grams-3-0"):
+        kneser_ney.write_sorted(f"{tmp_path}/{name}", none, np.zeros(0, np.int64))
+    for name in ("contexts-2-0", "contexts-2-1", "contexts-3-0", "contexts-3-1"):
+        kneser_ney.write_sorted(f"{tmp_path}/{name}", none, np.zeros((0, 4), np.int64))
+    model = kneser_ney.Model(str(tmp_path), 3, 1, 0, 0, np.array([kneser_ney.START]), (0.0, 0.0, 0.0, 0.0), {k: (0.5, 1.0, 1.5) for k in (1, 2, 3)})
+    asked, opened, values, mapped = {}, [], kneser_ney._values, kneser_ney.mapped
+
+    def recorded(model, names, key, *rest):
+        asked[names[0]] = len(key)
+        return values(model, names, key, *rest)
+
+    monkeypatch.setattr(kneser_ney, "_values", recorded)
+    monkeypatch.setattr(kneser_ney, "mapped", lambda path, kind: opened.append(path) or mapped(path, kind))
+    codes, bounds = kneser_ney.tokens(*flat(pa.array(["the cat sat on the mat"] * 200)))
+    for _ in range(2):
+        logs, known = kneser_ney.log_probabilities(model, codes, bounds)
+        assert not logs.any() and not known.any() and len(logs) == len(known) == 1400
+    # contexts: the words and START, the bigrams and START twice
+    assert asked == {"words": 6, "contexts-2": 7, "grams-2": 7, "contexts-3": 8, "grams-3": 1400}
+    assert opened and len(opened) == len(set(opened))
+
+
+def test_language_model_tokens_of_small_slices():
+    rng = random.Random(5)
+    longest = "".join(rng.choice("abcdefgh") for _ in range(200))
+    some = [longest[:n] for n in (*range(1, 75), 200)] + [longest[:n] + "\0" for n in (1, 7, 8, 15, 64)] + [longest[:n] + "é" for n in (7, 8, 63, 70)]
+    texts = [None, "", " ", *(" ".join(rng.choices(some, k=rng.randrange(9))).upper() for _ in range(3000)), " ".join(some * 40), "x" * 300_000, "A"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    codes, bounds = kneser_ney.token_slices(batch)
+    for whole, sliced in zip(kneser_ney.tokens(*flat(batch.column(0))), (codes, bounds), strict=True):
+        assert whole.tolist() == sliced.tolist()
+    want = [t for x in texts for t in [*(re.sub(rb"[A-Z]", lambda m: m[0].lower(), w) for w in words(x)), None]]
+    assert len(want) == len(codes) == bounds[-1] and len(bounds) == len(texts) + 1
+    assert len(set(zip(want, codes.tolist(), strict=True))) == len(set(want)) == len(set(codes.tolist()))
+
+
 def test_toxicity(spark, messy, nothing):
     rng = random.Random(1)
     data = []
