@@ -105,9 +105,9 @@ def is_html(content: Column) -> Column:
 
 
 def is_zlib(content: Column) -> Column:
-    """Deflate method, window of at most 32 KiB and a header divisible by 31."""
+    """Deflate method, window of at most 32 KiB and a header divisible by 31; not a TAR, whose first name may begin so ("80")."""
     first = _number(content, 1, 1)
-    return (first.bitwiseAND(15) == 8) & (first <= 0x78) & (_number(content, 1, 2) % 31 == 0)
+    return F.when((first.bitwiseAND(15) == 8) & (first <= 0x78) & (_number(content, 1, 2) % 31 == 0), ~is_tar(content)).otherwise(False)
 
 
 def is_iso9660(content: Column) -> Column:
