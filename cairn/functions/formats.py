@@ -115,7 +115,10 @@ def is_iso9660(content: Column) -> Column:
 
 
 def is_ext4(content: Column) -> Column:
-    return F.substring(content, 1081, 2) == F.lit(bytearray(b"\x53\xef"))
+    """The mark of a superblock, which other contents hold by chance, with a block size of at most 64 KiB and revision 0 or 1."""
+    marked = F.substring(content, 1081, 2) == F.lit(bytearray(b"\x53\xef"))
+    small = [(_number(content, at, 1) <= most) & (F.substring(content, at + 1, 3) == F.lit(bytearray(3))) for at, most in ((1049, 6), (1101, 1))]
+    return marked & small[0] & small[1]
 
 
 def is_fat(content: Column) -> Column:

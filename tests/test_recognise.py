@@ -2,6 +2,9 @@
 
 import zlib
 
+from pyspark.sql import functions as F
+
+from cairn.functions import formats
 from cairn.sources import archives, writers
 
 
@@ -9,3 +12,11 @@ def test_tar_whose_first_name_is_a_zlib_header(spark):
     data = [("16.tar", writers.tar([("8000.txt", b"x")])), ("a.zz", zlib.compress(b"x" * 600))]
     df = archives.checked(spark.createDataFrame(data, "archive string, data binary"))
     assert sorted((r.archive, r.formats, r.readable, r.problem) for r in df.collect()) == [("16.tar", ["tar"], True, None), ("a.zz", ["zlib"], True, None)]
+
+
+def test_ext4_mark_by_chance(spark):
+    body = bytearray(b"x" * 2000)
+    body[0x438 - 512 : 0x43A - 512] = b"\x53\xef"
+    data = [("a.tar", writers.tar([("f", bytes(body))])), ("b.ext4", writers.ext4([("f", b"x")]))]
+    df = spark.createDataFrame(data, "archive string, data binary").select("archive", formats.detect(F.col("data")).alias("f"))
+    assert sorted((r.archive, r.f) for r in df.collect()) == [("a.tar", ["tar"]), ("b.ext4", ["ext4"])]
