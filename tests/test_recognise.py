@@ -1,5 +1,6 @@
 """Bytes that look like another format's mark by chance."""
 
+import gzip
 import zlib
 
 from pyspark.sql import functions as F
@@ -20,3 +21,18 @@ def test_ext4_mark_by_chance(spark):
     data = [("a.tar", writers.tar([("f", bytes(body))])), ("b.ext4", writers.ext4([("f", b"x")]))]
     df = spark.createDataFrame(data, "archive string, data binary").select("archive", formats.detect(F.col("data")).alias("f"))
     assert sorted((r.archive, r.f) for r in df.collect()) == [("a.tar", ["tar"]), ("b.ext4", ["ext4"])]
+
+
+def marked(head, make):
+    """A compressed stream (stored, so that its bytes are those of the content) with the ext4 mark in its place."""
+    body = bytearray(b"x" * 2000)
+    body[0x438 - head : 0x43A - head] = b"\x53\xef"
+    data = make(bytes(body))
+    assert data[0x438:0x43A] == b"\x53\xef"
+    return data, bytes(body)
+
+
+def test_compressed_with_ext4_mark(spark):
+    data, body = marked(15, lambda c: gzip.compress(c, 0, mtime=0))
+    (r,) = archives.members_of(spark.createDataFrame([("7.gz", data)], "archive string, data binary"), content=True).collect()
+    assert (r.name, r.error, bytes(r.content)) == ("7", None, body)
