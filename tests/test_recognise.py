@@ -36,3 +36,18 @@ def test_compressed_with_ext4_mark(spark):
     data, body = marked(15, lambda c: gzip.compress(c, 0, mtime=0))
     (r,) = archives.members_of(spark.createDataFrame([("7.gz", data)], "archive string, data binary"), content=True).collect()
     assert (r.name, r.error, bytes(r.content)) == ("7", None, body)
+
+
+def test_tar_zst_with_ext4_mark(spark):
+    import random
+
+    def make(c):
+        return writers.WRITERS["tar.zst"]([("f", c)])
+
+    body = bytearray(random.Random(1).randbytes(3000))
+    at = 0x438 + 200 - make(bytes(body)).index(body[200:216])  # literals of random bytes are stored as they are
+    body[at : at + 2] = b"\x53\xef"
+    data = make(bytes(body))
+    assert data[0x438:0x43A] == b"\x53\xef"
+    (r,) = archives.members_of(spark.createDataFrame([("7.tar.zst", data)], "archive string, data binary"), content=True).collect()
+    assert (r.name, r.error, bytes(r.content)) == ("f", None, bytes(body))
