@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import formats, paths, values
+from ..functions.batches import small_batches
 from ..operators import attributes, compose, intervals, sequences, tree, versions
 from ..sources import archives, catalog, writers
 from ..streaming import append
@@ -439,6 +440,7 @@ def content_hashes(spark, d):
 
 @query()
 def other_hashes(spark, d):
+    small_batches(spark)
     c = F.col("text")
     return table(spark, d, "documents").select(F.col("doc_id").alias("offsetheader"), *(values.digest(n, c).alias(n) for n in ("crc32", "sha224", "sha384", "sha512", "sha3-256", "blake2b", "smplayer")))
 
@@ -455,6 +457,7 @@ def hash_attributes(spark, d):
     p AS (SELECT doc_id, n / sum(n) OVER (PARTITION BY doc_id) AS p FROM n) SELECT doc_id AS offsetheader, round(-sum(p * log2(p)), 6) AS entropy FROM p GROUP BY 1"""
 )
 def entropy(spark, d):
+    small_batches(spark)
     return table(spark, d, "documents").select(F.col("doc_id").alias("offsetheader"), F.round(values.entropy(F.col("text").cast("binary")), 6).alias("entropy"))
 
 
@@ -468,6 +471,7 @@ def entropy(spark, d):
 )
 def random_content(spark, d):
     """Every other content is a run of digests, the rest are texts."""
+    small_batches(spark)
     digests = F.unhex(F.array_join(F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.sha2(F.concat_ws("/", "doc_id", i), 256)), ""))
     content = F.when(F.col("doc_id") % 2 == 0, digests).otherwise(F.coalesce("text", F.lit("")).cast("binary"))
     return table(spark, d, "documents").select(F.col("doc_id").alias("offsetheader"), values.is_random(content).alias("is_random"))
