@@ -11,6 +11,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import MapType, StringType, BinaryType, StructField, StructType
 
 from ..functions import formats, paths
+from ..functions.batches import small_batches
 from ..operators import compose
 from ..schema import FILES, XATTRS
 from . import parsers
@@ -19,8 +20,8 @@ from .rows import clean
 MEMBERS = StructType(
     [StructField("archive", StringType()), *[StructField(f.name, f.dataType) for f in FILES], StructField("content", BinaryType()), StructField("xattrs", MapType(StringType(), BinaryType())), StructField("error", StringType())]
 )
-#: Rows of one Arrow batch of members.
-BATCH = 256
+#: Rows of one Arrow batch of members, and bytes of their contents after which a batch is full.
+BATCH, BATCH_CONTENT = 256, 4 << 20
 
 
 def _parse(options: dict, with_content: bool):
@@ -28,15 +29,17 @@ def _parse(options: dict, with_content: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[dict] = []
+        size = 0
         for batch in batches:
             for name, data in zip(batch.column("archive"), batch.column("data"), strict=True):
                 archive = name.as_py()
                 try:
                     for r in parsers.parse(data.as_py() or b"", archive, options | {"content": with_content}):
                         held.append(r | {"archive": archive, "error": None, "content": r["content"] if with_content else None, "xattrs": list(r["xattrs"].items())})
-                        if len(held) >= BATCH:
+                        size += len(held[-1]["content"] or b"")
+                        if len(held) >= BATCH or size >= BATCH_CONTENT:
                             yield pa.RecordBatch.from_pylist(held, schema)
-                            held = []
+                            held, size = [], 0
                 except Exception as e:  # noqa: BLE001  one bad archive is one row, after the members before the damage
                     held.append({"archive": archive, "path": "", "name": "", "error": clean(f"{type(e).__name__}: {e}"[:500]), "xattrs": []})
         if held:
@@ -47,6 +50,7 @@ def _parse(options: dict, with_content: bool):
 
 def members_of(archives: DataFrame, *, content: bool = False, **options) -> DataFrame:
     """archives: archive (a name), data (bytes).  One row per member; what can't be read of an archive is one row with `error`."""
+    small_batches(archives.sparkSession)
     return archives.select("archive", "data").mapInArrow(_parse(options, content), MEMBERS)
 
 

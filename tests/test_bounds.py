@@ -6,8 +6,11 @@ import tracemalloc
 from collections import Counter
 
 import pandas as pd
+import pyarrow as pa
+from pyspark.sql import functions as F
 
 from cairn.functions import values
+from cairn.sources import archives, writers
 
 
 def plain_is_random(x):
@@ -34,3 +37,25 @@ def test_is_random_is_counted_in_pieces():
 def test_is_random_over_many_rows():
     data = [random.Random(k).randbytes(1024) if k % 3 else b"ab" * k for k in range(1500)]
     assert list(values.is_random.func(pd.Series(data))) == [plain_is_random(x) for x in data]
+
+
+def largest_batch(df):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    return max(r.n for r in df.coalesce(1).mapInArrow(sizes, "n long").collect())
+
+
+def test_archives_reach_python_in_small_batches(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "64m")
+    some = spark.range(24).select(F.col("id").cast("string").alias("archive"), F.repeat(F.lit("x"), 1 << 20).cast("binary").alias("data"))
+    archives.members_of(some)
+    assert largest_batch(some) < 8e6  # of 24 MB
+
+
+def test_members_leave_python_in_small_batches():
+    data = writers.ar([(f"{k}.txt", b"x" * (1 << 20)) for k in range(24)])
+    batch = pa.RecordBatch.from_pydict({"archive": ["a.ar"], "data": [data]})
+    out = list(archives._parse({}, True)(iter([batch])))
+    assert sum(b.num_rows for b in out) == 24 and max(b.nbytes for b in out) < 8e6
