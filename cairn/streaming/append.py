@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import LongType, StructField, StructType
 
+from ..functions.batches import small_batches
 from ..operators import versions
 from ..sources import archives, parsers
 
@@ -100,6 +101,7 @@ def refresh(old: DataFrame, now: DataFrame, *, min_bytes: int | None = None, min
     may = (F.col("past_end") >= least) & (F.col("files") >= files) & (size >= F.col("past_end")) & (size <= most * F.col("past_end") + 10_240)
     found = now.select("archive", "data").join(state, "archive", "left").withColumn("may", F.coalesce(may, F.lit(False)))
     schema = StructType([*archives.MEMBERS, StructField("read_from", LongType())])
+    small_batches(now.sparkSession)
     read = cut(found.select("archive", "data", "first", "last", "past_end", "may").mapInArrow(_tails(options), schema))
     said = read.where("read_from is not null").select("archive", "read_from")
     kept = old.join(said.where("read_from > 0").select("archive"), "archive", "left_semi")

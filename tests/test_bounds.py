@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from cairn.functions import values
 from cairn.sources import archives, writers
+from cairn.streaming import append
 
 
 def plain_is_random(x):
@@ -59,3 +60,13 @@ def test_members_leave_python_in_small_batches():
     batch = pa.RecordBatch.from_pydict({"archive": ["a.ar"], "data": [data]})
     out = list(archives._parse({}, True)(iter([batch])))
     assert sum(b.num_rows for b in out) == 24 and max(b.nbytes for b in out) < 8e6
+
+
+def test_nested_and_grown_archives_come_in_small_batches(spark):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    data = writers.tar([("1.zip", writers.zip_([("f", b"x" * 1000)])), ("g", b"y")])
+    df = spark.createDataFrame([("a.tar", data)], "archive string, data binary")
+    for run in (lambda: archives.recursive(df, content=True), lambda: append.refresh(archives.files_of(archives.members_of(df)), df)):
+        spark.conf.set(name, "64m")
+        run()
+        assert int(spark.conf.get(name).removesuffix("b")) <= 4 << 20
