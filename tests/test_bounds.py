@@ -66,7 +66,8 @@ def test_nested_and_grown_archives_come_in_small_batches(spark):
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     data = writers.tar([("1.zip", writers.zip_([("f", b"x" * 1000)])), ("g", b"y")])
     df = spark.createDataFrame([("a.tar", data)], "archive string, data binary")
-    for run in (lambda: archives.recursive(df, content=True), lambda: append.refresh(archives.files_of(archives.members_of(df)), df)):
+    old = archives.files_of(archives.members_of(df))
+    for run in (lambda: archives.recursive(df, content=True), lambda: append.refresh(old, df)):
         spark.conf.set(name, "64m")
         run()
         assert int(spark.conf.get(name).removesuffix("b")) <= 4 << 20
